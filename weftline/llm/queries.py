@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.common import table
-from weftline.llm import simjoin, termfreq
+from weftline.llm import leakage, packing, simjoin, termfreq
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,42 @@ def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simjoin.link_counts(member_of, links).toDF("tid", "class_id", "n_links")
 
 
-QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_links": p4_links}
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every text, for each capacity."""
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins, tokens and used share of the capacity."""
+    return packing.fill_report(p7_packing(spark, sf_dir), table(spark, sf_dir, "containers"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the evaluation items of which they hold a passage."""
+    return p8_passages(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the place of the first passage in the document."""
+    return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per leaked item: the number of documents that hold it."""
+    return p8_passages(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_terms": p3_terms,
+    "p4_found": p4_found,
+    "p4_links": p4_links,
+    "p7_packing": p7_packing,
+    "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_passages": p8_passages,
+    "p8_items": p8_items,
+}
 
 _TERMS = """
     SELECT term, sum_count, n_items,
@@ -41,6 +76,12 @@ _TERMS = """
           FROM (SELECT sid0, min(tid) AS tid, min(fid) AS fid, min(feat_count) AS c FROM itemfeats GROUP BY sid0) i
           JOIN (SELECT fid, trim(min(feat), ' ' || chr(9) || chr(10)) AS term FROM feats GROUP BY fid) f USING (fid)
           GROUP BY term)"""
+_LEAKS = """
+    WITH dw AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+         iw AS (SELECT item_id, regexp_extract_all(item_text, '[A-Za-z0-9]+') AS w FROM eval_items),
+         dg AS (SELECT doc_id, lower(array_to_string(w[k:k+11], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM dw)),
+         ig AS (SELECT item_id, lower(array_to_string(w[k:k+11], ' ')) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM iw)),
+         hits AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))"""
 _PAIRS = """
     WITH m AS (SELECT DISTINCT tid, fid FROM itemfeats WHERE tid IS NOT NULL AND fid IS NOT NULL),
          n AS (SELECT tid, count(*) AS n FROM m GROUP BY tid HAVING count(*) >= 8),
@@ -52,6 +93,8 @@ _PAIRS = """
 SQL = {
     "p3_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
     "p3_terms": _TERMS,
+    "p8_found": _LEAKS + " SELECT doc_id, item_id FROM hits",
+    "p8_items": _LEAKS + " SELECT item_id, count(*) AS n_docs FROM hits GROUP BY item_id",
     "p4_found": _PAIRS + " SELECT a AS tid_a, b AS tid_b FROM p",
     "p4_links": _PAIRS
     + """, s AS (SELECT tid, list_sort(list(fid)) AS s FROM m WHERE tid IN (SELECT tid FROM n) GROUP BY tid),
