@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.common import table
-from weftline.llm import leakage, packing, simjoin, termfreq
+from weftline.llm import leakage, packing, parsecheck, simjoin, termfreq
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,16 @@ def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simjoin.link_counts(member_of, links).toDF("tid", "class_id", "n_links")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that do not parse as the language of their extension."""
+    return parsecheck.checked(table(spark, sf_dir, "sourcemap")).where("not valid").select("uid")
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and invalid files per repository and language."""
+    return parsecheck.rates(parsecheck.checked(table(spark, sf_dir, "sourcemap")))
+
+
 def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every text, for each capacity."""
     return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
@@ -61,6 +71,8 @@ QUERIES = {
     "p3_terms": p3_terms,
     "p4_found": p4_found,
     "p4_links": p4_links,
+    "p6_found": p6_found,
+    "p6_rates": p6_rates,
     "p7_packing": p7_packing,
     "p7_fill": p7_fill,
     "p8_found": p8_found,
