@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.common import table
-from weftline.llm import leakage, packing, parsecheck, simjoin, termfreq
+from weftline.llm import leakage, mojibake, packing, parsecheck, simjoin, termfreq
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,16 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_passages(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which a part was decoded wrongly."""
+    return p9_restored(spark, sf_dir).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the restored text, where it can be had, and the operations that gave it."""
+    return mojibake.repaired(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_terms": p3_terms,
@@ -78,6 +88,8 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_passages": p8_passages,
     "p8_items": p8_items,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
 }
 
 _TERMS = """
