@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from weftline.plans import core_problems
+from weftline.plans import core_problems, scans, words
 
-MODULES = (core_problems,)
-FLAGSHIP = "p1_method_stats"
+MODULES = (core_problems, scans, words)
+FLAGSHIP = "stitched_by_label"
 
 
 def queries() -> dict:
