@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import core_problems, scans, words
+from weftline.plans import core_problems, scans, texts, words
 
-MODULES = (core_problems, scans, words)
+MODULES = (core_problems, scans, words, texts)
 FLAGSHIP = "stitched_by_label"
 
 
