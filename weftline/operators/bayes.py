@@ -60,21 +60,22 @@ def weighted(docs: DataFrame) -> DataFrame:
     return docs.join(idf(docs).select("feat", "idf"), "feat").select("doc", "feat", (F.col("w") * F.col("idf")).alias("x")).where("x <> 0")
 
 
-def cosine_pairs(docs: DataFrame, threshold: float, most_common: int) -> DataFrame:
-    """(a, b, sim), a < b, of documents with tf-idf cosine at or above ``threshold``, by an inverted index.
+def cosine_pairs(docs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, sim), a < b, of all documents with tf-idf cosine at or above ``threshold`` (rounded to six places).
 
-    Features of more than ``most_common`` documents find no candidates, so that a hot feature does not pair all its
-    documents; candidates found through rarer ones are scored on all features. A pair that shares hot features only is
-    left out, which is exact whenever their tf-idf weights cannot reach the threshold.
+    Of every document, its features from the most common on stay out of the index as long as they together weigh less
+    than the threshold: a pair that shares no indexed feature cannot reach it, as the rest of one of them is too short.
+    So hot features pair hardly any documents, and no pair is lost. Candidates are scored on all features.
     """
     x = weighted(docs)
     norms = x.groupBy("doc").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    rare = x.groupBy("feat").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most_common).select("feat")
-    index = x.join(rare, "feat", "left_semi").select("feat", "doc")
+    common = x.groupBy("feat").agg(F.count(F.lit(1)).alias("df"))
+    unit = x.join(norms, "doc").join(common, "feat").select("doc", "feat", "df", (F.col("x") / F.col("norm")).alias("u"))
+    ahead = F.sum(F.col("u") * F.col("u")).over(W.partitionBy("doc").orderBy(F.desc("df"), "feat").rowsBetween(W.unboundedPreceding, 0))
+    index = unit.withColumn("ahead", ahead).where(F.sqrt("ahead") >= F.lit(threshold - 1e-5)).select("feat", "doc")
     pairs = index.withColumnRenamed("doc", "a").join(index.withColumnRenamed("doc", "b"), "feat").where("a < b").select("a", "b").distinct()
-    left, right = x.select(F.col("doc").alias("a"), "feat", F.col("x").alias("xa")), x.select(F.col("doc").alias("b"), "feat", F.col("x").alias("xb"))
-    dot = pairs.join(left, "a").join(right, ["b", "feat"]).groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("dot"))
-    scored = dot.join(norms.toDF("a", "na"), "a").join(norms.toDF("b", "nb"), "b").withColumn("sim", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6))
+    left, right = unit.select(F.col("doc").alias("a"), "feat", F.col("u").alias("ua")), unit.select(F.col("doc").alias("b"), "feat", F.col("u").alias("ub"))
+    scored = pairs.join(left, "a").join(right, ["b", "feat"]).groupBy("a", "b").agg(F.round(F.sum(F.col("ua") * F.col("ub")), 6).alias("sim"))
     return scored.where(F.col("sim") >= threshold).select("a", "b", "sim")
 
 

@@ -84,8 +84,8 @@ def inverse_document_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 _VSM = """, n AS (SELECT count(DISTINCT tid) AS n FROM cnt), df AS (SELECT fid, count(*) AS df FROM cnt GROUP BY fid),
     x AS (SELECT tid, fid, c * CASE WHEN df <= 1 THEN 0 ELSE ln(n::DOUBLE / df) END AS x FROM cnt JOIN df USING (fid), n), y AS (SELECT * FROM x WHERE x <> 0),
-    norm AS (SELECT tid, sqrt(sum(x * x)) AS norm FROM y GROUP BY tid), f AS (SELECT fid FROM y GROUP BY fid HAVING count(*) <= 50),
-    pr AS (SELECT DISTINCT p.tid AS a, q.tid AS b FROM y p JOIN y q ON p.fid = q.fid AND p.tid < q.tid WHERE p.fid IN (SELECT fid FROM f)),
+    norm AS (SELECT tid, sqrt(sum(x * x)) AS norm FROM y GROUP BY tid),
+    pr AS (SELECT DISTINCT p.tid AS a, q.tid AS b FROM y p JOIN y q ON p.fid = q.fid AND p.tid < q.tid),
     s AS (SELECT a, b, sum(p.x * q.x) AS dot FROM pr JOIN y p ON p.tid = a JOIN y q ON q.tid = b AND q.fid = p.fid GROUP BY a, b)
     SELECT a, b, round(dot / (na.norm * nb.norm), 6) AS sim FROM s JOIN norm na ON na.tid = a JOIN norm nb ON nb.tid = b WHERE round(dot / (na.norm * nb.norm), 6) >= 0.7"""
 
@@ -93,7 +93,7 @@ _VSM = """, n AS (SELECT count(DISTINCT tid) AS n FROM cnt), df AS (SELECT fid,
 @query(_VSM)
 def similar_items(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of items by tf-idf cosine."""
-    return bayes.cosine_pairs(m.counts(spark, d).select(F.col("tid").alias("doc"), F.col("fid").alias("feat"), F.col("c").alias("w")), 0.7, 50)
+    return bayes.cosine_pairs(m.counts(spark, d).select(F.col("tid").alias("doc"), F.col("fid").alias("feat"), F.col("c").alias("w")), 0.7)
 
 
 _NB = """, w AS (SELECT tid, regexp_extract(item, '([a-z]+)[A-Za-z]*;?$', 1) AS key FROM its WHERE item IS NOT NULL),
