@@ -57,7 +57,7 @@ def method_result(c: Column) -> Column:
 
 def class_simple_name(c: Column) -> Column:
     """The last part of a class descriptor 'L<path>/Name;'."""
-    return extract(strip_generic(F.regexp_replace(c, "^\\[*L", "")), "([^/;]+);?$")
+    return extract(strip_generic(F.regexp_replace(c, "^\\[*L?", "")), "([^/;]+);?$")
 
 
 def reference_name(c: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import core_problems, graphs, scans, texts, words
+from weftline.plans import core_problems, graphs, reports, scans, texts, words
 
-MODULES = (core_problems, scans, words, texts, graphs)
+MODULES = (core_problems, scans, words, texts, graphs, reports)
 FLAGSHIP = "stitched_by_label"
 
 

@@ -44,7 +44,7 @@ def decoded_methods(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT ntype, length(regexp_extract(ntype, '^(\\[*)', 1)) AS dims, CASE WHEN h IN ('B','C','S','I','J','F','D','Z') THEN 'primitive' WHEN h = 'V' THEN 'void' WHEN h = 'L' THEN 'class' WHEN h = 'T' THEN 'variable' WHEN h IN ('+','-','*') THEN 'wildcard' WHEN h = '(' THEN 'function' ELSE 'unknown' END AS form,
-    nullif(regexp_extract(split_part(regexp_replace(ntype, '^\\[*L', ''), '<', 1), '([^/;]+);?$', 1), '') AS simple FROM (SELECT DISTINCT ntype, left(regexp_replace(ntype, '^\\[+', ''), 1) AS h FROM nodes WHERE ntype IS NOT NULL)""")
+    nullif(regexp_extract(split_part(regexp_replace(ntype, '^\\[*L?', ''), '<', 1), '([^/;]+);?$', 1), '') AS simple FROM (SELECT DISTINCT ntype, left(regexp_replace(ntype, '^\\[+', ''), 1) AS h FROM nodes WHERE ntype IS NOT NULL)""")
 def decoded_types(spark: SparkSession, d: str) -> DataFrame:
     """Dimensions, form and simple name of type descriptors."""
     c = F.col("ntype")
