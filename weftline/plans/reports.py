@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline import model as m
 from weftline.common import cut
+from weftline.frontend import build
 from weftline.functions import names as fn
 from weftline.functions import text as tx
 from weftline.operators import bayes, classes, spans, stitch
@@ -239,6 +240,40 @@ def marked_sources(spark: SparkSession, d: str) -> DataFrame:
     return texts_.mapInPandas(run, "uid bigint, marked string")
 
 
+def _java(spark: SparkSession, d: str) -> DataFrame:
+    return build.java_graphs(m.sources(spark, d).where(F.lower("srcpath").endswith(".java")), "uid", "src_text")
+
+
+@query(None)
+def java_graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of the dataflow graphs of all Java sources."""
+    return _java(spark, d).where("entity = 'node'").select("uid", F.col("parent_key").alias("scope_name"), F.col("item_key").alias("node_id"), "kind", "ref", "ndata", "ntype", "ast_start", "ast_end")
+
+
+@query(None)
+def java_graph_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links of the dataflow graphs of all Java sources."""
+    return _java(spark, d).where("entity = 'link'").select("uid", F.col("parent_key").alias("dst"), F.col("item_key").alias("src"), "label")
+
+
+@query(None)
+def java_graph_methods(spark: SparkSession, d: str) -> DataFrame:
+    """Methods of all Java sources with their style and place."""
+    return _java(spark, d).where("entity = 'method'").select("uid", F.col("parent_key").alias("class_name"), F.col("item_key").alias("method_id"), F.col("attributes")["style"].alias("style"), "ast_start", "ast_end")
+
+
+@query(None)
+def java_syntax_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Java sources that have no graph because they do not parse."""
+    return _java(spark, d).where("entity = 'error'").select("uid", F.col("label").alias("message"))
+
+
+@query(None)
+def java_graph_documents(spark: SparkSession, d: str) -> DataFrame:
+    """XML graph documents of all Java sources that parse."""
+    return graph_xml.write(_java(spark, d).where("entity <> 'error'"), "uid")
+
+
 @query("SELECT count(*) AS n_rows, CAST(sum(c) AS BIGINT) AS total FROM (SELECT i.item, f.feat, sum(c.c) AS c FROM cnt c JOIN its i USING (tid) JOIN fts f USING (fid) WHERE i.item IS NOT NULL GROUP BY 1, 2)")
 def feature_text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Item features written as record streams and read again."""
