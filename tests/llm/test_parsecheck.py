@@ -31,13 +31,13 @@ def test_languages_and_nulls(spark):
         (1, "a/X.JAVA", JAVA, "r"), (1, "a/X.JAVA", JAVA, "r"), (2, "x.java", JAVA[:-3], "r"), (3, "x.py", "def f(:\n", None), (4, "x.Py", "print(1)\r\n", None), (5, "x.py", "print 1\n", "q"),
         (6, "x.xml", "<a><b/></a>", "q"), (7, "x.graph", "<a>", "q"), (8, "x.json", "[1, 2]", "q"), (9, "x.json", "[1, 2", "q"), (10, "x.json", "NaN", "q"), (11, "x.txt", "}{", "q"), (12, "x.java", None, "q"),
         (13, None, "x", "q"), (14, "json", "x", "q"), (15, "x.java", "", "q"), (16, "x.json", "", "q"), (17, "x.json", '{"a": "\\u007d"}', "q"), (18, "x.xml", "<a>&b;</a>", "q"), (19, "x.xml", "é<a/>", "q"), (None, "x.json", "}", "q"),
-        (20, "x.java", JAVA * 40 + "}", "q"), (21, "x.java", JAVA * 40, "q"), (22, "x.java", 'class A { String s = "\\u0022; }', "q"), (23, "x.py", "x = 1\x00", "q"),
+        (20, "x.java", JAVA * 40 + "}", "q"), (21, "x.java", JAVA * 40, "q"), (22, "x.java", 'class A { String s = "\\u0022; }', "q"), (23, "x.py", "x = 1\x00", "q"), (24, "x.py", "\ufeffx = 1", "q"), (25, "x.json", "1" * 6000, "q"), (26, "x.py", "x = " + "1" * 6000, "q"), (27, "x.json", "\ufeff1", "q"),
     ]
     df = spark.createDataFrame([(*r, "z") for r in rows], "uid bigint, srcpath string, src_text string, reponame string, language string")
     for size in (64, 1 << 16):
         got = {r["uid"]: r["valid"] for r in pc.checked(df, size).collect()}
-        assert {u for u, ok in got.items() if not ok} == {2, 3, 5, 7, 9, 10, 16, 18, 19, 20, 23}
-        assert set(got) == set(range(1, 24)) - {11, 12, 13, 14}
+        assert {u for u, ok in got.items() if not ok} == {2, 3, 5, 7, 9, 10, 16, 18, 19, 20, 23, 27}
+        assert set(got) == set(range(1, 28)) - {11, 12, 13, 14}
     rate = {(r["reponame"], r["language"]): (r["n_files"], r["n_invalid"]) for r in pc.rates(pc.checked(df)).collect()}
     assert rate["r", "java"] == (2, 1) and rate[None, "python"] == (2, 1)
     assert pc.checked(df.limit(0)).count() == 0

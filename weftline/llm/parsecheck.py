@@ -105,6 +105,7 @@ def balanced(whole: dict[str, list[str]]) -> bool:
 
 
 def _python(text: str) -> bool:
+    text = text.removeprefix("\ufeff")  # a file may begin with a byte order mark, a text may not
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
@@ -131,7 +132,7 @@ def _refuse(name: str):
 
 def _json(text: str) -> bool:
     try:
-        json.loads(text, parse_constant=_refuse)
+        json.loads(text, parse_constant=_refuse, parse_int=len, parse_float=len)
     except RecursionError:
         return True
     except ValueError:
@@ -185,6 +186,7 @@ def checked(files: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sys.setrecursionlimit(max(20_000, sys.getrecursionlimit()))
+        sys.set_int_max_str_digits(0)  # a long number is no syntax error
         for pdf in batches:
             known: dict[tuple[str, str], bool] = {}
             out = []
