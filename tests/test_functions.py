@@ -37,3 +37,15 @@ def test_text(spark):
     assert tx.lcs_length("abcde", "xaxcye") == 3 and tx.lcs_length("", "a") == 0
     df = spark.createDataFrame([("abc", "abd"), (None, "a"), ("", "")], "a string, b string")
     assert [r[0] for r in df.select(tx.lcs_similarity("a", "b")).collect()] == [2 / 3, 0.0, 0.0]
+
+
+def test_descriptors(spark):
+    from weftline.functions import descriptors as ds
+
+    for text in ("I", "[[J", "La/B;", "La/B<TX;[I+La/C<*>;-Lq;>;", "(ILa/B<TT;>;[C)V", "()La/B;", "?", "(?)?"):
+        t, end = ds.parse(text)
+        assert end == len(text) and ds.render(t) == text
+    got = ask(spark, ["(I[La/B<TT;>;)V", "La/Map<La/K;*>;", "[", "Lopen", "x", "II", None, ""], lambda c: ds.decode(c))
+    assert [tuple(r) for r in got[:2]] == [("function", "(int, B<T>[]) -> void", ["I", "[La/B<TT;>;"], "V"), ("class", "Map<K, ?>", ["La/K;", "*"], None)]
+    assert all(r["form"] is None for r in got[2:])
+    assert [ds.conversion_distance(*p) for p in (("I", "I"), ("I", "J"), ("J", "I"), ("La/B;", "Ljava/lang/Object;"), ("Z", "I"), ("?", "I"))] == [0, 1, None, 9, None, 1]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline import model as m
 from weftline.common import table
+from weftline.functions import descriptors
 from weftline.functions import names as fn
 from weftline.functions import text as tx
 from weftline.operators import spans
@@ -51,6 +52,13 @@ def decoded_types(spark: SparkSession, d: str) -> DataFrame:
     return m.nodes(spark, d).where(c.isNotNull()).select("ntype").distinct().select("ntype", fn.type_dims(c).alias("dims"), fn.type_kind(c).alias("form"), fn.class_simple_name(c).alias("simple"))
 
 
+@query(None)
+def parsed_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """Arguments and result of every method signature, parsed, with a readable form."""
+    own = m.methods(spark, d).where("method_id is not null").select("mid", descriptors.decode(F.regexp_extract("method_id", "(\\(.*)$", 1)).alias("t"))
+    return own.select("mid", F.col("t.form").alias("form"), F.col("t.shown").alias("shown"), F.array_join("t.args", " ").alias("args"), F.col("t.result").alias("result"))
+
+
 @query("SELECT mid, lower(nullif(regexp_extract(method_name, '([A-Z]?[a-z]+|[A-Z]+)$', 1), '')) AS noun FROM methods WHERE method_name IS NOT NULL")
 def head_nouns(spark: SparkSession, d: str) -> DataFrame:
     """Head noun of every method name."""
