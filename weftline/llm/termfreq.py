@@ -99,6 +99,8 @@ def feature_terms(itemfeats: DataFrame, feats: DataFrame, rare_items: int = 3, r
     tokens = lookup_join(rows, known.select("fid", "term_id"), "fid").select(F.col("tid").alias("doc"), F.col("term_id").alias("t1"), F.col("feat_count").alias("weight"))
     counts = ngram_counts(tokens).select(F.col("gram")[0].alias("term_id"), F.col("weight").alias("sum_count"), F.col("records").alias("n_items"))
     rare = (F.col("n_items") < rare_items) | (F.col("sum_count") < rare_count)
-    mark = F.when(F.col("n_items") > F.lit(common_share * n_items), "common").when(rare, "rare")
+    # in whole millionths, so that a share of exactly a tenth is not above it
+    common = F.col("n_items") * 1_000_000 > F.lit(n_items * round(common_share * 1_000_000))
+    mark = F.when(common, "common").when(rare, "rare")
     names = known.where(F.col("fid") == F.col("term_id")).select("term_id", "term")
     return counts.join(names, "term_id").select("term", "sum_count", "n_items", mark.alias("mark"))
