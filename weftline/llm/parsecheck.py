@@ -181,8 +181,10 @@ def checked(files: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     src_text are not read.
     """
     rows = files.where(F.col("uid").isNotNull() & F.col("src_text").isNotNull()).select("uid", "reponame", language_of(F.col("srcpath")).alias("language"), "src_text")
-    once = rows.where(F.col("language").isNotNull()).dropDuplicates(["uid"])
-    long = (F.length("src_text") > chunk_chars) & F.col("language").isin(*STATES)
+    rows = rows.where(F.col("language").isNotNull())
+    once = rows.dropDuplicates(["uid"])
+    # long files are picked before the repeats go, so that short texts are shuffled once
+    long = rows.where((F.length("src_text") > chunk_chars) & F.col("language").isin(*STATES)).dropDuplicates(["uid"])
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sys.setrecursionlimit(max(20_000, sys.getrecursionlimit()))
@@ -196,7 +198,7 @@ def checked(files: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
                 out.append(known[language, body])
             yield pdf[["uid", "reponame", "language"]].assign(valid=out)
 
-    judged = once.join(long_unbalanced(once.where(long), chunk_chars), "uid", "left").withColumn("unbalanced", F.coalesce("unbalanced", F.lit(False)))
+    judged = once.join(long_unbalanced(long, chunk_chars), "uid", "left").withColumn("unbalanced", F.coalesce("unbalanced", F.lit(False)))
     return judged.mapInPandas(parse, "uid bigint, reponame string, language string, valid boolean")
 
 
