@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline import model
 from weftline.common import table
+from weftline.functions import names
 from weftline.llm import leakage, mojibake, packing, parsecheck, simjoin, termfreq
 
 
@@ -19,6 +21,13 @@ def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return termfreq.feature_terms(table(spark, sf_dir, "itemfeats"), table(spark, sf_dir, "feats"))
 
 
+def p3_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of up to three words in the names of methods: occurrences, and methods that have them."""
+    named = model.methods(spark, sf_dir).where("method_name is not null")
+    words = F.transform(names.split_camel(F.col("method_name")), F.lower)
+    return termfreq.word_ngrams(named.select(F.col("mid").alias("doc"), words.alias("words")), 3)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of items whose feature sets overlap by 0.6 or more."""
     member_of, links = simjoin.similar_sets(table(spark, sf_dir, "itemfeats"), "tid", "fid", 0.6, min_size=8)
@@ -79,6 +88,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_terms": p3_terms,
+    "p3_ngrams": p3_ngrams,
     "p4_found": p4_found,
     "p4_links": p4_links,
     "p6_found": p6_found,
@@ -117,6 +127,10 @@ _PAIRS = """
 SQL = {
     "p3_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
     "p3_terms": _TERMS,
+    "p3_ngrams": """
+        WITH w AS (SELECT mid, list_transform(regexp_extract_all(min(method_name), '[A-Z]+[a-z]*|[a-z]+'), lambda x: lower(x)) AS ws FROM dfmethod WHERE mid IS NOT NULL AND method_name IS NOT NULL GROUP BY mid),
+             g AS (SELECT mid, CAST(n AS BIGINT) AS n, array_to_string(ws[k:k + n - 1], ' ') AS ngram FROM (SELECT mid, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM w, range(1, 4) t(n)))
+        SELECT n, ngram, count(*) AS occurrences, count(DISTINCT mid) AS records FROM g GROUP BY n, ngram""",
     "p8_found": _LEAKS + " SELECT doc_id, item_id FROM hits",
     "p8_items": _LEAKS + " SELECT item_id, count(*) AS n_docs FROM hits GROUP BY item_id",
     "p4_found": _PAIRS + " SELECT a AS tid_a, b AS tid_b FROM p",

@@ -79,6 +79,25 @@ def ngram_counts(tokens: DataFrame, max_n: int = 1) -> DataFrame:
     return parts.groupBy("n", "gram").agg(*[F.sum(c).alias(c) for c in ("occurrences", "weight", "records")])
 
 
+def word_ngrams(texts: DataFrame, max_n: int = 2) -> DataFrame:
+    """(n, ngram, occurrences, records) of (doc bigint, words array<string>): every run of up to ``max_n`` words.
+
+    A record's words are one array, so the followers of a position are read from its own row. Null words are left out;
+    words stand for themselves by a 64-bit hash while they are counted.
+    """
+    words = F.filter("words", lambda w: w.isNotNull())
+    placed = texts.select("doc", words.alias("words")).select("doc", "words", F.posexplode("words").alias("k", "word"))
+    grams = [F.xxhash64(F.get("words", F.col("k") + i)).alias(f"h{i + 1}") for i in range(max_n)]
+    inside = [F.when(F.col("k") + i < F.size("words"), F.col(f"h{i + 1}")).alias(f"t{i + 1}") for i in range(max_n)]
+    tokens = placed.select("doc", "k", "words", *grams).select("doc", *inside, F.lit(1).cast("long").alias("weight"))
+    counts = ngram_counts(tokens, max_n)
+    names = placed.select(F.xxhash64("word").alias("token"), "word").groupBy("token").agg(F.min("word").alias("word"))
+    # grams are unique, so their parts come together again by the gram itself
+    parts = counts.select("n", "gram", "occurrences", "records", F.posexplode("gram").alias("k", "token"))
+    spelled = lookup_join(parts, names, "token").groupBy("n", "gram", "occurrences", "records").agg(F.array_sort(F.collect_list(F.struct("k", "word"))).alias("ws"))
+    return spelled.select("n", F.array_join(F.transform("ws", lambda x: x["word"]), " ").alias("ngram"), "occurrences", "records")
+
+
 def dictionary(feats: DataFrame) -> DataFrame:
     """(fid, term_id, term): term is ``feat`` without blanks, tabs and newlines at either end; all ``fid`` of a term share a term_id."""
     named = one_per_key(feats, "fid", ["feat"]).where(F.col("feat").isNotNull()).select("fid", F.btrim("feat", F.lit(" \t\n")).alias("term"))
