@@ -36,6 +36,7 @@ TO_UTF8, TO_OTHER, UNESCAPE = 0.6, 1.0, 0.2
 ENOUGH, STATES = 1.4, 12
 
 _RUN = re.compile(r"[^\t\n\x0b\x0c\r ]*[^\x00-\x7f][^\t\n\x0b\x0c\r ]*")
+_APOSTROPHE = re.compile(r"(?<=[A-Za-z])’(?=(?:s|t|re|ve|ll|d|m)(?![^\W_]))|(?<![^\W_])(?:[dlncsjmtDLNCSJMT]|[Qq]u)’(?=[^\W_])")
 _IDENTIFIER = re.compile("[a-z][A-Z]+[a-z]")
 _REFERENCE = re.compile(r"&#?\w{2,8};")
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
@@ -95,7 +96,7 @@ def _kind(ch: str) -> tuple[str, float]:
     if ch == "�" or 0x80 <= code < 0xA0 or 0xE000 <= code <= 0xF8FF:
         return "x", 5.0
     if ch in _INNER:
-        return "q", 0.3
+        return "q", 1.0
     if ch in _OPENING:
         return "o", 1.0
     if ch in _TYPOGRAPHY:
@@ -146,6 +147,8 @@ def cost(text: str) -> float:
     n = len(kinds)
     if _IDENTIFIER.search(text):  # identifiers with inner capitals are ASCII
         total += sum(k in "lu" for k in kinds)
+    if "’" in text:  # apostrophes at their usual places
+        total -= 0.7 * len(_APOSTROPHE.findall(text))
     for i, k in enumerate(kinds):
         if k in "lu":
             run += 1
@@ -266,11 +269,12 @@ def search(text: str, states: int = STATES) -> list[tuple[str, str, float]]:
                 path = f"{chain} {operation}".strip()
                 price = paid + (UNESCAPE if operation == "unescape" else TO_OTHER if other else TO_UTF8)
                 gain = start - c - price
-                if gain > 0 and (path not in found or found[path][1] < gain):
+                # between encodings of single letters small gains count too: many runs together may tell
+                if (gain > 0 or (other and not operations and c < start - 0.3)) and (path not in found or found[path][1] < gain):
                     found[path] = (new, gain)
                 first = 3.0 if operation == "unescape" else 0.0  # its worth shows only with the next operation
                 heapq.heappush(queue, (c + price - first, price, new, path))
-    result = sorted(((chain, new, gain) for chain, (new, gain) in found.items()), key=lambda x: (-x[2], x[0]))[:6]
+    result = sorted(((chain, new, gain) for chain, (new, gain) in found.items()), key=lambda x: (-x[2], x[0]))[:8]
     if len(_SEARCHED) > 200_000:
         _SEARCHED.clear()
     _SEARCHED[text] = result
@@ -299,9 +303,17 @@ def examine(text: str) -> tuple[bool, str | None, str | None]:
         return False, None, None
     runs = list(_RUN.finditer(text))
     gains: dict[str, float] = {}
+    small: dict[str, list[float]] = {}
     for run in {m.group() for m in runs}:
         for chain, _, gain in search(run):
-            gains[chain] = gains.get(chain, 0.0) + gain
+            if gain > 0:
+                gains[chain] = gains.get(chain, 0.0) + gain
+            if " " not in chain and not chain.endswith("utf_8"):
+                small.setdefault(chain, []).append(gain + TO_OTHER)
+    # a chain that helps three different runs or more pays its price once
+    for chain, each in small.items():
+        if len(each) >= 3:
+            gains[chain] = max(gains.get(chain, 0.0), sum(each) - TO_OTHER)
     best = max(gains, key=lambda c: (gains[c], c), default=None)
     lost = "�" in text
     broken = lost or any("\x80" <= ch <= "\x9f" for ch in text)
