@@ -41,6 +41,15 @@ def fallback_scores(keys: DataFrame, feats: DataFrame, queries: DataFrame) -> Da
     return per.join(best, "qid").select("qid", "key", F.round(F.col("p") - F.col("best"), 6).alias("score"))
 
 
+def probabilities(keys: DataFrame, feats: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, key, p): the key's share of all keys times c / k of every known feature; keys that lack one are left out."""
+    total = keys.agg(F.sum("k")).first()[0] or 1
+    known = queries.select("qid", "feat").distinct().join(feats.select("feat").distinct(), "feat", "left_semi")
+    asked = known.groupBy("qid").agg(F.count(F.lit(1)).alias("asked"))
+    hits = known.join(feats, "feat").join(keys, "key").groupBy("qid", "key").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k"), F.sum(F.log("c") - F.log("k")).alias("lp"))
+    return hits.join(asked, "qid").where("n = asked").select("qid", "key", F.round(F.col("k") / F.lit(float(total)) * F.exp("lp"), 9).alias("p"))
+
+
 def common_features(feats: DataFrame, ratio: float) -> DataFrame:
     """Features common to all keys that have at least ``ratio`` times the greatest number of features."""
     sizes = feats.groupBy("key").agg(F.count_distinct("feat").alias("n"))

@@ -142,6 +142,16 @@ def nb_predict_fallback(spark: SparkSession, d: str) -> DataFrame:
     return bayes.fallback_scores(*bayes.train(_observations(spark, d)), _asked(spark, d))
 
 
+@query(_NB + """, q AS (SELECT tid AS qid, min(fid) AS feat FROM cnt WHERE tid % 20 = 0 AND fid IN (SELECT feat FROM fc) GROUP BY tid UNION SELECT tid, max(fid) FROM cnt WHERE tid % 20 = 0 AND fid IN (SELECT feat FROM fc) GROUP BY tid), a AS (SELECT qid, count(*) AS asked FROM q GROUP BY qid),
+    h AS (SELECT qid, key, count(*) AS n, max(k) AS k, sum(ln(c.c) - ln(k)) AS lp FROM q JOIN fc c USING (feat) JOIN keys USING (key) GROUP BY 1, 2) SELECT qid, key, round(k / (SELECT sum(k) FROM keys)::DOUBLE * exp(lp), 9) AS p FROM h JOIN a USING (qid) WHERE n = asked""")
+def nb_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """Probability form of the scores, for the least and the greatest known feature of every twentieth item."""
+    keys, feats = bayes.train(_observations(spark, d))
+    asked = _asked(spark, d).join(feats.select("feat").distinct(), "feat", "left_semi")
+    ends = asked.groupBy("qid").agg(F.array(F.min("feat"), F.max("feat")).alias("fs")).select("qid", F.explode("fs").alias("feat"))
+    return bayes.probabilities(keys, feats, ends)
+
+
 @query(_NB + ", s AS (SELECT key, count(DISTINCT feat) AS n FROM fc GROUP BY key), big AS (SELECT key FROM s WHERE n >= 0.8 * (SELECT max(n) FROM s)) SELECT feat FROM fc WHERE key IN (SELECT key FROM big) GROUP BY feat HAVING count(DISTINCT key) = (SELECT count(*) FROM big)")
 def nb_common_features(spark: SparkSession, d: str) -> DataFrame:
     """Features common to the keys with most features."""
