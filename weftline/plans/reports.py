@@ -130,9 +130,18 @@ def input_maps(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT uid, length(list_last(string_split(substr(src_text, 1, strpos(src_text, '{') - 1), chr(10))))::BIGINT AS col FROM srcs WHERE strpos(src_text, '{') > 0 AND regexp_full_match(src_text, '[\\x00-\\x7f]*') AND NOT contains(src_text, chr(9))")
 def block_columns(spark: SparkSession, d: str) -> DataFrame:
     """Column of the first block of each ASCII source without tabs."""
-    own = m.sources(spark, d).where(F.col("src_text").rlike("^[\\x00-\\x7f]*\\z") & ~F.col("src_text").contains("\t"))
+    return _block_column(m.sources(spark, d).where(F.col("src_text").rlike("^[\\x00-\\x7f]*\\z") & ~F.col("src_text").contains("\t")))
+
+
+def _block_column(files: DataFrame) -> DataFrame:
     at = F.instr("src_text", "{")
-    return own.where(at > 0).select("uid", tx.column_position(F.substring("src_text", F.lit(1), at - 1)).alias("col"))
+    return files.where(at > 0).select("uid", tx.column_position(F.substring("src_text", F.lit(1), at - 1)).alias("col"))
+
+
+@query(None)
+def whole_block_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Column of the first block of each source that has one, with tab stops of eight."""
+    return _block_column(m.sources(spark, d))
 
 
 @query(graphs.SQL["call_paths"].replace(V, "", 1).replace("SELECT array_to_string(path, '>') AS path, CAST(len AS BIGINT) AS len FROM pth", "SELECT array_to_string(path[1:len(path) - 1], '>') AS parent, array_to_string(path, '>') AS child, CAST(len AS BIGINT) AS depth FROM pth WHERE len > 0"))
