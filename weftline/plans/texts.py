@@ -234,5 +234,5 @@ def graph_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def dot_graphs(spark: SparkSession, d: str) -> DataFrame:
-    """GraphViz text of every method with at most 50 nodes, clusters per scope."""
-    return graph_xml.dot(m.nodes(spark, d), m.links(spark, d), 50)
+    """GraphViz text of every method, clusters per scope; large methods in several rows."""
+    return graph_xml.dot(m.nodes(spark, d), m.links(spark, d))

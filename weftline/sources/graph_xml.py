@@ -133,21 +133,34 @@ def write(flat: DataFrame, key: str) -> DataFrame:
 _SHAPES = {"call": "box, style=bold", "new": "box, style=bold", "input": "box, rank=source", "output": "box, rank=sink", "join": "diamond", "begin": "diamond", "end": "diamond", "repeat": "diamond"}
 
 
-def dot(nodes: DataFrame, links: DataFrame, most_nodes: int) -> DataFrame:
-    """(mid, dot): GraphViz text of every method of at most ``most_nodes`` nodes; informational links are dotted.
+BLOCK = 1024
 
-    A picture of more nodes is of no use, so larger methods have none.
+
+def dot(nodes: DataFrame, links: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(mid, section, sid, block, dot): GraphViz text of every method; informational links are dotted.
+
+    A method of up to ``block`` nodes and links is one row of section 0. A larger one is several rows, whose texts in order of
+    section, sid and block are its graph: its head (0), its scopes' clusters (1), its links (2) and its end (3). Clusters and
+    links are in blocks by id of at most ``block`` each, so no string holds a hot method; a cluster named again goes on.
     """
-    small = nodes.where("mid is not null").groupBy("mid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most_nodes).select("mid")
-    own = nodes.join(small, "mid", "left_semi")
+    own = nodes.where("mid is not null")
     shape = F.lit("ellipse")
     for kind, look in _SHAPES.items():
         shape = F.when(F.col("kind") == kind, look).otherwise(shape)
     text = F.concat(F.lit("  N"), F.col("nid"), F.lit(' [label="'), fn.dot_escape(F.coalesce(fn.display_text(F.col("kind"), F.col("ref_name"), F.col("ndata")), F.lit(""))), F.lit('", shape='), shape, F.lit("];"))
-    inside = own.groupBy("mid", "sid").agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias("t"))
+    lines = F.array_join(F.array_sort(F.collect_list("line")), "\n")
+    inside = own.select("mid", "sid", F.floor(F.col("nid") / block).alias("block"), text.alias("line")).groupBy("mid", "sid", "block").agg(lines.alias("t"))
     cluster = F.concat(F.lit(" subgraph cluster_"), F.coalesce(F.col("sid").cast("string"), F.lit("none")), F.lit(" {\n"), F.col("t"), F.lit("\n }"))
-    clusters = inside.groupBy("mid").agg(F.array_join(F.array_sort(F.collect_list(cluster)), "\n").alias("clusters"))
+    clusters = inside.select("mid", F.lit(1).alias("section"), "sid", "block", cluster.alias("t"))
     style = F.when(F.col("label").startswith("_"), ", style=dotted").otherwise("")
     edge = F.concat(F.lit(" N"), F.col("nid1"), F.lit(" -> N"), F.col("nid0"), F.lit(' [label="'), fn.dot_escape(F.col("label")), F.lit('"'), style, F.lit("];"))
-    edges = links.join(own.select(F.col("nid").alias("nid0"), "mid"), "nid0").groupBy("mid").agg(F.array_join(F.array_sort(F.collect_list(edge)), "\n").alias("edges"))
-    return clusters.join(edges, "mid", "left").select("mid", F.concat(F.lit("digraph {\n"), "clusters", F.lit("\n"), F.coalesce("edges", F.lit("")), F.lit("\n}")).alias("dot"))
+    inner = links.join(own.select(F.col("nid").alias("nid0"), "mid"), "nid0").select("mid", F.floor(F.col("lid") / block).alias("block"), edge.alias("line"))
+    edges = inner.groupBy("mid", "block").agg(lines.alias("t")).select("mid", F.lit(2).alias("section"), F.lit(None).cast("long").alias("sid"), "block", "t")
+    parts = clusters.unionByName(edges)
+    sizes = own.groupBy("mid").agg(F.count(F.lit(1)).alias("n")).unionByName(inner.groupBy("mid").agg(F.count(F.lit(1)).alias("n"))).groupBy("mid").agg((F.sum("n") > block).alias("large"))
+    ends = sizes.select("mid", F.explode(F.array(F.struct(F.lit(0).alias("section"), F.lit("digraph {").alias("t")), F.struct(F.lit(3).alias("section"), F.lit("}").alias("t")))).alias("x"))
+    ends = ends.select("mid", "x.section", F.lit(None).cast("long").alias("sid"), F.lit(None).cast("long").alias("block"), "x.t")
+    every = parts.unionByName(ends).join(sizes, "mid")
+    row = [F.when(F.col("large"), F.col("section")).otherwise(0).alias("section"), *(F.when(F.col("large"), F.col(c)).alias(c) for c in ("sid", "block"))]
+    in_order = F.transform(F.array_sort(F.collect_list("part")), lambda x: x["t"])
+    return every.select("mid", *row, F.struct("section", "sid", "block", "t").alias("part")).groupBy("mid", "section", "sid", "block").agg(F.array_join(in_order, "\n").alias("dot"))
