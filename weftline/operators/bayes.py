@@ -50,6 +50,24 @@ def probabilities(keys: DataFrame, feats: DataFrame, queries: DataFrame) -> Data
     return hits.join(asked, "qid").where("n = asked").select("qid", "key", F.round(F.col("k") / F.lit(float(total)) * F.exp("lp"), 9).alias("p"))
 
 
+def log_probabilities(keys: DataFrame, feats: DataFrame, queries: DataFrame, fallback: bool = False) -> DataFrame:
+    """(qid, key, lp): the logarithm of the key's share of all keys times c / k of every known feature, which cannot underflow.
+
+    A key that lacks a feature is left out, or with ``fallback`` counts it as 1 / k; then every key has a row for every query
+    with a known feature.
+    """
+    total = keys.agg(F.sum("k")).first()[0] or 1
+    known = queries.select("qid", "feat").distinct().join(feats.select("feat").distinct(), "feat", "left_semi")
+    asked = known.groupBy("qid").agg(F.count(F.lit(1)).alias("asked"))
+    hits = known.join(feats, "feat").join(keys, "key").groupBy("qid", "key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.log("c")).alias("lc"))
+    if fallback:
+        per = asked.crossJoin(keys).join(hits, ["qid", "key"], "left")
+    else:
+        per = hits.join(asked, "qid").where("n = asked").join(keys, "key")
+    lp = F.log(F.col("k") / F.lit(float(total))) + F.coalesce("lc", F.lit(0.0)) - F.col("asked") * F.log("k")
+    return per.select("qid", "key", F.round(lp, 6).alias("lp"))
+
+
 def common_features(feats: DataFrame, ratio: float) -> DataFrame:
     """Features common to all keys that have at least ``ratio`` times the greatest number of features."""
     sizes = feats.groupBy("key").agg(F.count_distinct("feat").alias("n"))

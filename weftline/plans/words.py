@@ -152,6 +152,22 @@ def nb_probabilities(spark: SparkSession, d: str) -> DataFrame:
     return bayes.probabilities(keys, feats, ends)
 
 
+_ASKED = """, q AS (SELECT DISTINCT tid AS qid, fid AS feat FROM cnt WHERE tid % 20 = 0 AND fid IN (SELECT feat FROM fc)), a AS (SELECT qid, count(*) AS asked FROM q GROUP BY qid),
+    h AS (SELECT qid, key, count(*) AS n, sum(ln(c.c)) AS lc FROM q JOIN fc c USING (feat) JOIN keys USING (key) GROUP BY 1, 2)"""
+
+
+@query(_NB + _ASKED + " SELECT qid, key, round(ln(k / (SELECT sum(k) FROM keys)::DOUBLE) + lc - asked * ln(k), 6) AS lp FROM h JOIN a USING (qid) JOIN keys USING (key) WHERE n = asked")
+def nb_whole_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """Logarithm of the probability form, for all known features of every twentieth item."""
+    return bayes.log_probabilities(*bayes.train(_observations(spark, d)), _asked(spark, d))
+
+
+@query(_NB + _ASKED + " SELECT qid, key, round(ln(k / (SELECT sum(k) FROM keys)::DOUBLE) + coalesce(lc, 0) - asked * ln(k), 6) AS lp FROM a CROSS JOIN keys LEFT JOIN h USING (qid, key)")
+def nb_fallback_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """The same for all keys, lacking features counted as one."""
+    return bayes.log_probabilities(*bayes.train(_observations(spark, d)), _asked(spark, d), fallback=True)
+
+
 @query(_NB + ", s AS (SELECT key, count(DISTINCT feat) AS n FROM fc GROUP BY key), big AS (SELECT key FROM s WHERE n >= 0.8 * (SELECT max(n) FROM s)) SELECT feat FROM fc WHERE key IN (SELECT key FROM big) GROUP BY feat HAVING count(DISTINCT key) = (SELECT count(*) FROM big)")
 def nb_common_features(spark: SparkSession, d: str) -> DataFrame:
     """Features common to the keys with most features."""
