@@ -7,6 +7,8 @@ round is cut by a reliable checkpoint.
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -285,14 +287,16 @@ def main_paths(edges: DataFrame, ratio: float = 0.9, fan: int = 5, task_edges: i
     return kept.distinct()
 
 
-def simple_paths(starts: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """(path array, len): all paths of ``edges`` from ``starts`` (node) that visit no node twice, up to ``most`` edges."""
+def simple_paths(starts: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(path array, len): all paths of ``edges`` from ``starts`` (node) that visit no node twice, up to ``most`` edges if given."""
     e = _clean(edges)
     front = starts.select("node", F.array("node").alias("path"), F.lit(0).cast("long").alias("len"))
     out = front
-    for k in range(1, most + 1):
+    for k in itertools.count(1) if most is None else range(1, most + 1):
         step = front.join(e.toDF("node", "nxt"), "node").where(~F.array_contains("path", F.col("nxt")))
         front = cut(step.select(F.col("nxt").alias("node"), F.concat("path", F.array("nxt")).alias("path"), F.lit(k).cast("long").alias("len")))
+        if front.isEmpty():
+            break
         out = out.unionByName(front)
     return out.select("path", "len")
 

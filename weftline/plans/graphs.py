@@ -103,22 +103,42 @@ def item_groups(spark: SparkSession, d: str) -> DataFrame:
     SELECT array_to_string(path, '>') AS path, CAST(len AS BIGINT) AS len FROM pth""")
 def call_paths(spark: SparkSession, d: str) -> DataFrame:
     """Call paths from methods that nothing calls, up to four calls deep, without repetition."""
+    return _paths(spark, d, 4)
+
+
+def _paths(spark: SparkSession, d: str, most: int | None) -> DataFrame:
     e = cut(call_graph(spark, d))
     roots = e.select(F.col("src").alias("node")).distinct().join(e.select(F.col("dst").alias("node")), "node", "left_anti")
-    return graph.simple_paths(roots, e, 4).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "len")
+    return graph.simple_paths(roots, e, most).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "len")
+
+
+@query(SQL["call_paths"].replace(V, "", 1).replace(" WHERE len < 4)", ")"))
+def whole_call_paths(spark: SparkSession, d: str) -> DataFrame:
+    """All call paths from methods that nothing calls, however deep, without repetition."""
+    return _paths(spark, d, None)
 
 
 @query(_CG + """, pth AS (SELECT node, [node] AS path FROM vx WHERE node NOT IN (SELECT dst FROM cg) UNION ALL SELECT cg.dst, list_append(path, cg.dst) FROM pth JOIN cg ON cg.src = pth.node AND NOT list_contains(path, cg.dst) WHERE len(path) < 5)
     SELECT repeat('  ', len(path) - 1) || list_last(path) || CASE WHEN row_number() OVER (PARTITION BY list_last(path) ORDER BY array_to_string(path, '>')) > 1 THEN ' *' ELSE '' END AS shown, array_to_string(path, '>') AS path FROM pth""")
 def call_tree(spark: SparkSession, d: str) -> DataFrame:
     """The call tree as indented lines; a method shown again has a star."""
+    return _tree(call_paths(spark, d))
+
+
+def _tree(paths: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 
-    p = call_paths(spark, d).select("path", F.substring_index("path", ">", -1).alias("leaf"), "len")
+    p = paths.select("path", F.substring_index("path", ">", -1).alias("leaf"), "len")
     again = F.row_number().over(W.partitionBy("leaf").orderBy("path")) > 1
     return p.select(F.concat(F.repeat(F.lit("  "), F.col("len").cast("int")), F.col("leaf"), F.when(again, " *").otherwise("")).alias("shown"), "path")
 
 
+@query(SQL["call_tree"].replace(V, "", 1).replace(" WHERE len(path) < 5)", ")"))
+def whole_call_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The call tree of all call paths, however deep."""
+    return _tree(whole_call_paths(spark, d))
+
+
 @query(_CG + """, own AS (SELECT DISTINCT mid, ref_name AS ref FROM nodes WHERE kind IN ('passin', 'passout', 'input', 'output') AND left(ref_name, 1) IN ('.', '@') AND mid IS NOT NULL)
     SELECT DISTINCT r.a AS mid, o.ref FROM reach r JOIN own o ON o.mid = r.b EXCEPT SELECT mid, ref FROM own""")
 def passed_references(spark: SparkSession, d: str) -> DataFrame:
