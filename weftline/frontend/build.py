@@ -600,7 +600,7 @@ class MethodGraph:
 
     def x_other(self, n: Node) -> int:
         vs = [self.value(k) for k in n.kids if k.rule in ("expression", "ternary", "binary", "unary", "primary", "initializer")]
-        return vs[-1] if vs else self.node("value", None, " ".join(self.f.w[n.start : n.end])[:200], "?", n)
+        return vs[-1] if vs else self.node("value", None, " ".join(self.f.w[n.start : n.end]), "?", n)
 
     def x_initializer(self, n: Node) -> int:
         made = self.node("valueset", None, None, "?", n)
@@ -769,7 +769,7 @@ class MethodGraph:
             elif kind == "new":
                 v = self.value(kid)
             else:
-                v = self.node("value", None, "".join(w[at.start : at.end])[:200], "?", at) if v is None else v
+                v = self.node("value", None, "".join(w[at.start : at.end]), "?", at) if v is None else v
         return v if v is not None else self.node("value", None, name, cls or "?", at)
 
     def _call(self, obj: int | None, cls: str | None, name: str, args: Node, at: Node) -> int:
@@ -795,7 +795,7 @@ class MethodGraph:
         if t == "LIT":
             text = w[n.start]
             type_ = "Ljava/lang/String;" if text[0] == '"' else "C" if text[0] == "'" else "Z" if text in ("true", "false") else "?" if text == "null" else "D" if "." in text else "I"
-            return self.node("value", None, text[:200], type_, n)
+            return self.node("value", None, text, type_, n)
         if t == "(":
             return self.value(n.kids[0])
         if t == "this":
@@ -810,7 +810,7 @@ class MethodGraph:
             return self.value(n.only("creator")[0])
         if t == "switch":
             return self.switch(n.only("switch_body")[0])
-        return self.node("value", None, "".join(w[n.start : n.end])[:200], "?", n)
+        return self.node("value", None, "".join(w[n.start : n.end]), "?", n)
 
     def x_creator(self, n: Node) -> int:
         w, args = self.f.w, n.only("arguments")

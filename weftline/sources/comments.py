@@ -33,7 +33,7 @@ def scan(text: str) -> list[tuple[int, int, str, int, int, str | None, str | Non
             waiting.append(len(out))
             out.append([s, e, doc, line, column(text, s), before, None])
         elif kind != "space":
-            before = match.group()[:80]
+            before = match.group()
             for k in waiting:
                 out[k][6] = before
             waiting = []
