@@ -71,3 +71,23 @@ def test_empty_and_below(spark):
     df = spark.createDataFrame([(1, None, "r", 1, "x"), (2, 1, "k", 1, "x"), (3, 2, "g", 2, "x")], SCHEMA)
     ranges = hierarchy(df, "sid", "parent", "nm", "mid")
     assert sorted(map(tuple, below(ranges, "sid", df).collect())) == [(1, 2), (1, 3), (2, 3)]
+    assert sorted(map(tuple, below(ranges, "sid", df, 1).collect())) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_ids_of_the_full_range_and_an_outlier(spark):
+    rnd = random.Random(9)
+    ids = [rnd.randrange(-(1 << 62), 1 << 62) for _ in range(60)] + [-1, -(1 << 63) + 2, (1 << 63) - 1]
+    rows = [(s, rnd.choice([None, *ids[:k]]) if k else None, "n", 7, "x") for k, s in enumerate(ids)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = hierarchy(df, "sid", "parent", "nm", "mid", 10, 10**6).collect()
+    assert {r["sid"]: (r["root"], r["depth"], r["path"]) for r in got} == brute(rows)
+    dense = [(k, k // 3 if k else None, "n", 7, "x") for k in range(200)] + [(1 << 60, 0, "n", 7, "x")]
+    got = hierarchy(spark.createDataFrame(dense, SCHEMA), "sid", "parent", "nm", "mid", 50, 10**6)
+    assert {r["sid"]: (r["root"], r["depth"], r["path"]) for r in got.collect()} == brute(dense)
+    pairs = {tuple(r) for r in below(got, "sid", got, 16).collect()}
+    want = set()
+    for s, p, *_ in dense:
+        while p is not None:
+            want.add((p, s))
+            p = dense[p][1]
+    assert pairs == want

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +18,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and workers share one machine."""
+    return spark.sparkContext.master.startswith("local")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a local session without one (tests) gets a folder of its own.
+
+    On a cluster without that setting it raises: what lies on one machine is lost with it.
+    """
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not is_local(spark):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="weftline-")
+    return _local[app]
+
+
+_local: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; only a session without one (tests) gets a local folder."""
+    """Use the shared folder for checkpoints; files of a checkpoint go once nothing refers to it any more."""
     jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="weftline-"))
+    if not jsc.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    jsc.conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,6 +56,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stamp(spark: SparkSession, path: str) -> str:
+    """Bytes and time of the last change of a file or folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return f"{fs.getContentSummary(where).getLength()}-{fs.getFileStatus(where).getModificationTime()}"
+
+
+_kept: dict[tuple[str, str], str] = {}
+
+
+def kept(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build`` derives from ``source``, written once per application and state of the source.
+
+    Later queries scan it with their own columns and filters pushed down instead of deriving it again.
+    """
+    key = (spark.sparkContext.applicationId, hashlib.md5(f"{name} {source} {stamp(spark, source)}".encode()).hexdigest())
+    if key not in _kept:
+        folder = f"{shared_folder(spark)}/stores/{key[0]}/{key[1]}"
+        build().write.mode("overwrite").parquet(folder)
+        _kept[key] = folder
+    return spark.read.parquet(_kept[key])
+
+
 def one_per_key(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     """One row per non-null ``key``; repeated deliveries of a key agree in ``cols``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.common import one_per_key, table
+from weftline.common import kept, one_per_key, table
 
 # Fixed values of the data model.
 CALL_KINDS = ("call", "new")
@@ -15,53 +15,65 @@ STRING_TYPE = "Ljava/lang/String;"
 TRANSPARENT = ("assign_var", "ref_var", "join", "begin", "end", "repeat", "passin", "passout", "case", "output", "input", "receive")
 
 
+def _store(spark: SparkSession, d: str, name: str, key: str, cols: list[str]) -> DataFrame:
+    """The clean store of a table: one row per key, kept for all queries of the application."""
+    return kept(spark, name, f"{d}/{name}.parquet", lambda: one_per_key(table(spark, d, name), key, cols))
+
+
 def methods(spark: SparkSession, d: str) -> DataFrame:
     """(mid, kid, method_id, method_name, style, ast_start, ast_end)."""
-    return one_per_key(table(spark, d, "dfmethod"), "mid", ["kid", "method_id", "method_name", "style", "ast_start", "ast_end"])
+    return _store(spark, d, "dfmethod", "mid", ["kid", "method_id", "method_name", "style", "ast_start", "ast_end"])
 
 
 def scopes(spark: SparkSession, d: str) -> DataFrame:
     """(sid, mid, parent, scope_name)."""
-    return one_per_key(table(spark, d, "dfscope"), "sid", ["mid", "parent", "scope_name"])
+    return _store(spark, d, "dfscope", "sid", ["mid", "parent", "scope_name"])
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
     """(nid, mid, sid, kind, ref_name, ndata, ntype, ast_start, ast_end)."""
-    return one_per_key(table(spark, d, "dfnode"), "nid", ["mid", "sid", "kind", "ref_name", "ndata", "ntype", "ast_start", "ast_end"])
+    return _store(spark, d, "dfnode", "nid", ["mid", "sid", "kind", "ref_name", "ndata", "ntype", "ast_start", "ast_end"])
 
 
 def links(spark: SparkSession, d: str) -> DataFrame:
     """(lid, nid0, nid1, label): nid0 accepts from nid1; the default label is ''."""
-    rows = one_per_key(table(spark, d, "dflink").withColumn("label", F.coalesce("label", F.lit(""))), "lid", ["nid0", "nid1", "label"])
-    return rows.where(F.col("nid0").isNotNull() & F.col("nid1").isNotNull())
+
+    def build() -> DataFrame:
+        rows = one_per_key(table(spark, d, "dflink").withColumn("label", F.coalesce("label", F.lit(""))), "lid", ["nid0", "nid1", "label"])
+        return rows.where(F.col("nid0").isNotNull() & F.col("nid1").isNotNull())
+
+    return kept(spark, "dflink", f"{d}/dflink.parquet", build)
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
     """(tid, item)."""
-    return one_per_key(table(spark, d, "items"), "tid", ["item"])
+    return _store(spark, d, "items", "tid", ["item"])
 
 
 def feats(spark: SparkSession, d: str) -> DataFrame:
     """(fid, feat): the text without white space at its ends."""
-    rows = one_per_key(table(spark, d, "feats"), "fid", ["feat"])
-    return rows.select("fid", F.btrim("feat", F.lit(" \t\n")).alias("feat"))
+    return _store(spark, d, "feats", "fid", ["feat"]).select("fid", F.btrim("feat", F.lit(" \t\n")).alias("feat"))
 
 
 def itemfeats(spark: SparkSession, d: str) -> DataFrame:
     """(sid0, sid1, tid, fid, feat_count): a null count is 0."""
-    rows = one_per_key(table(spark, d, "itemfeats"), "sid0", ["sid1", "tid", "fid", "feat_count"])
+    rows = _store(spark, d, "itemfeats", "sid0", ["sid1", "tid", "fid", "feat_count"])
     return rows.withColumn("feat_count", F.coalesce("feat_count", F.lit(0)))
 
 
 def counts(spark: SparkSession, d: str) -> DataFrame:
     """(tid, fid, c): the summed counts of every item and feature."""
-    rows = itemfeats(spark, d).where(F.col("tid").isNotNull() & F.col("fid").isNotNull())
-    return rows.groupBy("tid", "fid").agg(F.sum("feat_count").alias("c"))
+
+    def build() -> DataFrame:
+        rows = itemfeats(spark, d).where(F.col("tid").isNotNull() & F.col("fid").isNotNull())
+        return rows.groupBy("tid", "fid").agg(F.sum("feat_count").alias("c"))
+
+    return kept(spark, "counts", f"{d}/itemfeats.parquet", build)
 
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
     """(uid, filename, reponame, branchname, commitid, srcpath, src_text)."""
-    return one_per_key(table(spark, d, "sourcemap"), "uid", ["filename", "reponame", "branchname", "commitid", "srcpath", "src_text"])
+    return _store(spark, d, "sourcemap", "uid", ["filename", "reponame", "branchname", "commitid", "srcpath", "src_text"])
 
 
 #: The same views for the SQL twins.

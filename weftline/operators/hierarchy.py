@@ -3,8 +3,8 @@
 Subtree sizes go upward, then every node hands its children consecutive preorder ranges (prefix sums over the siblings)
 downward. What the upward pass never finishes lies on a circle; what the downward pass never reaches leads into one.
 
-To keep the number of Spark jobs independent of the depth, the rows are cut into blocks (by a locality key, large keys
-split by id range), and both passes run inside a block at once. A fragment is what hangs together within a block; a link
+To keep the number of Spark jobs independent of the depth, the rows are cut into blocks (ranges of equal size in the
+order of a locality key and the id, so that a large key is split), and both passes run inside a block at once. A fragment is what hangs together within a block; a link
 between blocks makes the child's fragment a virtual leaf of the parent's block. Three steps:
 
 1. per block: the fragments' own sizes, and the fragment to which each virtual leaf belongs;
@@ -27,10 +27,12 @@ from weftline.common import cut
 
 #: Rows of a block, and links between blocks that one task resolves.
 BLOCK_ROWS, TASK_LINKS = 100_000, 2_000_000
+#: Places of a bin when ranges are joined.
+BIN_ROWS = 4096
 #: Depths of nodes on a circle and of nodes whose parents lead into one.
 ON_CIRCLE, INTO_CIRCLE = -1, -2
-#: Stands for "no parent" where arrays have no null.
-NONE = -(1 << 63)
+#: Stand for "no parent" and for "no fragment, as on a circle" where arrays have no null; no id may be one of these two.
+NONE, CIRCLED = -(1 << 63), -(1 << 63) + 1
 
 
 def _positions(ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -97,14 +99,14 @@ def _block(pdf: pd.DataFrame, weight: np.ndarray | None):
     at = _positions(ids[real], parent)
     up = np.where((at >= 0) & (parent != NONE), real[at] if len(real) else -1, -1)
     s = solve(ids, up, (~leaf).astype(np.int64) if weight is None else weight)
-    frag = np.where(s["state"] == 0, ids[s["root"]], -1) if len(ids) else ids
+    frag = np.where(s["state"] == 0, ids[s["root"]], CIRCLED) if len(ids) else ids
     return s, ids, up, leaf, frag, (up < 0) & (parent != NONE)
 
 
 def _fragments(pdf: pd.DataFrame) -> pd.DataFrame:
     """Step 1: the fragments below another block's, and the virtual leaves, with the own size of the fragment.
 
-    A leaf's ``frag`` is the fragment that holds its parent, -1 if that lies on a circle within the block or leads there.
+    A leaf's ``frag`` is the fragment that holds its parent, CIRCLED if that lies on a circle within the block or leads there.
     """
     _, ids, _, leaf, frag, foreign = _block(pdf, None)
     kinds, which = np.unique(frag, return_inverse=True)
@@ -192,18 +194,14 @@ def hierarchy(df: DataFrame, key: str, parent: str, name: str | None = None, loc
     a.first < b.first <= a.last. ``path`` joins the names from the root by '/', null without ``name``; a null name counts
     as ''. A null parent, or one that is no key, makes a root of depth 0. On a circle of parents root and depth are -1,
     on a way into one -1 and -2; range and path are null there. Repeated rows of a key count once. ``locality`` only
-    decides which rows share a block.
+    decides which rows share a block. The ids -2^63 and -2^63 + 1 are reserved.
     """
     picked = [F.min(parent).alias("parent"), (F.min(name) if name else F.lit(None).cast("string")).alias("name"), (F.min(locality) if locality else F.lit(None).cast("long")).alias("loc")]
     rows = cut(df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("sid")).agg(*picked))
     n = rows.count()
     blocks = max(1, n // block_rows)
-    # a locality key above the block size is split by id range
-    per = rows.groupBy("loc").agg(F.count(F.lit(1)).alias("n_loc"), F.min("sid").alias("lo"), F.max("sid").alias("hi")).where(F.col("n_loc") > block_rows)
-    placed = rows.join(per, rows["loc"].eqNullSafe(per["loc"]), "left").drop(per["loc"])
-    slot = F.floor((F.col("sid") - F.col("lo")) * F.ceil(F.col("n_loc") / block_rows) / (F.col("hi") - F.col("lo") + 1))
-    block = F.pmod(F.xxhash64(F.coalesce("loc", F.col("sid") if locality is None else F.lit(-1)), F.coalesce(slot, F.lit(0))), F.lit(blocks))
-    placed = cut(placed.select("sid", "parent", "name", block.alias("block")))
+    ranged = rows.repartitionByRange(blocks, "loc", "sid")
+    placed = cut(ranged.select("sid", "parent", "name", F.spark_partition_id().cast("long").alias("block")))
     above = placed.select(F.col("sid").alias("parent"), F.col("block").alias("pblock"))
     linked = cut(placed.join(above, "parent", "left").select("sid", F.when(F.col("pblock").isNotNull(), F.col("parent")).otherwise(F.lit(NONE)).alias("parent"), "name", "block", "pblock"))
     nodes = linked.select("block", "sid", "parent", "name", F.lit(False).alias("leaf"))
@@ -211,10 +209,10 @@ def hierarchy(df: DataFrame, key: str, parent: str, name: str | None = None, loc
     leaves = linked.where("pblock <> block").select(F.col("pblock").alias("block"), "sid", "parent", F.lit(None).cast("string").alias("name"), F.lit(True).alias("leaf"))
     step1 = cut(nodes.unionByName(leaves).groupBy("block").applyInPandas(_fragments, "sid bigint, frag bigint, size bigint, leaf boolean"))
     joint = step1.where("leaf").select(F.col("sid").alias("frag"), F.col("frag").alias("up"), "size")
-    upper = joint.where("up <> -1").select(F.col("up").alias("frag"), "size")
+    upper = joint.where(F.col("up") != CIRCLED).select(F.col("up").alias("frag"), "size")
     sizes = step1.where("not leaf").select("frag", "size").unionByName(upper).groupBy("frag").agg(F.max("size").alias("w"))
     # a fragment below a circle within a block gets itself as parent: whatever the fragments say, it is in no tree
-    in_circle = F.coalesce(F.col("up") == -1, F.lit(False))
+    in_circle = F.coalesce(F.col("up") == CIRCLED, F.lit(False))
     links = sizes.join(joint.select("frag", "up"), "frag", "left").select("frag", F.when(in_circle, F.col("frag")).otherwise(F.coalesce("up", F.lit(NONE))).alias("up"), "w", in_circle.alias("below"))
     links = cut(links)
     in_task = links.count() <= task_links
@@ -244,8 +242,15 @@ def hierarchy(df: DataFrame, key: str, parent: str, name: str | None = None, loc
     )
 
 
-def below(ranges: DataFrame, key: str, tops: DataFrame) -> DataFrame:
-    """(top, key): the nodes below each of ``tops`` (column ``key``), by the ranges of their tree."""
-    t = ranges.join(tops.select(key).distinct(), key, "left_semi").where("first is not null").select(F.col(key).alias("top"), F.col("root").alias("t_root"), F.col("first").alias("t_first"), F.col("last").alias("t_last"))
-    inside = (F.col("root") == F.col("t_root")) & (F.col("first") > F.col("t_first")) & (F.col("first") <= F.col("t_last"))
-    return ranges.where("first is not null").join(t, inside).select("top", key)
+def below(ranges: DataFrame, key: str, tops: DataFrame, bin_rows: int = BIN_ROWS) -> DataFrame:
+    """(top, key): the nodes below each of ``tops`` (column ``key``), by the ranges of their tree.
+
+    The places of a tree are cut into bins of ``bin_rows``; a top meets only the bins that its range touches, so even a
+    tree with most of the rows is spread over many tasks and every pair that meets lies in the result or in an end bin.
+    """
+    placed = ranges.where("first is not null").withColumn("bin", F.floor(F.col("first") / bin_rows))
+    t = ranges.join(tops.select(key).distinct(), key, "left_semi").where("first is not null and last > first")
+    touched = F.explode(F.sequence(F.floor((F.col("first") + 1) / bin_rows), F.floor(F.col("last") / bin_rows)))
+    t = t.select(F.col(key).alias("top"), "root", F.col("first").alias("t_first"), F.col("last").alias("t_last"), touched.alias("bin"))
+    inside = (F.col("first") > F.col("t_first")) & (F.col("first") <= F.col("t_last"))
+    return placed.join(t, ["root", "bin"]).where(inside).select("top", key)

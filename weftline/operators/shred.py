@@ -5,7 +5,8 @@ repeated ancestor it continues) and a definition level (how much of its path exi
 deeper copy is a path of its own, made when it first occurs. An instance of a group gives every group directly below it
 at least one entry, a placeholder where there is none, and nothing further below; so, of the entries of a group, those
 with a repetition level up to the parent group's begin a new parent instance. A running count of them is the index of
-the parent, which is all that is needed to link the rows of a table with those of the table above.
+the parent, which is all that is needed to link the rows of a table with those of the table above. As any object may
+come as a list of objects, every group counts as repeated.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ class Group:
     steps: tuple[str, ...]
     leaves: tuple[str, ...]
     groups: tuple[str, ...] = ()
-    repeated: bool = True
 
 
 @dataclass
@@ -48,15 +48,15 @@ class Columns:
 LAYOUT = {
     g.name: g
     for g in (
-        Group("class", ("export", "class"), ("name", "path", "extends"), ("field", "method"), repeated=False),
+        Group("class", ("export", "class"), ("name", "path", "extends"), ("field", "method")),
         Group("field", ("fields",), ("name", "type", "static")),
         Group("method", ("methods",), ("id", "name", "style"), ("caller", "mast", "top")),
         Group("caller", ("callers",), ("",)),
-        Group("mast", ("ast",), ("type", "start", "end"), repeated=False),
-        Group("top", ("scope",), ("name",), ("node", "scope"), repeated=False),
+        Group("mast", ("ast",), ("type", "start", "end")),
+        Group("top", ("scope",), ("name",), ("node", "scope")),
         Group("scope", ("scopes",), ("name",), ("node", "scope")),
         Group("node", ("nodes",), ("id", "kind", "ref", "ndata", "ntype"), ("nast", "link")),
-        Group("nast", ("ast",), ("type", "start", "end"), repeated=False),
+        Group("nast", ("ast",), ("type", "start", "end")),
         Group("link", ("accept",), ("label", "src")),
     )
 }
@@ -85,32 +85,19 @@ def text(value) -> str | None:
 def shred(records: list, layout: dict[str, Group] = LAYOUT, root: str = ROOT) -> dict[str, Columns]:
     """The columns of decoded ``records`` (None where a body is not valid), by group path.
 
-    A repeated group may be a list, a list of lists, or a single object; absent, null and empty are alike. Groups may be
-    encoded as JSON text. An element that is no object has no leaves, unless the group's only leaf is '' (plain values).
+    A group, and what holds it, may be a list, a list of lists, or a single object, and nothing of it is left out; absent,
+    null and empty are alike. Groups may be encoded as JSON text. An element that is no object has no leaves, unless the group's only leaf is '' (plain values).
     """
     columns: dict[str, Columns] = {}
 
     def at(path: str, group: Group, parent: Columns | None, parent_path: str) -> Columns:
         if path not in columns:
             above = (parent.rep_level, parent.def_level) if parent else (0, 0)
-            columns[path] = Columns(group, parent_path, above[0] + group.repeated, above[1] + 1, values={leaf: [] for leaf in group.leaves})
+            columns[path] = Columns(group, parent_path, above[0] + 1, above[1] + 1, values={leaf: [] for leaf in group.leaves})
         return columns[path]
 
-    def items(group: Group, value) -> list:
-        for step in group.steps:
-            if isinstance(value, str):
-                value = decoded(value)
-            value = value.get(step) if isinstance(value, dict) else None
-        plain = group.leaves == ("",)
-        if not plain and isinstance(value, str):
-            value = decoded(value)
-        if value is None:
-            return []
-        if not isinstance(value, list):
-            return [value]
-        if not group.repeated:
-            return value[:1]
-        flat, stack = [], list(reversed(value))
+    def spread(value, plain: bool) -> list:
+        flat, stack = [], [value]
         while stack:
             v = stack.pop()
             if not plain and isinstance(v, str):
@@ -121,6 +108,12 @@ def shred(records: list, layout: dict[str, Group] = LAYOUT, root: str = ROOT) ->
                 flat.append(v)
         return flat
 
+    def items(group: Group, holder) -> list:
+        found = [holder]
+        for step in group.steps:
+            found = [v[step] for value in found for v in spread(value, False) if isinstance(v, dict) and v.get(step) is not None]
+        return [v for value in found for v in spread(value, group.leaves == ("",))]
+
     # depth-first with an own stack: nesting may be deeper than Python's calls
     for record in records:
         stack = [(layout[root], record, layout[root].name, None, "", 0)]
@@ -163,18 +156,32 @@ def tables(columns: dict[str, Columns], root: str = ROOT) -> dict[str, pd.DataFr
     return out
 
 
-ROW = "rec_id bigint, entity string, parent_key string, item_key string, label string, kind string, ref string, ndata string, ntype string"
+ROW = "rec_id bigint, entity string, item_no bigint, parent_no bigint, parent_key string, item_key string, label string, kind string, ref string, ndata string, ntype string"
+
+
+def _numbers(tabs: dict[str, pd.DataFrame], n_records: int) -> dict[str, np.ndarray]:
+    """A number for every instance, unique in its record whatever else the batch holds: paths by name, then their order."""
+    used = np.zeros(n_records, dtype=np.int64)
+    out = {}
+    for path in sorted(tabs):
+        rec = tabs[path]["#record"].to_numpy().astype(np.int64)
+        counts = np.bincount(rec, minlength=n_records)
+        nth = np.arange(len(rec)) - (np.cumsum(counts) - counts)[rec]
+        out[path] = used[rec] + nth
+        used += counts
+    return out
 
 
 def _rows(tabs: dict[str, pd.DataFrame], columns: dict[str, Columns], ids: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Method, scope, node and link rows, each with the key of its parent."""
+    """Method, scope, node and link rows, each with its number, and the number and key of its parent."""
+    numbers = _numbers(tabs, len(ids))
     for path, t in tabs.items():
         group = columns[path].group.name
         if not len(t) or group not in ("method", "top", "scope", "node", "link"):
             continue
-        above = tabs[columns[path].parent]
-        key = {"class": "name", "method": "id", "top": "name", "scope": "name", "node": "id"}[columns[columns[path].parent].group.name]
-        out = pd.DataFrame({"rec_id": ids[t["#record"].to_numpy()], "parent_key": above[key].to_numpy()[t["#parent"].to_numpy()]})
+        up, at = columns[path].parent, t["#parent"].to_numpy()
+        key = {"class": "name", "method": "id", "top": "name", "scope": "name", "node": "id"}[columns[up].group.name]
+        out = pd.DataFrame({"rec_id": ids[t["#record"].to_numpy()], "item_no": numbers[path], "parent_no": numbers[up][at], "parent_key": tabs[up][key].to_numpy()[at]})
         out["entity"] = "scope" if group == "top" else group
         out["item_key"] = t[{"method": "id", "top": "name", "scope": "name", "node": "id", "link": "src"}[group]].to_numpy()
         out["label"] = t["label"].fillna("").to_numpy() if group == "link" else ""
@@ -184,8 +191,9 @@ def _rows(tabs: dict[str, pd.DataFrame], columns: dict[str, Columns], ids: np.nd
 
 
 def flat_rows(df: DataFrame) -> DataFrame:
-    """(rec_id, entity, parent_key, item_key, label, kind, ref, ndata, ntype) of all records in ``body``.
+    """(rec_id, entity, item_no, parent_no, parent_key, item_key, label, kind, ref, ndata, ntype) of all records in ``body``.
 
+    ``item_no`` tells the instances of a record apart, also those of one name; ``parent_no`` is that of the row above.
     A body that is null or not valid JSON, even once decoded, gives no rows, nor does a row without ``rec_id``. Records
     delivered again give the same rows again. A label that is absent is ''.
     """

@@ -53,25 +53,30 @@ def distinct_sketch(name: str, value: Column) -> State:
     return State(name, F.hll_sketch_agg(value).alias(name), "sketch")
 
 
-def tree_rounds(rows: int, partitions: int, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> int:
-    """Rounds until all chunk numbers below the bound fall into one."""
-    chunks = max(1, partitions) * (rows // chunk_rows + 1)
-    return max(1, math.ceil(math.log(max(chunks, 2), fan_in)))
+def tree_rounds(rows: int, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> int:
+    """Rounds until the chunks of ``rows`` rows meet in one."""
+    chunks = max(2, math.ceil(rows / chunk_rows))
+    return max(1, math.ceil(math.log(chunks, fan_in)))
+
+
+def _expected_rows(df: DataFrame, bytes_per_row: int = 4) -> int:
+    """Rows by the size that the optimizer expects; no job runs. It decides on the number of rounds only."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) // bytes_per_row
 
 
 def tree_aggregate(df: DataFrame, key: str, states: Sequence[State], rows: int | None = None, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """One row per value of ``key`` (null is a value of its own) with the merged states.
 
-    ``rows`` is the number of input rows, counted here if it is not given; it sets the number of rounds only. An empty
-    input gives no rows. Repeated rows count each. Columns of ``df`` that no state uses are never read.
+    ``rows`` is the number of input rows, if it is known; it sets the number of rounds only. An empty input gives no
+    rows. Repeated rows count each. Columns of ``df`` that no state uses are never read. Every chunk takes one of
+    ``fan_in ** rounds`` places by a hash of its number, and a round merges ``fan_in`` neighbouring places.
     """
-    n = df.count() if rows is None else rows
-    parts = df.rdd.getNumPartitions()
+    rounds = min(6, tree_rounds(_expected_rows(df) if rows is None else rows, chunk_rows, fan_in))
     place = F.monotonically_increasing_id()
     part, nth = F.shiftright(place, 33), place.bitwiseAND(F.lit((1 << 33) - 1))
-    chunk = (part + F.floor(nth / F.lit(chunk_rows)) * F.lit(max(1, parts))).cast("long")
+    chunk = F.pmod(F.xxhash64(part, F.floor(nth / F.lit(chunk_rows))), F.lit(fan_in**rounds)).cast("long")
     out = df.withColumn("__chunk", chunk).groupBy(F.col(key).alias("__key"), "__chunk").agg(*[s.start for s in states])
-    for left in range(tree_rounds(n, parts, chunk_rows, fan_in) - 1, -1, -1):
+    for left in range(rounds - 1, -1, -1):
         by: list[str | Column] = ["__key"]
         if left:
             by.append(F.floor(F.col("__chunk") / F.lit(fan_in)).cast("long").alias("__chunk"))

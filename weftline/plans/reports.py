@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline import model as m
-from weftline.common import cut
+from weftline.common import cut, shared_folder
 from weftline.frontend import build
 from weftline.functions import names as fn
 from weftline.functions import text as tx
@@ -317,9 +316,8 @@ def streamed_days(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder for a stream's own state, beside the checkpoints where the session names a folder for them."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="weftline-stream-")
+    """A folder for a stream's own state and results, beside the checkpoints."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _as_folder(spark: SparkSession, d: str, name: str) -> str:
