@@ -20,7 +20,7 @@ _DIGITS = r"[0-9](?:[0-9_]*[0-9])?"
 _HEX = r"[0-9a-fA-F](?:[0-9a-fA-F_]*[0-9a-fA-F])?"
 _TOKEN = re.compile(
     rf"""
-    (?P<space>[ \t\f\r\n]+|//[^\r\n]*|/\*.*?\*/)
+    (?:(?P<space>[ \t\f\r\n]+|//[^\r\n]*|/\*.*?\*/)
   | (?P<word>[^\W\d]\w*(?:\$[\w$]*)?|\$[\w$]*|[€£¥¢][\w$]*)
   | (?P<text>\"\"\"[ \t\f]*(?:\r\n|\n|\r)(?:[^\\"]|\\(?:\r\n|\n|\r)|{_ESCAPE}|"(?!""))*\"\"\")
   | (?P<string>"(?!"")(?:[^"\\\r\n]|{_ESCAPE})*"|""(?!"))
@@ -31,11 +31,12 @@ _TOKEN = re.compile(
       | (?:{_DIGITS}\.(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?[fFdD]?
       | {_DIGITS}(?:[eE][+-]?{_DIGITS}[fFdD]?|[fFdD])
       | 0(?:[0-7_]*[0-7])?[lL]? | [1-9](?:[0-9_]*[0-9])?[lL]?)(?![\w$]))
-  | (?P<op>->|::|\.\.\.|\+\+|--|&&|\|\||<<=|<<|[=!<+\-*/%&|^]=|[-+*/%&|^!~?:;,.@(){{}}\[\]=<>])
+  | (?P<op>->|::|\.\.\.|\+\+|--|&&|\|\||<<=|<<|[=!<+\-*/%&|^]=|[-+*/%&|^!~?:;,.@(){{}}\[\]=<>]))[ \t\f\r\n]*
     """,
     re.X | re.S,
 )
 _UNICODE = re.compile(r"(\\+)u+([0-9a-fA-F]{4})")
+_CONSTANTS = frozenset(("true", "false", "null"))
 _CLOSE = {")": "(", "]": "[", "}": "{"}
 
 
@@ -64,16 +65,15 @@ def tokens(text: str) -> tuple[list[str], list[str], list[int]]:
         if not m:
             raise JavaSyntaxError(f"no token at {at}")
         kind = m.lastgroup
-        end = m.end()
         if kind != "space":
-            s = m.group()
+            s = m[kind]
             if kind == "word":
-                kinds.append(s if s in KEYWORDS else "LIT" if s in ("true", "false", "null") else "ID")
+                kinds.append(s if s in KEYWORDS else "LIT" if s in _CONSTANTS else "ID")
             else:
                 kinds.append(s if kind == "op" else "LIT")
             words.append(s)
             starts.append(at)
-        at = end
+        at = m.end()
     return kinds, words, starts
 
 
