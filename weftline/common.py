@@ -91,7 +91,9 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """Whether the rows of ``df`` take at most ``limit`` bytes, measured by one aggregate over them."""
     width: Column = F.lit(0).cast("long")
     for name, kind in df.dtypes:
-        width = width + (F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)).cast("long") + 16 if kind in ("string", "binary") else F.lit(16))
+        c = F.col(f"`{name}`")
+        nested = c.cast("string") if kind.startswith(("array", "struct", "map")) else c
+        width = width + (F.coalesce(F.octet_length(nested), F.lit(0)).cast("long") + 16 if kind in ("string", "binary") or nested is not c else F.lit(16))
     size = df.agg(F.sum(width)).first()[0] or 0
     return size <= limit
 

@@ -61,7 +61,7 @@ def tree_rounds(rows: int, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -
 
 def _expected_rows(df: DataFrame, bytes_per_row: int = 4) -> int:
     """Rows by the size that the optimizer expects; no job runs. It decides on the number of rounds only."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) // bytes_per_row
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // bytes_per_row
 
 
 def tree_aggregate(df: DataFrame, key: str, states: Sequence[State], rows: int | None = None, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
