@@ -8,25 +8,38 @@ import pytest
 from weftline.llm import leakage, packing, simjoin, termfreq
 
 
-def test_ngrams_against_counting(spark):
+@pytest.mark.parametrize("max_n,least,block", [(3, 1, 1 << 20), (3, 1, 5), (4, 2, 30), (None, 2, 50), (None, 3, 1 << 20)])
+def test_ngrams_against_counting(spark, max_n, least, block):
     rnd = random.Random(3)
-    docs = {d: [rnd.choice([1, 1, 1, 2, 3]) for _ in range(rnd.randrange(12))] for d in range(25)}
-    docs[99] = [1] * 60
-    n = 3
-    rows = [(d, *(list(t[i : i + n]) + [None] * n)[:n], i, "x") for d, t in docs.items() for i in range(len(t))]
-    df = spark.createDataFrame(rows, "doc bigint, t1 bigint, t2 bigint, t3 bigint, weight bigint, gram string")
-    occ, weight, recs = Counter(), Counter(), defaultdict(set)
-    for d, t in docs.items():
+    docs = {d: [rnd.choice(["a", "a", "a", "b", "é c"]) for _ in range(rnd.randrange(12))] for d in range(25)}
+    docs[98] = docs[97] = [str(k) for k in range(40)]
+    docs[99] = ["a"] * 60
+    rows = [(d, t, "x") for d, t in docs.items()] + [(None, ["b", None, "b"], "x"), (7000, None, "x"), (7001, [], "x"), (7002, [None], "x")]
+    df = spark.createDataFrame(rows, "doc bigint, words array<string>, ngram string").repartition(3)
+    occ, recs = Counter(), defaultdict(set)
+    for d, t, _ in rows:
+        t = [w for w in t or [] if w is not None]
         for i in range(len(t)):
-            for k in range(1, n + 1):
-                if i + k <= len(t):
-                    g = tuple(t[i : i + k])
-                    occ[g] += 1
-                    weight[g] += i
-                    recs[g].add(d)
-    got = {tuple(r["gram"]): (r["n"], r["occurrences"], r["weight"], r["records"]) for r in termfreq.ngram_counts(df, n).collect()}
-    assert got == {g: (len(g), occ[g], weight[g], len(recs[g])) for g in occ}
-    assert termfreq.ngram_counts(df.limit(0), n).count() == 0
+            for k in range(i + 1, min(len(t), i + (max_n or len(t))) + 1):
+                g = (k - i, " ".join(t[i:k]))
+                occ[g] += 1
+                recs[g].update({d} - {None})
+    got = {(r["n"], r["ngram"]): (r["occurrences"], r["records"]) for r in termfreq.word_ngrams(df, max_n, least, block).collect()}
+    assert got == {g: (c, len(recs[g])) for g, c in occ.items() if c >= least}
+    assert termfreq.word_ngrams(df.limit(0), max_n, least).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 20])
+def test_terms_of_records_in_pieces(spark, block):
+    rnd = random.Random(4)
+    rows = [(rnd.choice([None, 1, 1, 1, rnd.randrange(9)]), rnd.choice([None, 5, 5, 5, rnd.randrange(9)]), rnd.choice([None, 1, 2]), "x") for _ in range(400)]
+    df = spark.createDataFrame(rows, "doc bigint, term bigint, weight bigint, records string").repartition(4)
+    want = {}
+    for t in {r[1] for r in rows} - {None}:
+        own = [r for r in rows if r[1] == t]
+        want[t] = (len(own), sum(r[2] or 0 for r in own), len({r[0] for r in own} - {None}))
+    got = {r["term"]: (r["occurrences"], r["weight"], r["records"]) for r in termfreq.term_counts(df, block).collect()}
+    assert got == want and termfreq.term_counts(df.limit(0)).count() == 0
 
 
 def test_feature_terms_with_nulls(spark):

@@ -28,6 +28,13 @@ def p3_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return termfreq.word_ngrams(named.select(F.col("mid").alias("doc"), words.alias("words")), 3)
 
 
+def p3_text_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of up to five words that occur twice or more in all texts: occurrences, and documents that have them."""
+    words = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
+    texts = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("doc"), words.alias("words"))
+    return termfreq.word_ngrams(texts, 5, least=2)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of items whose feature sets overlap by 0.6 or more."""
     member_of, links = simjoin.similar_sets(table(spark, sf_dir, "itemfeats"), "tid", "fid", 0.6, min_size=8)
@@ -89,6 +96,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_terms": p3_terms,
     "p3_ngrams": p3_ngrams,
+    "p3_text_ngrams": p3_text_ngrams,
     "p4_found": p4_found,
     "p4_links": p4_links,
     "p6_found": p6_found,
@@ -131,6 +139,10 @@ SQL = {
         WITH w AS (SELECT mid, list_transform(regexp_extract_all(min(method_name), '[A-Z]+[a-z]*|[a-z]+'), lambda x: lower(x)) AS ws FROM dfmethod WHERE mid IS NOT NULL AND method_name IS NOT NULL GROUP BY mid),
              g AS (SELECT mid, CAST(n AS BIGINT) AS n, array_to_string(ws[k:k + n - 1], ' ') AS ngram FROM (SELECT mid, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM w, range(1, 4) t(n)))
         SELECT n, ngram, count(*) AS occurrences, count(DISTINCT mid) AS records FROM g GROUP BY n, ngram""",
+    "p3_text_ngrams": """
+        WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS ws FROM documents WHERE text IS NOT NULL),
+             g AS (SELECT doc_id, CAST(n AS BIGINT) AS n, array_to_string(ws[k:k + n - 1], ' ') AS ngram FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM w, range(1, 6) t(n)))
+        SELECT n, ngram, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM g GROUP BY n, ngram HAVING count(*) >= 2""",
     "p8_found": _LEAKS + " SELECT doc_id, item_id FROM hits",
     "p8_items": _LEAKS + " SELECT item_id, count(*) AS n_docs FROM hits GROUP BY item_id",
     "p4_found": _PAIRS + " SELECT a AS tid_a, b AS tid_b FROM p",

@@ -1,12 +1,13 @@
 """Occurrence and record counts of every term and n-gram, by suffix arrays with common-prefix intervals.
 
-The tokens of all records form one collection. Every token position starts a suffix, cut at ``max_n`` tokens and at the
-end of its record. The suffixes are range-partitioned by (first token, record): a token held by a third of all
-positions is spread over as many tasks as its rows need, while the suffixes which could count twice for one record stay
-together. In a partition the suffixes are sorted; a maximal run whose common prefix has at least n tokens is the
-interval of one n-gram. Its length is the number of occurrences; the records are the occurrences less the adjacencies
-of equal records once the interval is ordered by record. Intervals of one n-gram from different partitions cover
-different records, so their counts add up.
+The tokens of a block of records form one collection, in which every position starts a suffix that ends with its record.
+The suffixes are sorted by prefix doubling; a maximal run of neighbours with a common prefix of at least n tokens is the
+interval of one n-gram. Its length is the number of occurrences; the records are the occurrences less the adjacencies of
+equal records once the interval is ordered by record. A record lies in one block only, so the counts of an n-gram from
+different blocks add up, and however frequent it is, a block sends one row for it.
+
+N-grams of any length come in rounds: the first counts n = 1, the next 2 .. 3, then 4 .. 7 and so on. What starts at a position
+whose n-gram occurs once in all of the collection occurs once itself, so such positions take no part in further rounds.
 """
 
 from __future__ import annotations
@@ -18,84 +19,204 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.common import lookup_join, one_per_key
+from weftline.common import cut, lookup_join, one_per_key
 
+#: Tokens of a block; a longer record is a block for itself.
+BLOCK_TOKENS = 1 << 20
 _PAD = np.iinfo(np.int64).min
 _NO_DOC = np.iinfo(np.int64).min
+_COUNTS = "n bigint, h1 bigint, h2 bigint, occurrences bigint, weight bigint, records bigint, rid bigint, pos bigint"
 
 
-def intervals(doc: np.ndarray, tokens: list[np.ndarray], weight: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For n = 1, 2, ...: n, the n-grams (rows), occurrences, summed weights and records of each interval."""
-    order = np.lexsort([doc, *reversed(tokens)])
-    doc, weight, tokens = doc[order], weight[order], [t[order] for t in tokens]
-    same = np.ones(len(doc), dtype=bool)
-    if len(doc):
+def suffix_array(tokens: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the suffixes by their first ``depth`` tokens or more; a suffix ends where its record does."""
+    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
+    at, k, n = np.arange(len(tokens)), 1, len(tokens)
+    while k < depth:
+        far = at + k
+        following = np.where(far < ends, rank[np.minimum(far, n - 1)], 0)
+        pairs = rank * (n + 1) + following
+        new = np.unique(pairs, return_inverse=True)[1].astype(np.int64) + 1
+        if new.max(initial=0) == rank.max(initial=0):
+            break  # equal suffixes stay equal, whatever the depth
+        rank, k = new, 2 * k
+    return rank
+
+
+def _mixed(h: np.ndarray, token: np.ndarray, factor: int) -> np.ndarray:
+    x = (h ^ token.view(np.uint64)) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def intervals(tokens: np.ndarray, ends: np.ndarray, doc: np.ndarray, weight: np.ndarray, starts: np.ndarray, low: int, high: int) -> Iterator[tuple]:
+    """For n = low .. high: (n, first position of each interval, h1, h2, occurrences, weight, records).
+
+    ``doc``, ``ends`` and ``weight`` are those of the positions' records; only the suffixes at ``starts`` take part.
+    """
+    rank = suffix_array(tokens, ends, high)
+    order = starts[np.lexsort((doc[starts], rank[starts]))]
+    size, last = ends[order] - order, len(tokens) - 1
+    same = np.ones(len(order), dtype=bool)
+    if len(order):
         same[0] = False
-    for n, t in enumerate(tokens, 1):
+    h1, h2 = np.zeros(len(order), dtype=np.uint64), np.ones(len(order), dtype=np.uint64)
+    for n in range(1, high + 1):
+        t = np.where(size >= n, tokens[np.minimum(order + n - 1, last)], _PAD)
+        # the common prefix with the suffix before has n tokens
         same[1:] &= t[1:] == t[:-1]
-        full = t != _PAD
+        h1, h2 = _mixed(h1, t, 0x9E3779B97F4A7C15), _mixed(h2, t, 0xC2B2AE3D27D4EB4F)
+        full = size >= n
+        if n < low:
+            continue
         if not full.any():
             return
-        start = np.flatnonzero(full & ~same)
+        begins = np.flatnonzero(full & ~same)
         ident = np.cumsum(full & ~same)[full] - 1
-        docs = doc[full]
-        if n < len(tokens):
-            by = np.lexsort([docs, ident])
-            docs, sorted_ident = docs[by], ident[by]
-        else:
-            sorted_ident = ident
-        known = docs != _NO_DOC
-        first = known.copy()
-        first[1:] &= (docs[1:] != docs[:-1]) | (sorted_ident[1:] != sorted_ident[:-1])
-        occ = np.bincount(ident, minlength=len(start))
-        records = np.bincount(sorted_ident[first], minlength=len(start))
-        sums = np.zeros(len(start), dtype=np.int64)
-        np.add.at(sums, ident, weight[full])
-        yield n, np.stack([x[start] for x in tokens[:n]], axis=1), occ, sums, records
-
-
-def ngram_counts(tokens: DataFrame, max_n: int = 1) -> DataFrame:
-    """Counts of every n-gram with n up to ``max_n``: (n, gram array<bigint>, occurrences, weight, records).
-
-    ``tokens`` has one row per position: ``doc`` bigint, ``t1`` .. ``t<max_n>`` bigint (the token and its followers in
-    the record, null past the record's end) and ``weight`` bigint. A null ``t1`` is no token. A null ``doc`` counts as
-    an occurrence but as no record. A null weight adds 0. An empty table gives no rows.
-    """
-    cols = [f"t{i}" for i in range(1, max_n + 1)]
-    suffixes = tokens.where(F.col("t1").isNotNull()).select("doc", *cols, F.coalesce("weight", F.lit(0)).cast("long").alias("weight"))
-    schema = "n bigint, gram array<bigint>, occurrences bigint, weight bigint, records bigint"
+        docs = doc[order][full]
+        by = np.lexsort((docs, ident))
+        docs, sorted_ident = docs[by], ident[by]
+        again = np.zeros(len(docs), dtype=bool)
+        again[1:] = (docs[1:] == docs[:-1]) & (sorted_ident[1:] == sorted_ident[:-1])
+        counted = (docs != _NO_DOC) & ~again
+        occurrences = np.bincount(ident, minlength=len(begins))
+        records = np.bincount(sorted_ident[counted], minlength=len(begins))
+        sums = np.zeros(len(begins), dtype=np.int64)
+        np.add.at(sums, ident, weight[order][full])
+        yield n, order[begins], h1[begins].view(np.int64), h2[begins].view(np.int64), occurrences, sums, records
+
+
+def _rows(tokens, ends, doc, weight, starts, low, high, rid, begin) -> Iterator[pa.RecordBatch]:
+    for n, at, h1, h2, occurrences, sums, records in intervals(tokens, ends, doc, weight, starts, low, high):
+        columns = [np.full(len(at), n), h1, h2, occurrences, sums, records, rid[at], at - begin[at]]
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=[c.split()[0] for c in _COUNTS.split(", ")])
+
+
+def _counted(records: DataFrame, low: int, high: int, block_tokens: int) -> DataFrame:
+    """Counts of the n-grams with n from ``low`` to ``high`` of (rid, doc, tokens, starts): blocks first, then their sums."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        if not rows.num_rows:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch["tokens"].flatten())
+            if size >= block_tokens:
+                yield from block(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield from block(pa.Table.from_batches(held))
+
+    def block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        lists, active = rows["tokens"].combine_chunks(), rows["starts"].combine_chunks()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        tokens = lists.flatten().to_numpy(zero_copy_only=False)
+        if not len(tokens):
             return
-        read = lambda c, null: rows[c].fill_null(null).to_numpy()
-        for n, grams, occ, sums, records in intervals(read("doc", _NO_DOC), [read(c, _PAD) for c in cols], read("weight", 0)):
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, grams.size + 1, n, dtype=np.int32)), pa.array(grams.reshape(-1)))
-            columns = [pa.array(np.full(len(occ), n, dtype=np.int64)), flat, pa.array(occ.astype(np.int64)), pa.array(sums), pa.array(records.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["n", "gram", "occurrences", "weight", "records"])
+        ends = np.cumsum(sizes)
+        spread = lambda x: np.repeat(x, sizes)
+        begin = spread(ends - sizes)
+        chosen = active.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = active.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(ends - sizes, chosen)
+        doc = rows["doc"].fill_null(_NO_DOC).to_numpy()
+        yield from _rows(tokens, spread(ends), spread(doc), np.ones(len(tokens), np.int64), starts, low, high, spread(rows["rid"].to_numpy()), begin)
+
+    return _summed(records.select("rid", "doc", "tokens", "starts").mapInArrow(count, _COUNTS))
 
-    parts = suffixes.repartitionByRange(F.col("t1"), F.col("doc")).mapInArrow(count, schema)
-    return parts.groupBy("n", "gram").agg(*[F.sum(c).alias(c) for c in ("occurrences", "weight", "records")])
 
+def _summed(parts: DataFrame) -> DataFrame:
+    place = F.min(F.struct("rid", "pos")).alias("p")
+    sums = [F.sum(c).alias(c) for c in ("occurrences", "weight", "records")]
+    return parts.groupBy("n", "h1", "h2").agg(*sums, place).select("n", "h1", "h2", "occurrences", "weight", "records", "p.rid", "p.pos")
 
-def word_ngrams(texts: DataFrame, max_n: int = 2) -> DataFrame:
+
+def word_ngrams(texts: DataFrame, max_n: int | None = 2, least: int = 1, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(n, ngram, occurrences, records) of (doc bigint, words array<string>): every run of up to ``max_n`` words.
 
-    A record's words are one array, so the followers of a position are read from its own row. Null words are left out;
-    words stand for themselves by a 64-bit hash while they are counted.
+    One row is one record. With ``least`` of 2 the n-grams that occur once are left out, which keeps the rows near the
+    size of the input; without ``max_n`` all lengths are counted and ``least`` must be 2 at least, as every other run
+    occurs once anyway. Null words are left out, a null or empty array holds nothing, a null ``doc`` counts as an
+    occurrence but as no record. N-grams are told apart by two 64-bit hashes over the hashes of their words.
     """
+    if max_n is None and least < 2:
+        raise ValueError("all lengths can only be listed for n-grams that occur twice")
     words = F.filter("words", lambda w: w.isNotNull())
-    placed = texts.select("doc", words.alias("words")).select("doc", "words", F.posexplode("words").alias("k", "word"))
-    grams = [F.xxhash64(F.get("words", F.col("k") + i)).alias(f"h{i + 1}") for i in range(max_n)]
-    inside = [F.when(F.col("k") + i < F.size("words"), F.col(f"h{i + 1}")).alias(f"t{i + 1}") for i in range(max_n)]
-    tokens = placed.select("doc", "k", "words", *grams).select("doc", *inside, F.lit(1).cast("long").alias("weight"))
-    counts = ngram_counts(tokens, max_n)
-    names = placed.select(F.xxhash64("word").alias("token"), "word").groupBy("token").agg(F.min("word").alias("word"))
-    # grams are unique, so their parts come together again by the gram itself
-    parts = counts.select("n", "gram", "occurrences", "records", F.posexplode("gram").alias("k", "token"))
-    spelled = lookup_join(parts, names, "token").groupBy("n", "gram", "occurrences", "records").agg(F.array_sort(F.collect_list(F.struct("k", "word"))).alias("ws"))
-    return spelled.select("n", F.array_join(F.transform("ws", lambda x: x["word"]), " ").alias("ngram"), "occurrences", "records")
+    named = texts.where("words is not null").select("doc", words.alias("words")).where(F.size("words") > 0)
+    named = cut(named.select(F.monotonically_increasing_id().alias("rid"), "doc", "words"))
+    tokens = F.transform("words", lambda w: F.xxhash64(w))
+    records = named.select("rid", "doc", tokens.alias("tokens"), F.sequence(F.lit(0), F.size("words") - 1).alias("starts"))
+    found, low = None, 1
+    while max_n is None or low <= max_n:
+        high = 2 * low - 1 if least > 1 else max_n
+        high = high if max_n is None else min(high, max_n)
+        counts = cut(_counted(records, low, high, block_tokens))
+        kept = counts.where(F.col("occurrences") >= least)
+        found = kept if found is None else found.unionByName(kept)
+        low = high + 1
+        if max_n is None or low <= max_n:
+            records = cut(_still_active(records, counts.where((F.col("n") == high) & (F.col("occurrences") >= least)), high))
+            if records.isEmpty():
+                break
+    # the words of an n-gram stand at its first place
+    spelled = found.join(named.select("rid", "words"), "rid")
+    gram = F.array_join(F.slice("words", (F.col("pos") + 1).cast("int"), F.col("n").cast("int")), " ")
+    return spelled.select("n", gram.alias("ngram"), "occurrences", "records")
+
+
+def _still_active(records: DataFrame, repeated: DataFrame, n: int) -> DataFrame:
+    """The records with those starts whose n-gram is among ``repeated``."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rid, tokens, starts in zip(batch["rid"].to_pylist(), batch["tokens"], batch["starts"]):
+                t, at = tokens.values.to_numpy(zero_copy_only=False), starts.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                at = at[at + n <= len(t)]
+                if not len(at):
+                    continue
+                h1, h2 = np.zeros(len(at), dtype=np.uint64), np.ones(len(at), dtype=np.uint64)
+                for k in range(n):
+                    h1, h2 = _mixed(h1, t[at + k], 0x9E3779B97F4A7C15), _mixed(h2, t[at + k], 0xC2B2AE3D27D4EB4F)
+                columns = [np.full(len(at), rid), h1.view(np.int64), h2.view(np.int64), at]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rid", "h1", "h2", "at"])
+
+    placed = records.select("rid", "tokens", "starts").mapInArrow(grams, "rid bigint, h1 bigint, h2 bigint, at bigint")
+    # a frequent n-gram is looked up from all tasks: the small side goes to them, or is repeated per salt
+    hits = lookup_join(placed.withColumn("g", F.struct("h1", "h2")), repeated.select(F.struct("h1", "h2").alias("g")), "g", "left_semi")
+    starts = hits.groupBy("rid").agg(F.array_sort(F.collect_list("at")).alias("starts"))
+    return records.drop("starts").join(starts, "rid")
+
+
+def term_counts(rows: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(term, occurrences, weight, records) of (doc, term, weight) rows, all bigint: the case n = 1 of records in pieces.
+
+    A record's tokens may come in any number of rows. They are spread by (term, doc), so that what could count twice
+    for a record meets in one block while a term or record with most of the rows does not meet in one task. A null term is no
+    token, a null doc no record, a null weight adds 0. An empty table gives no rows.
+    """
+    tokens = rows.where(F.col("term").isNotNull()).select("doc", "term", F.coalesce("weight", F.lit(0)).cast("long").alias("weight"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 3
+        for batch in batches:
+            new = [batch["doc"].fill_null(_NO_DOC).to_numpy(), batch["term"].to_numpy(), batch["weight"].to_numpy()]
+            held = [np.concatenate(pair) for pair in zip(held, new)]
+            doc, term, _ = held
+            # rows come sorted by term and doc: the last such pair may go on in the next batch
+            at = int(np.flatnonzero((term[1:] != term[:-1]) | (doc[1:] != doc[:-1]))[-1:].sum()) + 1
+            if len(doc) >= block_tokens and (at > 1 or (term[0], doc[0]) != (term[-1], doc[-1])):
+                yield from block(*(c[:at] for c in held))
+                held = [c[at:] for c in held]
+        if len(held[0]):
+            yield from block(*held)
+
+    def block(doc: np.ndarray, term: np.ndarray, weight: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = np.arange(len(term))
+        for _, first, _, _, occurrences, sums, records in intervals(term, at + 1, doc, weight, at, 1, 1):
+            columns = [term[first], occurrences, sums, records]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["term", "occurrences", "weight", "records"])
+
+    parts = tokens.repartition("term", "doc").sortWithinPartitions("term", "doc").mapInArrow(count, "term bigint, occurrences bigint, weight bigint, records bigint")
+    return parts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("occurrences", "weight", "records")])
 
 
 def dictionary(feats: DataFrame) -> DataFrame:
@@ -113,10 +234,10 @@ def feature_terms(itemfeats: DataFrame, feats: DataFrame, rare_items: int = 3, r
     adds 0, a ``fid`` that is null or not in ``feats`` has no term.
     """
     n_items = itemfeats.select("tid").where(F.col("tid").isNotNull()).distinct().count()
-    known = dictionary(feats)
+    known = cut(dictionary(feats))
     rows = one_per_key(itemfeats, "sid0", ["tid", "fid", "feat_count"]).where(F.col("fid").isNotNull())
-    tokens = lookup_join(rows, known.select("fid", "term_id"), "fid").select(F.col("tid").alias("doc"), F.col("term_id").alias("t1"), F.col("feat_count").alias("weight"))
-    counts = ngram_counts(tokens).select(F.col("gram")[0].alias("term_id"), F.col("weight").alias("sum_count"), F.col("records").alias("n_items"))
+    tokens = lookup_join(rows, known.select("fid", "term_id"), "fid").select(F.col("tid").alias("doc"), F.col("term_id").alias("term"), F.col("feat_count").alias("weight"))
+    counts = term_counts(tokens).select(F.col("term").alias("term_id"), F.col("weight").alias("sum_count"), F.col("records").alias("n_items"))
     rare = (F.col("n_items") < rare_items) | (F.col("sum_count") < rare_count)
     # in whole millionths, so that a share of exactly a tenth is not above it
     common = F.col("n_items") * 1_000_000 > F.lit(n_items * round(common_share * 1_000_000))
