@@ -62,3 +62,38 @@ def test_frame(spark):
     got = sorted((r[0] or 0, r[1]) for r in mj.repaired(df).collect())
     assert got == [(0, "résumé"), (4, long[:-14] + "zurückgesetzt"), (4, long[:-14] + "zurückgesetzt")] or [g[0] for g in got] == [0, 4, 4]
     assert mj.repaired(df.limit(0)).count() == 0
+
+
+def read_wrong(text, codec):
+    return "".join(bytes([b]).decode(codec, "ignore") or chr(b) for b in text.encode())
+
+
+def test_garbled_many_times():
+    for times in range(1, 6):
+        text = "café naïve → größer"
+        for _ in range(times):
+            text = read_wrong(text, "cp1252")
+        assert mj.examine(text) == (True, "café naïve → größer", " ".join(["cp1252>utf_8"] * times))
+
+
+def test_search_finds_the_cheapest_text():
+    samples = ["café", "naïve&amp;eacute;", "größer", "Область", "±350", "“so”", "├──", "日本語です"]
+    samples += [read_wrong(s, c) for s in samples for c in ("cp1252", "cp437", "mac_roman")] + ["a�b", "x\x93y\x94"]
+    for text in samples:
+        best, front = mj.cost(text), [(text, 0.0, "")]
+        for _ in range(3):
+            grown = []
+            for now, paid, chain in front:
+                crossed = any(not o.endswith("utf_8") and o != "unescape" for o in chain.split())
+                steps = [*mj._steps(now)] + ([(mj.LOST, mj._FAILED.sub("", text))] if not chain and mj._FAILED.search(text) else [])
+                for operation, new in steps:
+                    other = operation not in ("unescape", mj.LOST) and not operation.endswith("utf_8")
+                    if not (other and crossed):
+                        price = paid + mj._price(operation, crossed)
+                        best = min(best, mj.cost(new) + price)
+                        if operation != mj.LOST and price < mj.cost(text):
+                            grown.append((new, price, f"{chain} {operation}".strip()))
+            front = list({(new, chain.count("utf_8") < len(chain.split())): (new, price, chain) for new, price, chain in sorted(grown, key=lambda x: -x[1])}.values())
+        found = mj.search(text)
+        if found or mj.cost(text) - best > 1e-9:
+            assert max([0.0, *(g for *_, g in found)]) >= mj.cost(text) - best - 1e-9, text

@@ -1,10 +1,13 @@
 """Text that was decoded with another encoding than it was written in, and its repair.
 
 Every run of characters between ASCII white space that holds a non-ASCII character is a state of a graph. An edge encodes
-the text with one encoding and decodes it with another, or removes character references. A best-first search follows the
-cheapest states, by a cost of implausible characters plus a price per operation; states already seen are not entered
-again. What the runs of a document gain by one chain of operations adds up: the document is garbled if that is enough,
-or if it holds characters that only a failed decoding leaves behind.
+the text with one encoding and decodes it with another, removes character references, or gives up characters that only a
+failed decoding leaves behind. A best-first search enters the states in the order of what their operations have cost so
+far and looks for the least sum of that price and the implausibility of the text. The implausibility is never negative,
+so once the price alone reaches the best sum nothing better can follow, and the text found is the cheapest one. States
+already seen are not entered again. Decoding and unescaping shorten a text and a chain goes between two encodings of
+single bytes once at most, so the graph is finite and the search needs no bound on its states. What the runs of a
+document gain by one chain of operations adds up: the document is garbled if that is enough.
 """
 
 from __future__ import annotations
@@ -30,10 +33,14 @@ _TYPOGRAPHY = frozenset("“”‘·–—…»€™©®°§µ±×ºª½→≈
 _INNER = frozenset("’‑")
 _OPENING = frozenset("¿¡«„")
 
-#: Prices of operations: into UTF-8, which wrong guesses rarely pass, into other encodings, and removing references.
-TO_UTF8, TO_OTHER, UNESCAPE = 0.6, 1.0, 0.2
-#: Least gain of a document, and states entered in a search.
-ENOUGH, STATES = 1.4, 12
+#: Prices of operations: into UTF-8, which wrong guesses rarely pass, into other encodings, removing references, and
+#: giving up what a failed decoding left. A chain that has gone between two encodings of single bytes may become almost
+#: anything, so UTF-8 after that is dearer.
+TO_UTF8, TO_OTHER, UNESCAPE, GIVE_UP, CROSSED_UTF8 = 0.6, 1.0, 0.2, 1.0, 2.5
+#: Least gain of a document.
+ENOUGH = 1.4
+#: The chain of a text whose original cannot be had again.
+LOST = "lost"
 
 _RUN = re.compile(r"[^\t\n\x0b\x0c\r ]*[^\x00-\x7f][^\t\n\x0b\x0c\r ]*")
 _APOSTROPHE = re.compile(r"(?<=[A-Za-z])’(?=(?:s|t|re|ve|ll|d|m)(?![^\W_]))|(?<![^\W_])(?:[dlncsjmtDLNCSJMT]|[Qq]u)’(?=[^\W_])")
@@ -179,6 +186,9 @@ def cost(text: str) -> float:
     return total
 
 
+_FAILED = re.compile("[\ufffd\x80-\x9f]+")
+
+
 def _steps(text: str) -> Iterator[tuple[str, str]]:
     """The states next to ``text``: (operation, new text)."""
     if "&" in text and _REFERENCE.search(text):
@@ -232,7 +242,13 @@ def _partial(text: str, wrong: str) -> str | None:
 _SEARCHED: dict[str, list[tuple[str, str, float]]] = {}
 
 
-def search(text: str, states: int = STATES) -> list[tuple[str, str, float]]:
+def _price(operation: str, crossed: bool) -> float:
+    if operation.endswith("utf_8"):
+        return CROSSED_UTF8 if crossed else TO_UTF8
+    return {"unescape": UNESCAPE, LOST: GIVE_UP}.get(operation, TO_OTHER)
+
+
+def search(text: str) -> list[tuple[str, str, float]]:
     """(chain, text, gain) of the states that are cheaper than ``text``, best first; the gain is net of the operations."""
     known = _SEARCHED.get(text)
     if known is not None:
@@ -240,43 +256,42 @@ def search(text: str, states: int = STATES) -> list[tuple[str, str, float]]:
     start = cost(text)
     beyond = [c for c in text if ord(c) > 127]
     # one letter or symbol for itself tells nothing
-    if len(beyond) == 1 and _kind(beyond[0])[0] != "x" and not any(c.isalpha() for c in text if c < "\x80"):
-        _SEARCHED[text] = []
-        return []
-    if _plain_japanese(beyond):
+    if (len(beyond) == 1 and _kind(beyond[0])[0] != "x" and not any(c.isalpha() for c in text if c < "\x80")) or _plain_japanese(beyond):
         _SEARCHED[text] = []
         return []
     found: dict[str, tuple[str, float]] = {}
-    visited = {hash(text)}
-    queue: list[tuple[float, float, str, str]] = [(start, 0.0, text, "")]
-    entered = 0
-    while queue and entered < states:
-        _, paid, now, chain = heapq.heappop(queue)
-        entered += 1
+    visited = {(hash(text), False): 0.0}
+    queue: list[tuple[float, float, str, str]] = [(0.0, start, text, "")]
+    least = start
+    while queue:
+        paid, _, now, chain = heapq.heappop(queue)
+        if chain and paid + UNESCAPE >= least:
+            break  # whatever follows costs more than the best text known
         operations = chain.split()
-        if len(operations) == 3:
+        crossed = any(not o.endswith("utf_8") and o != "unescape" for o in operations)
+        if chain and paid + (CROSSED_UTF8 if crossed else TO_UTF8) >= least and not _REFERENCE.search(now):
             continue
-        here = cost(now)
-        for operation, new in _steps(now):
-            key = hash(new)
-            other = operation != "unescape" and not operation.endswith("utf_8")
+        given_up = [(LOST, _FAILED.sub("", text))] if not chain and _FAILED.search(text) else []
+        for operation, new in (*_steps(now), *given_up):
+            other = operation not in ("unescape", LOST) and not operation.endswith("utf_8")
             # two encodings of single bytes in a row would turn anything into anything
-            if key in visited or (other and any(not o.endswith("utf_8") and o != "unescape" for o in operations)):
+            if other and crossed:
+                continue
+            key, price = (hash(new), crossed or other), paid + _price(operation, crossed)
+            if visited.get(key, price + 1.0) <= price:
                 continue
-            c = cost(new)
-            if c < here - 0.2 or operation == "unescape":
-                visited.add(key)
-                path = f"{chain} {operation}".strip()
-                price = paid + (UNESCAPE if operation == "unescape" else TO_OTHER if other else TO_UTF8)
-                gain = start - c - price
-                # between encodings of single letters small gains count too: many runs together may tell
-                if (gain > 0 or (other and not operations and c < start - 0.3)) and (path not in found or found[path][1] < gain):
-                    found[path] = (new, gain)
-                first = 3.0 if operation == "unescape" else 0.0  # its worth shows only with the next operation
-                heapq.heappush(queue, (c + price - first, price, new, path))
-    result = sorted(((chain, new, gain) for chain, (new, gain) in found.items()), key=lambda x: (-x[2], x[0]))[:8]
+            c, path = cost(new), f"{chain} {operation}".strip()
+            least = min(least, c + price)
+            gain = start - c - price
+            # between encodings of single letters small gains count too: many runs together may tell
+            if (gain > 0 or (other and not operations and c < start - 0.3)) and (path not in found or found[path][1] < gain):
+                found[path] = (new, gain)
+            if operation != LOST:
+                visited[key] = price
+                heapq.heappush(queue, (price, c, new, path))
+    result = sorted(((chain, new, gain) for chain, (new, gain) in found.items()), key=lambda x: (-x[2], x[0]))
     if len(_SEARCHED) > 200_000:
-        _SEARCHED.clear()
+        _SEARCHED.clear()  # a memory of what was searched, nothing else
     _SEARCHED[text] = result
     return result
 
@@ -308,21 +323,20 @@ def examine(text: str) -> tuple[bool, str | None, str | None]:
         for chain, _, gain in search(run):
             if gain > 0:
                 gains[chain] = gains.get(chain, 0.0) + gain
-            if " " not in chain and not chain.endswith("utf_8"):
+            if " " not in chain and chain != LOST and not chain.endswith("utf_8"):
                 small.setdefault(chain, []).append(gain + TO_OTHER)
     # a chain that helps three different runs or more pays its price once
     for chain, each in small.items():
         if len(each) >= 3:
             gains[chain] = max(gains.get(chain, 0.0), sum(each) - TO_OTHER)
-    best = max(gains, key=lambda c: (gains[c], c), default=None)
-    lost = "�" in text
-    broken = lost or any("\x80" <= ch <= "\x9f" for ch in text)
-    if not broken and (best is None or gains[best] < ENOUGH):
+    if max(gains.values(), default=0.0) < ENOUGH:
         return False, None, None
+    # what can be had again comes before what is given up
+    best = max((c for c in gains if LOST not in c.split()), key=lambda c: (gains[c], c), default=None)
     out, at = [], 0
     for m in runs:
         run = m.group()
-        own = search(run)
+        own = [x for x in search(run) if LOST not in x[0].split()]
         # the document's chain comes first, then what suits the run alone
         new = _apply(run, best) if best else None
         if new is not None and cost(new) > cost(run) + (0.5 if "utf_8" in best else 0.0):
@@ -332,7 +346,8 @@ def examine(text: str) -> tuple[bool, str | None, str | None]:
         out += [text[at : m.start()], run if new is None else new]
         at = m.end()
     restored = "".join(out) + text[at:]
-    return True, None if lost or restored == text or "�" in restored else restored, best
+    whole = restored != text and "�" not in text + restored
+    return True, restored if whole else None, best if best is not None else LOST
 
 
 def repaired(documents: DataFrame) -> DataFrame:
