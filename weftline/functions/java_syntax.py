@@ -32,11 +32,12 @@ _TOKEN = re.compile(
       | {_DIGITS}(?:[eE][+-]?{_DIGITS}[fFdD]?|[fFdD])
       | 0(?:[0-7_]*[0-7])?[lL]? | [1-9](?:[0-9_]*[0-9])?[lL]?)(?![\w$]))
   | (?P<op>->|::|\.\.\.|\+\+|--|&&|\|\||<<=|<<|[=!<+\-*/%&|^]=|[-+*/%&|^!~?:;,.@(){{}}\[\]=<>]))[ \t\f\r\n]*
+  | (?P<none>.)
     """,
     re.X | re.S,
 )
 _UNICODE = re.compile(r"(\\+)u+([0-9a-fA-F]{4})")
-_CONSTANTS = frozenset(("true", "false", "null"))
+_WORDS = {w: w for w in KEYWORDS} | dict.fromkeys(("true", "false", "null"), "LIT")
 _CLOSE = {")": "(", "]": "[", "}": "{"}
 
 
@@ -59,21 +60,24 @@ def tokens(text: str) -> tuple[list[str], list[str], list[int]]:
     if text.endswith("\x1a"):
         text = text[:-1]
     kinds, words, starts = [], [], []
-    at, n, match = 0, len(text), _TOKEN.match
-    while at < n:
-        m = match(text, at)
-        if not m:
-            raise JavaSyntaxError(f"no token at {at}")
+    add_kind, add_word, add_start, of_word = kinds.append, words.append, starts.append, _WORDS.get
+    for m in _TOKEN.finditer(text):
         kind = m.lastgroup
-        if kind != "space":
+        if kind == "word":
+            s = m["word"]
+            add_kind(of_word(s, "ID"))
+        elif kind == "op":
+            s = m["op"]
+            add_kind(s)
+        elif kind == "space":
+            continue
+        elif kind == "none":
+            raise JavaSyntaxError(f"no token at {m.start()}")
+        else:
             s = m[kind]
-            if kind == "word":
-                kinds.append(s if s in KEYWORDS else "LIT" if s in _CONSTANTS else "ID")
-            else:
-                kinds.append(s if kind == "op" else "LIT")
-            words.append(s)
-            starts.append(at)
-        at = m.end()
+            add_kind("LIT")
+        add_word(s)
+        add_start(m.start())
     return kinds, words, starts
 
 
