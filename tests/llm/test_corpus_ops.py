@@ -120,6 +120,7 @@ def test_leakage(spark):
     part = "\n".join(w.upper() for w in words[3:15])
     docs = [(1, f"é ß {part}!"), (2, " ".join(words[3:14])), (3, "x" + part), (4, part + "x"), (5, None), (6, ""), (7, "--".join(words)), (8, "pre " * 50_000 + part), (9, " ".join(words[3:9] + ["q"] + words[9:15])), (7, "--".join(words))]
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, text string, item_id int")
+    text7 = "--".join(words)
     for size in (1 << 20, 1):
         got = leakage.leaked(df, items, automaton_bytes=size).collect()
         want = {(1, 1), (7, 1), (7, 2), (8, 1)}
@@ -127,4 +128,20 @@ def test_leakage(spark):
         text = dict(docs)[1]
         spans = [text[r["start_char"] : r["end_char"]] for r in got if r["doc_id"] == 1]
         assert spans == [part]
+        assert {text7[r["start_char"] : r["end_char"]] for r in got if r["doc_id"] == 7 and r["item_id"] == 2} == {"--".join(words[10:30])}
     assert leakage.leaked(df, items.limit(0)).count() == 0 and leakage.leaked(df.limit(0), items).count() == 0
+
+
+def test_leakage_against_all_windows():
+    rnd = random.Random(8)
+    for least in (1, 2, 5, 12):
+        items = [(k, " ".join(rnd.choice("abcd") for _ in range(rnd.randrange(30)))) for k in range(20)]
+        items += [(20, items[0][1]), (21, "a " * 40)]
+        machine = leakage.Items(items, least)
+        runs = {k: {tuple(t.split()[i : i + least]) for i in range(len(t.split()) - least + 1)} for k, t in items}
+        for _ in range(60):
+            own = [rnd.choice("abcdX") for _ in range(rnd.randrange(40))]
+            if rnd.random() < 0.5:
+                own += rnd.choice(items)[1].split()[rnd.randrange(9) :]
+            want = {k for k, r in runs.items() if any(tuple(own[i : i + least]) in r for i in range(len(own) - least + 1))}
+            assert set(machine.scan("-".join(own))) == {k for k in want if runs[k]}

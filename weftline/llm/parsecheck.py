@@ -424,6 +424,9 @@ def checked(files: DataFrame, chunk_chars: int = CHUNK_CHARS, spread_chars: int
             known: dict[int, tuple[list[str], bool]] = {}
             out = []
             for uid, h, repo, language, body in zip(pdf["uid"], pdf["h"], pdf["reponame"], pdf["language"], pdf["src_text"]):
+                if body is None:  # too long for this task
+                    out.append((uid, h, repo, language, -1, None, False))
+                    continue
                 key = hash((language, body))
                 if key not in known:
                     own = maps(language, body, chunk_chars)
@@ -435,9 +438,10 @@ def checked(files: DataFrame, chunk_chars: int = CHUNK_CHARS, spread_chars: int
                 out += [(uid, h, repo, language, k, x, bad) for k, x in enumerate(made)]
             yield pd.DataFrame(out, columns=["uid", "h", "reponame", "language", "nth", "made", "bad"])
 
-    short = rows.where(F.length("src_text") <= spread_chars).mapInPandas(local, _PIECE)
-    long = rows.where(F.length("src_text") > spread_chars)
-    pieces = short.unionByName(_spread(long, chunk_chars)) if not long.isEmpty() else short
+    held = F.when(F.length("src_text") <= spread_chars, F.col("src_text")).alias("src_text")
+    pieces = cut(rows.select("uid", "h", "reponame", "language", held).mapInPandas(local, _PIECE))
+    if not pieces.where("nth = -1").isEmpty():
+        pieces = pieces.where("nth <> -1").unionByName(_spread(rows.where(F.length("src_text") > spread_chars), chunk_chars))
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
