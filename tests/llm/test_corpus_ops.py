@@ -91,7 +91,7 @@ def test_packing(spark):
     docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id bigint, text string, bin int").repartition(5)
     boxes = spark.createDataFrame([(1, 100, "a"), (1, 100, "b"), (2, 64, "c"), (None, 5, "d"), (3, None, "e"), (4, 0, "f")], "container_id bigint, capacity_tokens bigint, container_name string")
     got = packing.pack(docs, boxes, open_bins=4).collect()
-    size = {k: len(packing.encoder().encode_ordinary(t)) for k, t in enumerate(texts) if t is not None}
+    size = {k: len(packing.encoder(f"{packing.TOKENIZERS}/{packing.VOCABULARY}").encode_ordinary(t)) for k, t in enumerate(texts) if t is not None}
     for container, capacity in ((1, 100), (2, 64)):
         rows = [r for r in got if r["container_id"] == container]
         fill, parts = Counter(), defaultdict(list)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,7 +64,7 @@ class Items:
         if self.machine is None:
             return {}
         number = self.numbers.get
-        ids = tuple([number(w, 0) for w in words_of(text)])
+        ids = tuple(map(number, words_of(text), repeat(0)))
         if len(ids) < self.min_words:
             return {}
         hits: dict[int, tuple[int, int]] = {}

@@ -9,11 +9,12 @@ whole items of their fill: the input of that round is bounded by ``GROUP * open_
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +28,9 @@ TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 _encoders: dict[str, object] = {}
 
 
-def encoder(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
+def encoder(path: str):
     """The public tokenizer of a rank file, loaded once per worker."""
-    path = f"{folder}/{vocabulary}"
+    vocabulary = os.path.basename(path)
     if path not in _encoders:
         import tiktoken
 
@@ -96,11 +97,13 @@ def pack(documents: DataFrame, containers: DataFrame, open_bins: int = OPEN_BINS
     """
     rows = containers.where("container_id is not null and capacity_tokens > 0").select("container_id", "capacity_tokens").distinct().sort("container_id")
     kinds = [(r[0], r[1]) for r in rows.toLocalIterator()]
+    # the workers get the vocabulary from the driver, they need no such folder
+    documents.sparkSession.sparkContext.addFile(f"{folder}/{vocabulary}")
     schema = "container_id bigint, task bigint, bin bigint, doc_id bigint, piece bigint, first_token bigint, n_tokens bigint, open_fill bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        encode = encoder(folder, vocabulary).encode_ordinary
+        encode = encoder(SparkFiles.get(vocabulary)).encode_ordinary
         bins = [OpenBins(capacity, open_bins) for _, capacity in kinds]
         columns: list[list] = [[] for _ in range(8)]
 
@@ -151,3 +154,20 @@ def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
     per = packed.groupBy("container_id").agg(F.count_distinct("bin").alias("bins"), F.sum("n_tokens").alias("tokens"))
     sizes: Sequence[str] = ["container_id", "capacity_tokens"]
     return per.join(containers.select(*sizes).distinct(), "container_id").select("container_id", "bins", "tokens", (F.col("tokens") / (F.col("bins") * F.col("capacity_tokens"))).alias("fill"))
+
+
+def invariants(packed: DataFrame, containers: DataFrame) -> DataFrame:
+    """(container_id, n_docs, n_overfull, n_broken, n_split) of an assignment.
+
+    Documents placed; bins above their capacity; documents whose pieces overlap or leave a gap; documents in several
+    pieces although they fit into one bin. All but the first are 0 in a valid assignment.
+    """
+    sizes = containers.where("container_id is not null").select("container_id", "capacity_tokens").distinct()
+    bins = packed.groupBy("container_id", "bin").agg(F.sum("n_tokens").alias("fill")).join(F.broadcast(sizes), "container_id")
+    over = bins.groupBy("container_id").agg(F.count_if(F.col("fill") > F.col("capacity_tokens")).alias("n_overfull"))
+    parts = packed.groupBy("container_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("piece").alias("k"), F.max("piece").alias("last"), F.sum("n_tokens").alias("tokens"), F.max(F.col("first_token") + F.col("n_tokens")).alias("stop"))
+    parts = parts.join(F.broadcast(sizes), "container_id")
+    broken = (F.col("n") != F.col("k")) | (F.col("last") + 1 != F.col("n")) | (F.col("tokens") != F.col("stop"))
+    split = (F.col("n") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))
+    docs = parts.groupBy("container_id").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(broken).alias("n_broken"), F.count_if(split).alias("n_split"))
+    return docs.join(over, "container_id").select("container_id", "n_docs", "n_overfull", "n_broken", "n_split")

