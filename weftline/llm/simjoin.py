@@ -2,9 +2,10 @@
 
 Records with equal sets form a class with one representative; only representatives are compared. A signature of
 ``bands * rows`` minwise hashes is cut into bands, and representatives that share a band bucket become candidates once.
-Buckets above ``bucket_cap`` members, whose pairs must not be spelled out, go to an exact prefix-filter join instead:
-two sets of similarity t share a member among the rarest ``len - ceil(t * len) + 1`` of each. Candidates are verified on
-the whole sets.
+Members of buckets above ``bucket_cap`` members, whose pairs must not be spelled out, go to an exact prefix-filter join
+instead: two sets of similarity t share a member among the rarest ``len - ceil(t * len) + 1`` of each. A task that sees
+such a bucket among its own records sends one row for it, so that a bucket with a third of all records never meets in one
+task. Candidates are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 
 from weftline.common import cut, fits_broadcast
 
-#: Bands and rows of a band: at similarity 0.6 a pair shares no band with probability 0.0003.
-BANDS, BAND_ROWS = 100, 5
-#: Members of a bucket whose pairs are spelled out.
-BUCKET_CAP = 100
+#: Bands and rows of a band: at similarity 0.6 a pair shares no band with probability 0.00014.
+BANDS, BAND_ROWS = 64, 4
+#: Members of a bucket whose pairs are spelled out, and parts into which the pairs inside a class of equal sets are split.
+BUCKET_CAP, SALTS = 100, 32
 
 
 def sets_of(df: DataFrame, record: str, member: str) -> DataFrame:
@@ -64,8 +65,12 @@ def band_keys(values: np.ndarray, starts: np.ndarray, bands: int, rows: int) ->
     return keys.view(np.int64)
 
 
-def bucket_rows(reps: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """(bucket, id): one row per representative and band."""
+def bucket_rows(reps: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, bucket_cap: int = BUCKET_CAP) -> DataFrame:
+    """(bucket, id, crowd): one row per representative and band.
+
+    ``crowd`` is false there. A bucket with more than ``bucket_cap`` members in one batch comes as one row with ``crowd``
+    true instead, and each of its members there as one row with ``crowd`` null.
+    """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,38 +80,63 @@ def bucket_rows(reps: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> D
             if not len(ids):
                 continue
             starts = np.concatenate([[0], np.cumsum(sizes[sizes > 0])[:-1]]).astype(np.int64)
-            made = band_keys(values, starts, bands, rows)
-            yield pa.RecordBatch.from_arrays([pa.array(made.reshape(-1)), pa.array(np.repeat(ids, bands))], names=["bucket", "id"])
-
-    return reps.select("id", "members").mapInArrow(keys, "bucket bigint, id bigint")
-
-
-def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of ids in equal buckets; the rows come sorted by bucket, and no bucket is above the cap."""
-    tail_b, tail_i = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def pairs(b: np.ndarray, i: np.ndarray) -> Iterator[pa.RecordBatch]:
-        gap, found = 1, []
-        while gap < len(b):
-            at = np.flatnonzero(b[gap:] == b[:-gap])
-            if not len(at):
-                break
-            found.append((i[at], i[at + gap]))
-            gap += 1
-        if found:
-            x, y = (np.concatenate(c) for c in zip(*found))
-            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-    for batch in batches:
-        b = np.concatenate([tail_b, batch["bucket"].to_numpy()])
-        i = np.concatenate([tail_i, batch["id"].to_numpy()])
-        if not len(b):
-            continue
-        last = int(np.searchsorted(b, b[-1]))
-        yield from pairs(b[:last], i[:last])
-        tail_b, tail_i = b[last:], i[last:]
-    yield from pairs(tail_b, tail_i)
+            bucket, own = band_keys(values, starts, bands, rows).reshape(-1), np.repeat(ids, bands)
+            kinds, which, counts = np.unique(bucket, return_inverse=True, return_counts=True)
+            hot = counts > bucket_cap
+            met = np.unique(own[hot[which]])
+            yield _batch(bucket[~hot[which]], own[~hot[which]], crowd=False)
+            if len(met):
+                yield _batch(kinds[hot], np.zeros(hot.sum(), np.int64), crowd=True)
+                yield _batch(_mix(met.astype(np.uint64)).view(np.int64), met, crowd=None)
+
+    return reps.select("id", "members").mapInArrow(keys, "bucket bigint, id bigint, crowd boolean")
+
+
+def _batch(bucket: np.ndarray, ids: np.ndarray, crowd: bool | None) -> pa.RecordBatch:
+    """Rows of one kind: members of a bucket (False), a crowded bucket (True), members of such ones (null)."""
+    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids), pa.array([crowd] * len(ids), pa.bool_())], names=["bucket", "id", "crowd"])
+
+
+def _bucket_pairs(bucket_cap: int):
+    """Pairs of ids in equal buckets, and (id, null) for the members of crowded ones; the rows come sorted by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int8)]
+
+        def emit(b: np.ndarray, i: np.ndarray, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
+            alone = [i[kind == 2]]
+            b, i, kind = (c[kind != 2] for c in (b, i, kind))
+            _, which, counts = np.unique(b, return_inverse=True, return_counts=True)
+            hot = counts > bucket_cap
+            hot[which[kind == 1]] = True
+            alone.append(np.unique(i[hot[which] & (kind == 0)]))
+            b, i = b[~hot[which]], i[~hot[which]]
+            gap, found = 1, []
+            while gap < len(b):
+                at = np.flatnonzero(b[gap:] == b[:-gap])
+                if not len(at):
+                    break
+                found.append((i[at], i[at + gap]))
+                gap += 1
+            if found:
+                x, y = (np.concatenate(c) for c in zip(*found))
+                both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            lone = np.concatenate(alone)
+            if len(lone):
+                yield pa.RecordBatch.from_arrays([pa.array(lone), pa.nulls(len(lone), pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            kind = batch["crowd"].cast(pa.int8()).fill_null(2).to_numpy()
+            held = [np.concatenate(pair) for pair in zip(held, (batch["bucket"].to_numpy(), batch["id"].to_numpy(), kind))]
+            if not len(held[0]):
+                continue
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            yield from emit(*(c[:last] for c in held))
+            held = [c[last:] for c in held]
+        yield from emit(*held)
+
+    return run
 
 
 def prefix_pairs(reps: DataFrame, threshold: float) -> DataFrame:
@@ -123,20 +153,13 @@ def prefix_pairs(reps: DataFrame, threshold: float) -> DataFrame:
 
 def similar_reps(reps: DataFrame, threshold: float, bands: int = BANDS, rows: int = BAND_ROWS, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """(a, b, common, total) for the pairs of representatives with common / total at or above ``threshold``."""
-    keyed = bucket_rows(reps, bands, rows)
-    crowded = cut(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_cap).select("bucket"))
-    hot = crowded.count() > 0
-    if hot:
-        side = F.broadcast(crowded) if fits_broadcast(crowded) else crowded
-        spelled = keyed.join(side, "bucket", "left_anti")
-    else:
-        spelled = keyed
-    spelled = spelled.repartition(F.col("bucket")).sortWithinPartitions("bucket")
-    pairs = spelled.mapInArrow(_bucket_pairs, "a bigint, b bigint")
-    if hot:
-        members = keyed.join(side, "bucket", "left_semi").select("id").distinct()
-        pairs = pairs.unionByName(prefix_pairs(reps.join(members, "id", "left_semi"), threshold))
-    pairs = pairs.distinct()
+    keyed = bucket_rows(reps, bands, rows, bucket_cap)
+    met = cut(keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_pairs(bucket_cap), "a bigint, b bigint").distinct())
+    pairs = met.where("b is not null")
+    crowd = met.where("b is null").select(F.col("a").alias("id"))
+    if not crowd.isEmpty():
+        side = F.broadcast(crowd) if fits_broadcast(crowd) else crowd
+        pairs = pairs.unionByName(prefix_pairs(reps.join(side, "id", "left_semi"), threshold)).distinct()
     left = reps.select(F.col("id").alias("a"), F.col("members").alias("ma"))
     right = reps.select(F.col("id").alias("b"), F.col("members").alias("mb"))
     both = pairs.join(left, "a").join(right, "b")
@@ -164,7 +187,10 @@ def all_pairs(member_of: DataFrame, links: DataFrame) -> DataFrame:
     across = links.join(one, F.col("a") == F.col("rep")).join(two, F.col("b") == F.col("rep2")).select("x", "y")
     many = member_of.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep")
     copies = member_of.join(many, "rep").select("id", "rep")
-    inside = copies.toDF("x", "rep").join(copies.toDF("y", "rep"), "rep").where("x < y").select("x", "y")
+    # the members of a large class are spread by salt, each part meets all members
+    parts = copies.select(F.col("id").alias("x"), "rep", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    every = copies.select(F.col("id").alias("y"), "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    inside = parts.join(every, ["rep", "salt"]).where("x < y").select("x", "y")
     return across.unionByName(inside).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
