@@ -70,10 +70,34 @@ def test_stitching(spark):
     links = spark.createDataFrame([(1, 2, 1, "#arg0"), (2, 3, 2, ""), (3, 5, 4, "")], "lid bigint, nid0 bigint, nid1 bigint, label string")
     methods = spark.createDataFrame([(20, "LA;.g(I)I"), (30, "LB;.g(I)I"), (31, "LB;.g(I)I"), (40, None)], "mid bigint, method_id string")
     got = {tuple(r) for r in stitch.interprocedural(nodes, links, methods).collect()}
-    assert got == {(1, 2, "#arg0", None), (2, 3, "", None), (4, 5, "", None), (1, 4, "#arg0", 2), (5, 3, "", 2)}
+    assert got == {(1, 2, "#arg0", None, None), (2, 3, "", None, None), (4, 5, "", None, None), (1, 4, "#arg0", 2, "in"), (5, 3, "", 2, "out")}
     assert {tuple(r) for r in stitch.argument_edges(nodes, links, methods, None).collect()} == {(1, 4, "#arg0", 2), (1, 6, "#arg0", 2)}
 
 
+def test_all_arguments_and_fields_are_bound(spark):
+    nodes = [(1, 10, "value", None, None), (2, 10, "value", None, None), (3, 10, "call", None, "LA;.g(II)I"), (4, 10, "receive", None, None), (8, 10, "value", None, None)]
+    nodes += [(20, 20, "input", "$.:g/$a", None), (21, 20, "input", "$.:g/$b", None), (22, 20, "input", ".LA;/.f", None), (23, 20, "return", None, None), (24, 20, "return", None, None), (25, 20, "output", ".LA;/.f", None)]
+    links = [(1, 3, 1, "#arg0"), (2, 3, 2, "#arg1"), (3, 3, 8, ".LA;/.f"), (4, 4, 3, ""), (5, 4, 3, ".LA;/.f")]
+    nodes = spark.createDataFrame(nodes, "nid bigint, mid bigint, kind string, ref_name string, ndata string")
+    links = spark.createDataFrame(links, "lid bigint, nid0 bigint, nid1 bigint, label string")
+    methods = spark.createDataFrame([(20, "LA;.g(II)I")], "mid bigint, method_id string")
+    edges = {(r.src, r.dst) for r in stitch.interprocedural(nodes, links, methods).where("way is not null").collect()}
+    assert edges == {(1, 20), (2, 21), (8, 22), (23, 4), (24, 4), (25, 4)}
+
+
+def test_nearest_around_points(spark):
+    import random
+
+    rnd = random.Random(2)
+    at = rnd.sample(range(-500, 5000), 120) + [1 << 61, -(1 << 61)]
+    rows = [(t, rnd.choice([1, 1, 1, 2]), rnd.random() < 0.4) for t in at]
+    df = spark.createDataFrame(rows, "at bigint, who bigint, point boolean")
+    for slots in (1, 5, 64):
+        got = {tuple(r) for r in stitch.nearest(df.where("point"), df.where("not point"), "who", "at", slots).collect()}
+        others = {w: sorted(t for t, x, p in rows if x == w and not p) for w in (1, 2)}
+        assert got == {(t, max((o for o in others[w] if o < t), default=None), min((o for o in others[w] if o > t), default=None)) for t, w, p in rows if p}
+
+
 def test_classes(spark):
     cls = spark.createDataFrame([("C", "B"), ("B", "A"), ("B", "A"), ("X", "Y"), ("Y", "X"), (None, "A"), ("D", None)], "name string, base string")
     closure = classes.ancestors(cls)

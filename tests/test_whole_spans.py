@@ -34,8 +34,8 @@ def test_spans_of_all_files(spark, tmp_path):
             columns.append((uid, column(t[:s].split("\n")[-1])))
         if 0 <= s < e:
             blocks.append((uid, t[s:e], t.count("\n")))
-    assert rows(texts.whole_line_offsets(spark, d)) == sorted(offsets)
-    assert rows(texts.whole_span_lines(spark, d)) == sorted(hits) and {u for u, _ in hits} == {1, 2, 3}
-    assert rows(texts.whole_span_text(spark, d)) == sorted(blocks)
-    assert rows(reports.whole_block_columns(spark, d)) == sorted(columns)
-    assert rows(texts.whole_annotated_lines(spark, d).drop("gap")) == sorted(shown)
+    assert rows(texts.line_offsets(spark, d)) == sorted(offsets)
+    assert rows(texts.span_lines(spark, d)) == sorted(hits) and {u for u, _ in hits} == {1, 2, 3}
+    assert rows(texts.span_text(spark, d)) == sorted(blocks)
+    assert rows(reports.block_columns(spark, d)) == sorted(columns)
+    assert rows(texts.annotated_lines(spark, d).drop("gap")) == sorted(shown)

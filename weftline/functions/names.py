@@ -88,6 +88,14 @@ def type_kind(c: Column) -> Column:
     )
 
 
+def type_words(c: Column) -> Column:
+    """Words of a type: of a class those of its path and name behind its dimensions and an L, of others the type itself."""
+    header = F.regexp_extract(c, "^(\\[*)", 1)
+    element = F.regexp_replace(c, "^\\[+", "")
+    words = split_words(strip_generic(F.regexp_replace(element, "^L|;$", "")))
+    return F.when(element.startswith("L"), F.transform(words, lambda w: F.concat(header, F.lit("L"), w))).otherwise(F.array(F.concat(header, element)))
+
+
 def head_noun(c: Column) -> Column:
     """The trailing noun in lower case: [A-Z]?[a-z]+ or [A-Z]+ at the end."""
     return F.lower(extract(c, "([A-Z]?[a-z]+|[A-Z]+)$"))

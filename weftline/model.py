@@ -94,3 +94,11 @@ SQL_VIEWS = """
               min(srcpath) AS srcpath, min(src_text) AS src_text FROM sourcemap WHERE uid IS NOT NULL GROUP BY uid),
          calls AS (SELECT nid, mid, unnest(string_split(ndata, ' ')) AS callee FROM nodes WHERE kind IN ('call', 'new') AND ndata IS NOT NULL)
 """
+
+#: The simple name of a class descriptor, and the readable name of a reference, for the SQL twins.
+SQL_SIMPLE = "nullif(regexp_extract(split_part(regexp_replace({0}, '^\\[*L?', ''), '<', 1), '([^/;]+);?$', 1), '')"
+SQL_REFERENCE = (
+    "CASE left({0}, 1) WHEN '$' THEN list_last(string_split({0}, '/$')) WHEN '.' THEN list_last(string_split({0}, '/')) WHEN '#' THEN substr({0}, 2)"
+    " WHEN '@' THEN " + SQL_SIMPLE.format("substr({0}, 2)") + " WHEN '%' THEN '[' || coalesce(" + SQL_SIMPLE.format("substr({0}, 2)") + ", substr({0}, 2)) || ']'"
+    " WHEN '!' THEN '!' || " + SQL_SIMPLE.format("substr({0}, 2)") + " ELSE {0} END"
+)

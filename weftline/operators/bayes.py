@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.common import cut
+
 
 def train(observations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Key totals (key, k) and feature counts (feat, key, c) of (key, feat, w) rows.
@@ -31,23 +33,26 @@ def strict_scores(keys: DataFrame, feats: DataFrame, queries: DataFrame) -> Data
     return kept.join(best, "qid").select("qid", "key", F.round(F.col("p") - F.col("best"), 6).alias("score"), "n")
 
 
-def fallback_scores(keys: DataFrame, feats: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, key, score): every key that shares a feature; a known feature that the key lacks adds -ln k."""
-    known = queries.select("qid", "feat").distinct().join(feats.select("feat").distinct(), "feat", "left_semi")
-    asked = known.groupBy("qid").agg(F.count(F.lit(1)).alias("asked"))
-    hits = known.join(feats, "feat").join(keys, "key").groupBy("qid", "key").agg(F.max(F.log("k")).alias("lk"), F.sum(F.log("c")).alias("lc"))
-    per = hits.join(asked, "qid").select("qid", "key", (F.col("lk") + F.col("lc") - F.col("asked") * F.col("lk")).alias("p"))
-    best = per.groupBy("qid").agg(F.max("p").alias("best"))
-    return per.join(best, "qid").select("qid", "key", F.round(F.col("p") - F.col("best"), 6).alias("score"))
+def _all_keys(asked: DataFrame, keys: DataFrame, blocks: int = 64) -> DataFrame:
+    """The queries with every key: a stated set against all keys, in blocks of the queries."""
+    spread = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+    return spread.join(keys.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "block").drop("block")
 
 
-def probabilities(keys: DataFrame, feats: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, key, p): the key's share of all keys times c / k of every known feature; keys that lack one are left out."""
-    total = keys.agg(F.sum("k")).first()[0] or 1
+def fallback_scores(keys: DataFrame, feats: DataFrame, queries: DataFrame, top: int | None = None) -> DataFrame:
+    """(qid, key, score): every key; a known feature that the key lacks counts as one, so it adds -ln k.
+
+    score = ln k + the sum over the known features of ln c - ln k, less the query's greatest. A query without a known
+    feature ranks the keys by k alone. ``top`` keeps the best keys of a query, of equal scores the greatest keys.
+    """
     known = queries.select("qid", "feat").distinct().join(feats.select("feat").distinct(), "feat", "left_semi")
-    asked = known.groupBy("qid").agg(F.count(F.lit(1)).alias("asked"))
-    hits = known.join(feats, "feat").join(keys, "key").groupBy("qid", "key").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k"), F.sum(F.log("c") - F.log("k")).alias("lp"))
-    return hits.join(asked, "qid").where("n = asked").select("qid", "key", F.round(F.col("k") / F.lit(float(total)) * F.exp("lp"), 9).alias("p"))
+    asked = queries.select("qid").distinct().join(known.groupBy("qid").agg(F.count(F.lit(1)).alias("asked")), "qid", "left").select("qid", F.coalesce("asked", F.lit(0)).alias("asked"))
+    hits = known.join(feats, "feat").groupBy("qid", "key").agg(F.sum(F.log("c")).alias("lc"))
+    per = _all_keys(asked, keys).join(hits, ["qid", "key"], "left")
+    scored = per.select("qid", "key", (F.log("k") + F.coalesce("lc", F.lit(0.0)) - F.col("asked") * F.log("k")).alias("p"))
+    best = scored.groupBy("qid").agg(F.max("p").alias("best"))
+    out = scored.join(best, "qid").select("qid", "key", F.round(F.col("p") - F.col("best"), 6).alias("score"))
+    return out if top is None else top_per_group(out, "qid", top, F.desc("score"), F.desc("key"))
 
 
 def log_probabilities(keys: DataFrame, feats: DataFrame, queries: DataFrame, fallback: bool = False) -> DataFrame:
@@ -61,7 +66,7 @@ def log_probabilities(keys: DataFrame, feats: DataFrame, queries: DataFrame, fal
     asked = known.groupBy("qid").agg(F.count(F.lit(1)).alias("asked"))
     hits = known.join(feats, "feat").join(keys, "key").groupBy("qid", "key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.log("c")).alias("lc"))
     if fallback:
-        per = asked.crossJoin(keys).join(hits, ["qid", "key"], "left")
+        per = _all_keys(asked, keys).join(hits, ["qid", "key"], "left")
     else:
         per = hits.join(asked, "qid").where("n = asked").join(keys, "key")
     lp = F.log(F.col("k") / F.lit(float(total))) + F.coalesce("lc", F.lit(0.0)) - F.col("asked") * F.log("k")
@@ -94,16 +99,20 @@ def cosine_pairs(docs: DataFrame, threshold: float) -> DataFrame:
     than the threshold: a pair that shares no indexed feature cannot reach it, as the rest of one of them is too short.
     So hot features pair hardly any documents, and no pair is lost. Candidates are scored on all features.
     """
-    x = weighted(docs)
+    x = cut(weighted(docs))
     norms = x.groupBy("doc").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     common = x.groupBy("feat").agg(F.count(F.lit(1)).alias("df"))
     unit = x.join(norms, "doc").join(common, "feat").select("doc", "feat", "df", (F.col("x") / F.col("norm")).alias("u"))
     ahead = F.sum(F.col("u") * F.col("u")).over(W.partitionBy("doc").orderBy(F.desc("df"), "feat").rowsBetween(W.unboundedPreceding, 0))
-    index = unit.withColumn("ahead", ahead).where(F.sqrt("ahead") >= F.lit(threshold - 1e-5)).select("feat", "doc")
+    placed = cut(unit.withColumn("ahead", ahead))
+    index = placed.where(F.sqrt("ahead") >= F.lit(threshold - 1e-5)).select("feat", "doc")
     pairs = index.withColumnRenamed("doc", "a").join(index.withColumnRenamed("doc", "b"), "feat").where("a < b").select("a", "b").distinct()
-    left, right = unit.select(F.col("doc").alias("a"), "feat", F.col("u").alias("ua")), unit.select(F.col("doc").alias("b"), "feat", F.col("u").alias("ub"))
-    scored = pairs.join(left, "a").join(right, ["b", "feat"]).groupBy("a", "b").agg(F.round(F.sum(F.col("ua") * F.col("ub")), 6).alias("sim"))
-    return scored.where(F.col("sim") >= threshold).select("a", "b", "sim")
+    # a document is one map of its features, so a pair is scored in its own row
+    rows = cut(placed.groupBy("doc").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feat", "u")))).alias("v")))
+    both = pairs.join(rows.toDF("a", "va"), "a").join(rows.toDF("b", "vb"), "b")
+    shared = F.array_sort(F.array_intersect(F.map_keys("va"), F.map_keys("vb")))
+    dot = F.aggregate(shared, F.lit(0.0), lambda s, f: s + F.element_at("va", f) * F.element_at("vb", f))
+    return both.select("a", "b", F.round(dot, 6).alias("sim")).where(F.col("sim") >= threshold)
 
 
 def top_per_group(df: DataFrame, by: str, k: int, *order) -> DataFrame:

@@ -273,18 +273,22 @@ def main_paths(edges: DataFrame, ratio: float = 0.9, fan: int = 5, task_edges: i
     forth = F.row_number().over(W.partitionBy("src").orderBy(F.desc("weight"), "dst"))
     back = F.row_number().over(W.partitionBy("dst").orderBy(F.desc("weight"), "src"))
     ranked = cut(w.withColumn("f", forth).withColumn("b", back))
-    kept = cut(w.where(F.col("weight") >= ratio * top))
+    heavy = cut(w.where(F.col("weight") >= ratio * top))
+    found = heavy
+    # onward from the targets of the heavy edges, and back from their sources: neither walk goes on from the other's edges
     for own, far, rank in (("dst", "src", "f"), ("src", "dst", "b")):
         ways = ranked.where(F.col(rank) <= fan).select("src", "dst", "weight")
-        front, seen = kept, kept
+        points = heavy.select(F.col(own).alias(far)).distinct()
+        reached, walked = points, None
         while True:
-            nxt = ways.join(front.select(F.col(own).alias(far)).distinct(), far, "left_semi")
-            front = cut(nxt.join(seen.select("src", "dst"), ["src", "dst"], "left_anti"))
-            if front.limit(1).count() == 0:
+            step = cut(ways.join(points, far, "left_semi"))
+            walked = step if walked is None else walked.unionByName(step)
+            points = cut(step.select(F.col(own).alias(far)).distinct().join(reached, far, "left_anti"))
+            if points.isEmpty():
                 break
-            seen = cut(seen.unionByName(front))
-        kept = seen if far == "src" else kept.unionByName(seen).distinct()
-    return kept.distinct()
+            reached = reached.unionByName(points)
+        found = found.unionByName(walked)
+    return found.distinct()
 
 
 def simple_paths(starts: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
@@ -318,66 +322,74 @@ def passed_through(calls: DataFrame, own: DataFrame) -> DataFrame:
     return have.join(mine, ["mid", "ref"], "left_anti")
 
 
-def context_walk(starts: DataFrame, inner: DataFrame, between: DataFrame, most: int) -> DataFrame:
-    """(start, nid): what reaches each start (nid) backward over at most ``most`` edges with matched calls.
-
-    Leaving through a callee's result pushes the call; entering the caller's argument must match the call on top, or any
-    call where the stack is empty. No call is on a stack twice. ``inner`` has (src, dst), ``between`` (src, dst, funcall, label):
-    '' labels are results.
-    """
-    state = starts.select(F.col("nid").alias("start"), "nid", F.array().cast("array<bigint>").alias("stack"))
-    seen = cut(state.distinct())
-    front = seen
-    empty = F.size("stack") == 0
-    top = F.try_element_at("stack", F.lit(-1))
-    for _ in range(most):
-        a = front.join(inner.withColumnRenamed("dst", "nid"), "nid").select("start", F.col("src").alias("nid"), "stack")
-        x = front.join(between.withColumnRenamed("dst", "nid"), "nid")
-        push = x.where((F.col("label") == "") & ~F.array_contains("stack", F.col("funcall"))).select("start", F.col("src").alias("nid"), F.concat("stack", F.array("funcall")).alias("stack"))
-        pop = x.where((F.col("label") != "") & (empty | (top == F.col("funcall")))).select("start", F.col("src").alias("nid"), F.when(empty, F.col("stack")).otherwise(F.slice("stack", 1, F.size("stack") - 1)).alias("stack"))
-        front = cut(a.unionByName(push).unionByName(pop).distinct().join(seen, ["start", "nid", "stack"], "left_anti"))
-        seen = cut(seen.unionByName(front))
-    return seen.select("start", "nid").distinct()
-
-
-def keyed_steps(nodes: DataFrame, links: DataFrame, relays: int) -> DataFrame:
-    """(nid, label, src): from each node with a key to the next ones that feed it, over at most ``relays`` nodes without.
+def keyed_steps(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(nid, label, src): from each node with a key to the next ones that feed it, over any number of nodes without.
 
     ``nodes`` has (nid, key); the label is that of the first link. Nodes without key pass their inputs on.
     """
-    real = links.where(~F.col("label").startswith("_")).select(F.col("nid0").alias("nid"), "label", F.col("nid1").alias("src")).distinct()
-    keyed, plain = nodes.where("key is not null").select("nid"), nodes.where("key is null").select("nid")
-    front = real.join(keyed, "nid", "left_semi")
-    out = None
-    for _ in range(relays + 1):
-        hit = front.join(keyed.withColumnRenamed("nid", "src"), "src", "left_semi").select("nid", "label", "src")
-        out = hit if out is None else out.unionByName(hit)
-        through = front.join(plain.withColumnRenamed("nid", "src"), "src", "left_semi")
-        front = through.join(real.select(F.col("nid").alias("src"), F.col("src").alias("far")), "src").select("nid", "label", F.col("far").alias("src")).distinct()
-    return out.distinct()
+    real = cut(links.where(~F.col("label").startswith("_")).select(F.col("nid0").alias("nid"), "label", F.col("nid1").alias("src")).distinct())
+    keyed, plain = nodes.where("key is not null").select("nid"), nodes.where("key is null").select(F.col("nid").alias("src"))
+    seen = front = cut(real.join(keyed, "nid", "left_semi"))
+    while True:
+        through = front.join(plain, "src", "left_semi").join(real.select(F.col("nid").alias("src"), F.col("src").alias("far")), "src")
+        front = cut(through.select("nid", "label", F.col("far").alias("src")).distinct().join(seen, ["nid", "label", "src"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen.join(keyed.withColumnRenamed("nid", "src"), "src", "left_semi").select("nid", "label", "src")
 
 
-def path_index(nodes: DataFrame, links: DataFrame, depth: int, relays: int = 3) -> DataFrame:
-    """(path, size, mid, nid): every chain of up to ``depth`` keys that ends at a node, as text 'label:key/label:key'.
+def path_index(nodes: DataFrame, links: DataFrame, depth: int | None = None) -> DataFrame:
+    """(path, size, mid, nid): every chain of keys that ends at a node, as text 'label:key/label:key', up to ``depth`` keys if given.
 
     ``nodes`` has (nid, mid, key). The first part of a path has no label. This is the exhaustive form: a node that is
-    reached on several ways is indexed on each.
+    reached on several ways is indexed on each; a chain has no node twice.
     """
-    steps = cut(keyed_steps(nodes, links, relays))
+    steps = cut(keyed_steps(nodes, links))
     named = nodes.where("key is not null").select("nid", "mid", "key")
-    front = named.select("nid", "mid", F.concat(F.lit(":"), "key").alias("path"))
-    out = front.withColumn("size", F.lit(1).cast("long"))
-    for k in range(2, depth + 1):
-        far = steps.join(named.select(F.col("nid").alias("src"), F.col("key").alias("skey"), F.col("mid").alias("smid")), "src")
-        front = cut(front.join(far, "nid").select(F.col("src").alias("nid"), F.col("smid").alias("mid"), F.concat("path", F.lit("/"), "label", F.lit(":"), "skey").alias("path")).distinct())
-        out = out.unionByName(front.withColumn("size", F.lit(k).cast("long")))
-    return out.where("mid is not null").select("path", "size", "mid", "nid").distinct()
+    front = named.select("nid", "mid", F.concat(F.lit(":"), "key").alias("path"), F.array("nid").alias("way"))
+    out = front.select("path", F.lit(1).cast("long").alias("size"), "mid", "nid")
+    far = cut(steps.join(named.select(F.col("nid").alias("src"), F.col("key").alias("skey"), F.col("mid").alias("smid")), "src"))
+    for k in itertools.count(2) if depth is None else range(2, depth + 1):
+        moved = front.join(far, "nid").where(~F.array_contains("way", F.col("src")))
+        front = cut(moved.select(F.col("src").alias("nid"), F.col("smid").alias("mid"), F.concat("path", F.lit("/"), "label", F.lit(":"), "skey").alias("path"), F.concat("way", F.array("src")).alias("way")))
+        if front.isEmpty():
+            break
+        out = out.unionByName(front.select("path", F.lit(k).cast("long").alias("size"), "mid", "nid"))
+    return out.where("mid is not null").distinct()
 
 
 def path_votes(queries: DataFrame, index: DataFrame, least_nodes: int, least_depth: int) -> DataFrame:
-    """(qmid, mid, n_query, n_found, depth): methods that share paths with a query method, by the nodes and depth matched."""
-    q = queries.groupBy("path", "size", F.col("mid").alias("qmid")).agg(F.collect_set("nid").alias("qs"))
-    x = index.groupBy("path", "size", "mid").agg(F.collect_set("nid").alias("xs"))
-    hits = q.where("size >= 2").join(x, ["path", "size"]).where("qmid <> mid")
-    sums = hits.groupBy("qmid", "mid").agg(F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).cast("long").alias("n_query"), F.size(F.array_distinct(F.flatten(F.collect_list("xs")))).cast("long").alias("n_found"), F.max("size").alias("depth"))
+    """(qmid, mid, n_query, n_found, depth): methods that share paths with a query method, by the nodes and depth matched.
+
+    Paths meet by a hash of their text. Only which methods share a path is joined; the nodes are then looked up from
+    either side, so that no list of nodes is carried along.
+    """
+    h = F.xxhash64("path", "size")
+    q = queries.where("size >= 2").select(h.alias("h"), F.col("mid").alias("qmid"), F.col("nid").alias("q"), "size")
+    x = index.where("size >= 2").select(h.alias("h"), "mid", F.col("nid").alias("x"))
+    pairs = cut(q.groupBy("h", "qmid").agg(F.max("size").alias("size")).join(x.select("h", "mid").distinct(), "h").where("qmid <> mid"))
+    asked = pairs.join(q.select("h", "qmid", "q"), ["h", "qmid"]).groupBy("qmid", "mid").agg(F.count_distinct("q").alias("n_query"), F.max("size").alias("depth"))
+    found = pairs.join(x, ["h", "mid"]).groupBy("qmid", "mid").agg(F.count_distinct("x").alias("n_found"))
+    sums = asked.join(found, ["qmid", "mid"]).select("qmid", "mid", "n_query", "n_found", "depth")
     return sums.where((F.col("n_query") >= least_nodes) & (F.col("n_found") >= least_nodes) & (F.col("depth") >= least_depth))
+
+
+def summary_tree(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """(root, path array, repeated): the lines of the trees below the nodes without incoming edges of a graph without cycles.
+
+    Children come in the order of their ids. Below a node that was shown before in the same tree nothing is shown again; that
+    line is ``repeated``. The first visit of a node is on the least path that leads to it, found level by level.
+    """
+    e = cut(_clean(edges))
+    levels = cut(topological_levels(e, task_edges))
+    top = levels.agg(F.max("level")).first()[0] or 0
+    below = cut(e.join(levels.select(F.col("node").alias("dst"), "level"), "dst"))
+    first = levels.where("level = 0").select(F.col("node").alias("root"), "node", F.array("node").alias("path"))
+    for k in range(1, top + 1):
+        step = below.where(F.col("level") == k).join(first.withColumnRenamed("node", "src"), "src")
+        new = step.groupBy("root", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+        first = cut(first.unionByName(new))
+    lines = first.join(e.withColumnRenamed("src", "node"), "node").select("root", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("node"))
+    shown = lines.join(first.select("root", "node", F.col("path").alias("least")), ["root", "node"]).select("root", "path", (F.col("path") != F.col("least")).alias("repeated"))
+    return first.where("node = root").select("root", "path", F.lit(False).alias("repeated")).unionByName(shown)

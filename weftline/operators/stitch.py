@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from weftline.common import cut
 from weftline.model import CALL_KINDS
 
+#: A method has no more parameters than this (fixed value of the class file format).
+MOST_PARAMETERS = 255
+
 
 def calls(nodes: DataFrame, most: int | None = 1) -> DataFrame:
     """(nid, mid, callee): the signatures of every call node, at most the first ``most``; none without data."""
@@ -23,38 +26,48 @@ def resolved(nodes: DataFrame, methods: DataFrame, most: int | None = 1) -> Data
     return calls(nodes, most).join(defined, "callee").select("nid", "mid", "callee_mid")
 
 
+def entries(nodes: DataFrame) -> DataFrame:
+    """(callee_mid, label, dst): the inputs of methods by the label of what they take.
+
+    The label is the input's reference. Where a store keeps variable names instead of #arg0, #arg1 and so on, the k-th variable
+    input of a method takes #arg<k> as well, unless an input has that name.
+    """
+    own = nodes.where("kind = 'input' and mid is not null and ref_name is not null")
+    named = own.select(F.col("mid").alias("callee_mid"), F.col("ref_name").alias("label"), F.col("nid").alias("dst"))
+    place = F.row_number().over(W.partitionBy("mid").orderBy("nid"))
+    placed = own.where(F.left("ref_name", F.lit(1)) == "$").withColumn("k", place).where(F.col("k") <= MOST_PARAMETERS)
+    placed = placed.select(F.col("mid").alias("callee_mid"), F.concat(F.lit("#arg"), F.col("k") - 1).alias("label"), F.col("nid").alias("dst"))
+    return named.unionByName(placed.join(named.select("callee_mid", "label"), ["callee_mid", "label"], "left_anti"))
+
+
+def exits(nodes: DataFrame) -> DataFrame:
+    """(callee_mid, wanted, src): the outputs of methods by reference; without an output #return, the return nodes stand for it."""
+    named = nodes.where("kind = 'output' and mid is not null and ref_name is not null").select(F.col("mid").alias("callee_mid"), F.col("ref_name").alias("wanted"), F.col("nid").alias("src"))
+    returns = nodes.where("kind = 'return' and mid is not null").select(F.col("mid").alias("callee_mid"), F.lit("#return").alias("wanted"), F.col("nid").alias("src"))
+    return named.unionByName(returns.join(named.where("wanted = '#return'").select("callee_mid"), "callee_mid", "left_anti"))
+
+
 def argument_edges(nodes: DataFrame, links: DataFrame, methods: DataFrame, most: int | None = 1) -> DataFrame:
-    """(src, dst, label, funcall): argument to the callee's input whose reference is the link's label."""
-    into = nodes.where("kind = 'input' and ref_name is not null").select(F.col("mid").alias("callee_mid"), F.col("ref_name").alias("label"), F.col("nid").alias("dst"))
+    """(src, dst, label, funcall): argument to the callee's input that takes the link's label."""
     at = resolved(nodes, methods, most).select(F.col("nid").alias("nid0"), "callee_mid")
-    return links.join(at, "nid0").join(into, ["callee_mid", "label"]).select(F.col("nid1").alias("src"), "dst", "label", F.col("nid0").alias("funcall"))
+    return links.join(at, "nid0").join(entries(nodes), ["callee_mid", "label"]).select(F.col("nid1").alias("src"), "dst", "label", F.col("nid0").alias("funcall"))
 
 
 def result_edges(nodes: DataFrame, links: DataFrame, methods: DataFrame, most: int | None = 1) -> DataFrame:
     """(src, dst, label, funcall): the callee's output to what accepts that result of the call; '' means #return."""
-    from_ = nodes.where("kind = 'output' and ref_name is not null").select(F.col("mid").alias("callee_mid"), F.col("ref_name").alias("wanted"), F.col("nid").alias("src"))
     at = resolved(nodes, methods, most).select(F.col("nid").alias("nid1"), "callee_mid")
     wanted = F.when(F.col("label") == "", "#return").otherwise(F.col("label"))
-    return links.join(at, "nid1").withColumn("wanted", wanted).join(from_, ["callee_mid", "wanted"]).select("src", F.col("nid0").alias("dst"), "label", F.col("nid1").alias("funcall"))
+    return links.join(at, "nid1").withColumn("wanted", wanted).join(exits(nodes), ["callee_mid", "wanted"]).select("src", F.col("nid0").alias("dst"), "label", F.col("nid1").alias("funcall"))
 
 
 def interprocedural(nodes: DataFrame, links: DataFrame, methods: DataFrame, most: int | None = 1) -> DataFrame:
-    """(src, dst, label, funcall): links within methods, and the edges of calls, which name their call node."""
-    inner = links.select(F.col("nid1").alias("src"), F.col("nid0").alias("dst"), "label", F.lit(None).cast("long").alias("funcall"))
-    return inner.unionByName(argument_edges(nodes, links, methods, most)).unionByName(result_edges(nodes, links, methods, most))
-
-
-def first_bound_edges(nodes: DataFrame, links: DataFrame, methods: DataFrame) -> DataFrame:
-    """(src, dst, label, funcall) where stores keep variable names instead of #arg and #return on inputs and outputs.
+    """(src, dst, label, funcall, way): links within methods, and the edges of calls with their call node.
 
-    The first input of a method takes #arg0, and its first return node gives the call's result.
+    ``way`` is 'in' for an argument, 'out' for a result and null within a method.
     """
-    first = nodes.where("mid is not null and kind in ('input', 'return')").groupBy(F.col("mid").alias("callee_mid"))
-    ends = first.agg(F.min(F.when(F.col("kind") == "input", F.col("nid"))).alias("entry"), F.min(F.when(F.col("kind") == "return", F.col("nid"))).alias("exit"))
-    at = resolved(nodes, methods).join(ends, "callee_mid").select("nid", "entry", "exit")
-    into = links.where("label = '#arg0'").join(at.withColumnRenamed("nid", "nid0"), "nid0").where("entry is not null")
-    back = links.where("label = ''").join(at.withColumnRenamed("nid", "nid1"), "nid1").where("exit is not null")
-    return into.select(F.col("nid1").alias("src"), F.col("entry").alias("dst"), "label", F.col("nid0").alias("funcall")).unionByName(back.select(F.col("exit").alias("src"), F.col("nid0").alias("dst"), "label", F.col("nid1").alias("funcall")))
+    inner = links.select(F.col("nid1").alias("src"), F.col("nid0").alias("dst"), "label", F.lit(None).cast("long").alias("funcall"), F.lit(None).cast("string").alias("way"))
+    into = argument_edges(nodes, links, methods, most).withColumn("way", F.lit("in"))
+    return inner.unionByName(into).unionByName(result_edges(nodes, links, methods, most).withColumn("way", F.lit("out")))
 
 
 def within(starts: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
@@ -68,13 +81,31 @@ def within(starts: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
     return seen
 
 
-def nearest(points: DataFrame, others: DataFrame, by: str, at: str) -> DataFrame:
+def nearest(points: DataFrame, others: DataFrame, by: str, at: str, slots: int = 64) -> DataFrame:
     """As-of join: for each point the last other before it and the first after it, within ``by``.
 
-    One union and one window over it; a frame running both ways needs a single sort per key.
+    One union, sorted once upward and once downward with running frames, so the work is linear in the rows of a key. A key's
+    rows are cut into ``slots`` ranges of ``at``, so that a key with most of the rows is spread over many tasks; what a
+    range lacks comes from the ends of its neighbours, which are ``slots`` rows per key.
     """
-    both = points.withColumn("o", F.lit(None).cast("long")).withColumn("own", F.lit(True)).unionByName(others.withColumn("o", F.col(at)).withColumn("own", F.lit(False)))
-    w = W.partitionBy(by).orderBy(at)
-    before = F.last("o", True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    after = F.first("o", True).over(w.rowsBetween(1, W.unboundedFollowing))
-    return both.select(at, "own", before.alias("before_id"), after.alias("after_id")).where("own").select(at, "before_id", "after_id")
+    both = points.select(by, at).withColumn("o", F.lit(None).cast("long")).unionByName(others.select(by, at).withColumn("o", F.col(at)))
+    span = both.groupBy(by).agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+    share = (F.col(at).cast("double") - F.col("lo")) / (F.col("hi").cast("double") - F.col("lo") + 1.0)
+    placed = both.join(span, by).withColumn("slot", F.least(F.lit(slots - 1), F.floor(share * slots))).drop("lo", "hi")
+    up, down = W.partitionBy(by, "slot").orderBy(at), W.partitionBy(by, "slot").orderBy(F.desc(at))
+    # rows of the same place: an other there is neither before nor after
+    before = F.last("o", True).over(up.rangeBetween(W.unboundedPreceding, -1))
+    after = F.last("o", True).over(down.rangeBetween(W.unboundedPreceding, -1))
+    inside = placed.withColumn("b", before).withColumn("a", after).where("o is null")
+    ends = placed.where("o is not null").groupBy(by, "slot").agg(F.min("o").alias("first"), F.max("o").alias("last"))
+    grid = placed.select(by, "slot").distinct().join(ends, [by, "slot"], "left")
+    w, v = W.partitionBy(by).orderBy("slot").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(by).orderBy(F.desc("slot")).rowsBetween(W.unboundedPreceding, -1)
+    grid = grid.select(by, "slot", F.last("last", True).over(w).alias("pb"), F.last("first", True).over(v).alias("pa"))
+    return inside.join(grid, [by, "slot"]).select(at, F.coalesce("b", "pb").alias("before_id"), F.coalesce("a", "pa").alias("after_id"))
+
+
+def points_in_ranges(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, bin_size: int = 256) -> DataFrame:
+    """Every range with the points inside it, both ends included: an equi-join over the bins that a range touches."""
+    placed = points.withColumn("bin", F.floor(F.col(at) / bin_size))
+    touched = ranges.withColumn("bin", F.explode(F.sequence(F.floor(F.col(low) / bin_size), F.floor(F.col(high) / bin_size))))
+    return placed.join(touched, "bin").where((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("bin")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline import model as m
-from weftline.common import cut
+from weftline.common import cut, kept
 from weftline.functions import names as fn
 from weftline.operators import graph, stitch
 from weftline.plans import words
@@ -77,8 +77,8 @@ def path_weights(spark: SparkSession, d: str) -> DataFrame:
 @query(_WEIGHTS + """, r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS f, row_number() OVER (PARTITION BY dst ORDER BY weight DESC, src) AS b FROM wt),
     k0 AS (SELECT src, dst, weight FROM wt WHERE weight >= 0.9 * (SELECT max(weight) FROM wt)),
     kf AS (SELECT src, dst, weight FROM k0 UNION SELECT r.src, r.dst, r.weight FROM kf JOIN r ON r.src = kf.dst AND r.f <= 5),
-    kb AS (SELECT src, dst, weight FROM kf UNION SELECT r.src, r.dst, r.weight FROM kb JOIN r ON r.dst = kb.src AND r.b <= 5)
-    SELECT src, dst, weight FROM kb""")
+    kb AS (SELECT src, dst, weight FROM k0 UNION SELECT r.src, r.dst, r.weight FROM kb JOIN r ON r.dst = kb.src AND r.b <= 5)
+    SELECT src, dst, weight FROM kf UNION SELECT src, dst, weight FROM kb""")
 def main_paths(spark: SparkSession, d: str) -> DataFrame:
     """Main paths of the condensed call graph."""
     e = cut(call_graph(spark, d))
@@ -99,44 +99,37 @@ def item_groups(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
-@query(_CG + """, pth AS (SELECT node, [node] AS path, 0 AS len FROM vx WHERE node NOT IN (SELECT dst FROM cg) UNION ALL SELECT cg.dst, list_append(path, cg.dst), len + 1 FROM pth JOIN cg ON cg.src = pth.node AND NOT list_contains(path, cg.dst) WHERE len < 4)
+@query(_CG + """, pth AS (SELECT node, [node] AS path, 0 AS len FROM vx WHERE node NOT IN (SELECT dst FROM cg) UNION ALL SELECT cg.dst, list_append(path, cg.dst), len + 1 FROM pth JOIN cg ON cg.src = pth.node AND NOT list_contains(path, cg.dst))
     SELECT array_to_string(path, '>') AS path, CAST(len AS BIGINT) AS len FROM pth""")
 def call_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Call paths from methods that nothing calls, up to four calls deep, without repetition."""
-    return _paths(spark, d, 4)
-
-
-def _paths(spark: SparkSession, d: str, most: int | None) -> DataFrame:
+    """All call paths from methods that nothing calls, however deep, without repetition."""
     e = cut(call_graph(spark, d))
     roots = e.select(F.col("src").alias("node")).distinct().join(e.select(F.col("dst").alias("node")), "node", "left_anti")
-    return graph.simple_paths(roots, e, most).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "len")
-
+    return graph.simple_paths(roots, e).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "len")
 
-@query(SQL["call_paths"].replace(V, "", 1).replace(" WHERE len < 4)", ")"))
-def whole_call_paths(spark: SparkSession, d: str) -> DataFrame:
-    """All call paths from methods that nothing calls, however deep, without repetition."""
-    return _paths(spark, d, None)
 
+_TREE = """, ways AS (SELECT node AS root, node, [node] AS path FROM (SELECT src AS node FROM dag UNION SELECT dst FROM dag) WHERE node NOT IN (SELECT dst FROM dag)
+      UNION ALL SELECT w.root, dag.dst, list_append(w.path, dag.dst) FROM ways w JOIN dag ON dag.src = w.node),
+    fst AS (SELECT root, node, min(path) AS path FROM ways GROUP BY root, node)"""
 
-@query(_CG + """, pth AS (SELECT node, [node] AS path FROM vx WHERE node NOT IN (SELECT dst FROM cg) UNION ALL SELECT cg.dst, list_append(path, cg.dst) FROM pth JOIN cg ON cg.src = pth.node AND NOT list_contains(path, cg.dst) WHERE len(path) < 5)
-    SELECT repeat('  ', len(path) - 1) || list_last(path) || CASE WHEN row_number() OVER (PARTITION BY list_last(path) ORDER BY array_to_string(path, '>')) > 1 THEN ' *' ELSE '' END AS shown, array_to_string(path, '>') AS path FROM pth""")
-def call_tree(spark: SparkSession, d: str) -> DataFrame:
-    """The call tree as indented lines; a method shown again has a star."""
-    return _tree(call_paths(spark, d))
 
+def tree_lines(lines: DataFrame) -> DataFrame:
+    """(root, path, shown, repeated) of the lines of ``graph.summary_tree``: indented, with dots where shown before."""
+    depth = F.size("path") - 1
+    text = F.concat(F.repeat(F.lit("  "), depth), F.element_at("path", F.lit(-1)).cast("string"), F.when(F.col("repeated"), " ...").otherwise(""))
+    return lines.select("root", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), text.alias("shown"), "repeated")
 
-def _tree(paths: DataFrame) -> DataFrame:
-    from pyspark.sql import Window as W
 
-    p = paths.select("path", F.substring_index("path", ">", -1).alias("leaf"), "len")
-    again = F.row_number().over(W.partitionBy("leaf").orderBy("path")) > 1
-    return p.select(F.concat(F.repeat(F.lit("  "), F.col("len").cast("int")), F.col("leaf"), F.when(again, " *").otherwise("")).alias("shown"), "path")
+_TREE_LINES = """ SELECT root, array_to_string(path, '>') AS path, repeat('  ', len(path) - 1) || list_last(path) || CASE WHEN repeated THEN ' ...' ELSE '' END AS shown, repeated FROM (
+      SELECT root, path, false AS repeated FROM fst WHERE node = root
+      UNION ALL SELECT f.root, list_append(f.path, dag.dst), list_append(f.path, dag.dst) <> g.path FROM fst f JOIN dag ON dag.src = f.node JOIN fst g ON g.root = f.root AND g.node = dag.dst)"""
 
 
-@query(SQL["call_tree"].replace(V, "", 1).replace(" WHERE len(path) < 5)", ")"))
-def whole_call_tree(spark: SparkSession, d: str) -> DataFrame:
-    """The call tree of all call paths, however deep."""
-    return _tree(whole_call_paths(spark, d))
+@query(_CG + _TREE + _TREE_LINES)
+def call_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The call summary: trees of the components of the call graph, below those that nothing calls; what was shown is not shown again."""
+    e = cut(call_graph(spark, d))
+    return tree_lines(graph.summary_tree(graph.condensed(e, graph.strong_components(e))))
 
 
 @query(_CG + """, own AS (SELECT DISTINCT mid, ref_name AS ref FROM nodes WHERE kind IN ('passin', 'passout', 'input', 'output') AND left(ref_name, 1) IN ('.', '@') AND mid IS NOT NULL)
@@ -148,56 +141,17 @@ def passed_references(spark: SparkSession, d: str) -> DataFrame:
     return graph.passed_through(e, own)
 
 
-@query(""", vs AS (SELECT nid, ref_name FROM nodes WHERE kind IN ('ref_var', 'ref_field') AND left(ref_name, 1) NOT IN ('#', '%', '!', '@')), real AS (SELECT DISTINCT nid1, nid0 FROM links WHERE NOT starts_with(label, '_')),
-    ch AS (SELECT nid AS start, nid, [nid] AS path, false AS hit FROM vs UNION ALL SELECT c.start, r.nid0, list_append(path, r.nid0), coalesce(starts_with(n.kind, 'assign'), false) FROM ch c JOIN real r ON r.nid1 = c.nid JOIN nodes n ON n.nid = r.nid0 WHERE NOT c.hit AND len(path) < 6 AND NOT list_contains(path, r.nid0))
-    SELECT a.ref_name AS from_ref, b.ref_name AS to_ref, count(*) AS n_chains, CAST(min(len(path)) AS BIGINT) AS shortest FROM ch JOIN nodes a ON a.nid = ch.start JOIN nodes b ON b.nid = ch.nid WHERE hit AND b.ref_name IS NOT NULL GROUP BY 1, 2""")
-def variable_flows(spark: SparkSession, d: str) -> DataFrame:
-    """Chains from the reading of a variable to the next assignment, up to six nodes long."""
-    n = m.nodes(spark, d)
-    real = m.links(spark, d).where(~F.col("label").startswith("_")).select(F.col("nid1").alias("nid"), "nid0").distinct()
-    ends = n.select(F.col("nid").alias("nid0"), F.coalesce(F.col("kind").startswith("assign"), F.lit(False)).alias("hit"), F.col("ref_name").alias("to_ref"))
-    steps = cut(real.join(ends, "nid0"))
-    starts = n.where(F.col("kind").isin("ref_var", "ref_field") & ~F.left("ref_name", F.lit(1)).isin("#", "%", "!", "@"))
-    front = starts.select(F.col("ref_name").alias("from_ref"), "nid", F.array("nid").alias("path"))
-    done = None
-    for _ in range(5):
-        moved = cut(front.join(steps, "nid").where(~F.array_contains("path", F.col("nid0"))).select("from_ref", F.col("nid0").alias("nid"), F.concat("path", F.array("nid0")).alias("path"), "hit", "to_ref"))
-        hits = moved.where("hit and to_ref is not null").select("from_ref", "to_ref", F.size("path").cast("long").alias("len"))
-        done = hits if done is None else done.unionByName(hits)
-        front = moved.where("not hit").select("from_ref", "nid", "path")
-    return done.groupBy("from_ref", "to_ref").agg(F.count(F.lit(1)).alias("n_chains"), F.min("len").alias("shortest"))
-
-
-_FLOW = """, k AS (SELECT method_id, min(mid) AS mid FROM methods WHERE method_id IS NOT NULL GROUP BY method_id),
-    res AS (SELECT c.nid, k.mid AS callee_mid FROM (SELECT nid, split_part(ndata, ' ', 1) AS callee FROM nodes WHERE kind IN ('call', 'new') AND ndata IS NOT NULL) c JOIN k ON k.method_id = c.callee),
-    ends AS (SELECT mid, min(nid) FILTER (kind = 'input') AS entry, min(nid) FILTER (kind = 'return') AS exit FROM nodes WHERE mid IS NOT NULL GROUP BY mid),
-    btw AS (SELECT l.nid1 AS src, e.entry AS dst, l.label, r.nid AS funcall FROM res r JOIN ends e ON e.mid = r.callee_mid JOIN links l ON l.nid0 = r.nid AND l.label = '#arg0' WHERE e.entry IS NOT NULL
-      UNION ALL SELECT e.exit, l.nid0, l.label, r.nid FROM res r JOIN ends e ON e.mid = r.callee_mid JOIN links l ON l.nid1 = r.nid AND l.label = '' WHERE e.exit IS NOT NULL)"""
-
-
-@query(_FLOW + """, st AS (SELECT nid AS start, nid, CAST([] AS BIGINT[]) AS stack, 0 AS n FROM nodes WHERE kind = 'assign_field'
-    UNION SELECT s.start, x.src, x.stack, s.n + 1 FROM st s, LATERAL (SELECT l.nid1 AS src, s.stack FROM links l WHERE l.nid0 = s.nid AND NOT starts_with(l.label, '_')
-      UNION ALL SELECT b.src, list_append(s.stack, b.funcall) FROM btw b WHERE b.dst = s.nid AND b.label = '' AND NOT list_contains(s.stack, b.funcall)
-      UNION ALL SELECT b.src, CASE WHEN len(s.stack) = 0 THEN s.stack ELSE s.stack[1:len(s.stack) - 1] END FROM btw b WHERE b.dst = s.nid AND b.label <> '' AND (len(s.stack) = 0 OR s.stack[-1] = b.funcall)) x WHERE s.n < 5)
-    SELECT DISTINCT start, nid FROM st""")
-def context_flows(spark: SparkSession, d: str) -> DataFrame:
-    """What flows into a field within five steps, calls and returns matched."""
-    n, ln = m.nodes(spark, d), m.links(spark, d)
-    inner = cut(ln.where(~F.col("label").startswith("_")).select(F.col("nid1").alias("src"), F.col("nid0").alias("dst")).distinct())
-    between = cut(stitch.first_bound_edges(n, ln, m.methods(spark, d)))
-    return graph.context_walk(n.where("kind = 'assign_field'").select("nid"), inner, between, 5)
-
-
 _KEY = "CASE WHEN kind IS NULL OR kind IN ('assign_var', 'ref_var') THEN NULL ELSE kind || ':' || coalesce(ndata, '') END"
 _INDEX = f""", kn AS (SELECT nid, mid, {_KEY} AS key FROM nodes), real AS (SELECT DISTINCT nid0, label, nid1 FROM links WHERE NOT starts_with(label, '_')),
-    fr AS (SELECT r.nid0 AS nid, r.label, r.nid1 AS src, 0 AS n FROM real r JOIN kn ON kn.nid = r.nid0 AND kn.key IS NOT NULL UNION SELECT f.nid, f.label, r.nid1, f.n + 1 FROM fr f JOIN kn ON kn.nid = f.src AND kn.key IS NULL JOIN real r ON r.nid0 = f.src WHERE f.n < 3),
+    fr AS (SELECT r.nid0 AS nid, r.label, r.nid1 AS src FROM real r JOIN kn ON kn.nid = r.nid0 AND kn.key IS NOT NULL UNION SELECT f.nid, f.label, r.nid1 FROM fr f JOIN kn ON kn.nid = f.src AND kn.key IS NULL JOIN real r ON r.nid0 = f.src),
     stp AS (SELECT DISTINCT f.nid, f.label, f.src FROM fr f JOIN kn ON kn.nid = f.src AND kn.key IS NOT NULL),
-    ix AS (SELECT DISTINCT ':' || key AS path, 1 AS size, mid, nid FROM kn WHERE key IS NOT NULL UNION SELECT i.path || '/' || s.label || ':' || k2.key, i.size + 1, k2.mid, s.src FROM ix i JOIN stp s ON s.nid = i.nid JOIN kn k2 ON k2.nid = s.src WHERE i.size < 3)"""
+    chn AS (SELECT ':' || key AS path, 1 AS size, mid, nid, [nid] AS way FROM kn WHERE key IS NOT NULL UNION ALL SELECT i.path || '/' || s.label || ':' || k2.key, i.size + 1, k2.mid, s.src, list_append(i.way, s.src) FROM chn i JOIN stp s ON s.nid = i.nid AND NOT list_contains(i.way, s.src) JOIN kn k2 ON k2.nid = s.src),
+    ix AS (SELECT DISTINCT path, size, mid, nid FROM chn)"""
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
     keyed = m.nodes(spark, d).select("nid", "mid", fn.node_key(F.col("kind"), F.col("ndata")).alias("key"))
-    return graph.path_index(cut(keyed), m.links(spark, d), 3)
+    return kept(spark, "path_index", d, lambda: graph.path_index(cut(keyed), m.links(spark, d)))
 
 
 @query(_INDEX + " SELECT path, CAST(size AS BIGINT) AS size, count(DISTINCT mid) AS n_methods, count(*) AS n_nodes FROM ix WHERE mid IS NOT NULL GROUP BY path, size")
@@ -210,7 +164,7 @@ def path_index(spark: SparkSession, d: str) -> DataFrame:
     WHERE q.mid % 20 = 0 AND q.size >= 2 GROUP BY 1, 2 HAVING count(DISTINCT q.nid) >= 2 AND count(DISTINCT x.nid) >= 2 AND max(q.size) >= 2""")
 def path_search(spark: SparkSession, d: str) -> DataFrame:
     """Methods alike in shape to those whose id is divisible by 20, by shared key paths."""
-    ix = cut(_index(spark, d))
+    ix = _index(spark, d)
     return graph.path_votes(ix.where("mid % 20 = 0"), ix, 2, 2)
 
 
@@ -227,33 +181,7 @@ def argument_features(spark: SparkSession, d: str) -> DataFrame:
     return two.groupBy("callee", "label", F.coalesce("k1", F.lit("relay")).alias("feat1"), F.coalesce("k2", F.lit("")).alias("feat2")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_T = ", ".join(f"'{k}'" for k in m.TRANSPARENT)
-
-
-@query(f""", real AS (SELECT DISTINCT nid0, nid1 FROM links WHERE NOT starts_with(label, '_')), fx AS (SELECT nid, kind IS NULL OR kind IN ({_T}) AS thin, coalesce(kind, '') AS f FROM nodes),
-    wk AS (SELECT DISTINCT ref_name AS item, nid, 0 AS dist, CAST('' AS VARCHAR) AS prev, 0 AS n FROM nodes WHERE kind = 'assign_var' AND ref_name IS NOT NULL
-      UNION SELECT w.item, r.nid1, CASE WHEN f.thin THEN w.dist ELSE w.dist - 1 END, CASE WHEN f.thin THEN w.prev ELSE f.f END, w.n + 1 FROM wk w JOIN real r ON r.nid0 = w.nid JOIN fx f ON f.nid = r.nid1 WHERE w.n < 5 AND w.dist > -3)
-    SELECT item, feat, count(*) AS n FROM (SELECT DISTINCT w.item, (w.dist - 1) || ',' || w.prev || ',' || f.f AS feat, f.nid FROM wk w JOIN real r ON r.nid0 = w.nid JOIN fx f ON f.nid = r.nid1 WHERE NOT f.thin AND w.n < 5 AND w.dist > -3) GROUP BY 1, 2""")
-def feature_walk(spark: SparkSession, d: str) -> DataFrame:
-    """Features of assigned variables: what feeds them backward, by distance, previous feature and own kind.
-
-    The walk goes five links and three features far; transparent kinds cost nothing. It follows every way instead of a
-    budget shared by visit order, so that the result does not depend on an order.
-    """
-    n = m.nodes(spark, d)
-    fx = n.select(F.col("nid").alias("far"), (F.col("kind").isNull() | F.col("kind").isin(*m.TRANSPARENT)).alias("thin"), F.coalesce("kind", F.lit("")).alias("f"))
-    steps = cut(m.links(spark, d).where(~F.col("label").startswith("_")).select(F.col("nid0").alias("nid"), F.col("nid1").alias("far")).distinct().join(fx, "far"))
-    front = n.where("kind = 'assign_var' and ref_name is not null").select(F.col("ref_name").alias("item"), "nid", F.lit(0).alias("dist"), F.lit("").alias("prev")).distinct()
-    found = None
-    for _ in range(5):
-        moved = front.where("dist > -3").join(steps, "nid")
-        feats = moved.where("not thin").select("item", F.concat_ws(",", (F.col("dist") - 1).cast("string"), "prev", "f").alias("feat"), "far")
-        found = feats if found is None else found.unionByName(feats)
-        front = cut(moved.select("item", F.col("far").alias("nid"), F.when(F.col("thin"), F.col("dist")).otherwise(F.col("dist") - 1).alias("dist"), F.when(F.col("thin"), F.col("prev")).otherwise(F.col("f")).alias("prev")).distinct())
-    return found.distinct().groupBy("item", "feat").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""SELECT substr(p, 1, 40) AS prefix, CAST(n_items AS BIGINT) AS n_items, round(w, 6) AS weight FROM (SELECT prefix AS p, count(DISTINCT tid) AS n_items, max(w) AS w FROM (SELECT c.tid, array_to_string(parts[1:k], ':') AS prefix, sum(ln(tot::DOUBLE / pn)) OVER (PARTITION BY c.tid, c.fid ORDER BY k) AS w
+@query("""SELECT p AS prefix, CAST(n_items AS BIGINT) AS n_items, round(w, 6) AS weight FROM (SELECT prefix AS p, count(DISTINCT tid) AS n_items, max(w) AS w FROM (SELECT c.tid, array_to_string(parts[1:k], ':') AS prefix, sum(ln(tot::DOUBLE / pn)) OVER (PARTITION BY c.tid, c.fid ORDER BY k) AS w
     FROM (SELECT tid, fid, parts, unnest(range(1, len(parts) + 1)) AS k FROM cnt JOIN (SELECT fid, string_split(split_part(feat, ',', 3), ':') AS parts FROM fts WHERE feat LIKE '%,%,%') USING (fid)) c JOIN (SELECT part, count(*) AS pn, sum(count(*)) OVER () AS tot FROM (SELECT unnest(string_split(split_part(feat, ',', 3), ':')) AS part FROM fts WHERE feat LIKE '%,%,%') GROUP BY part) q ON q.part = parts[k]) GROUP BY prefix) WHERE n_items >= 2""")
 def prefix_tree(spark: SparkSession, d: str) -> DataFrame:
     """Prefixes of feature paths with the items below them; the weight sums the rarity of the parts."""
@@ -266,7 +194,7 @@ def prefix_tree(spark: SparkSession, d: str) -> DataFrame:
     upto = weights.select("fid", "parts", F.posexplode("rs").alias("k", "_"), "rs")
     pre = upto.select("fid", F.array_join(F.slice("parts", F.lit(1), F.col("k") + 1), ":").alias("p"), F.aggregate(F.slice("rs", F.lit(1), F.col("k") + 1), F.lit(0.0), lambda s, x: s + x["r"]).alias("w"))
     found = m.counts(spark, d).join(pre, "fid").groupBy("p").agg(F.count_distinct("tid").alias("n_items"), F.max("w").alias("w")).where("n_items >= 2")
-    return found.select(F.substring("p", 1, 40).alias("prefix"), "n_items", F.round("w", 6).alias("weight"))
+    return found.select(F.col("p").alias("prefix"), "n_items", F.round("w", 6).alias("weight"))
 
 
 @query(None)

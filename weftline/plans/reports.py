@@ -126,10 +126,11 @@ def input_maps(spark: SparkSession, d: str) -> DataFrame:
     return scans.rehydrated_nodes(spark, d).where("inputs <> ''").select("nid", F.size(tx.properties(F.col("inputs"))).cast("long").alias("n_labels"))
 
 
-@query("SELECT uid, length(list_last(string_split(substr(src_text, 1, strpos(src_text, '{') - 1), chr(10))))::BIGINT AS col FROM srcs WHERE strpos(src_text, '{') > 0 AND regexp_full_match(src_text, '[\\x00-\\x7f]*') AND NOT contains(src_text, chr(9))")
+@query("""SELECT uid, CAST(list_reduce(list_prepend(0, list_transform(list_filter(string_split(line, ''), lambda c: c <> ''), lambda c: CASE WHEN c = chr(9) THEN -1 ELSE 1 END)), lambda col, x: CASE WHEN x < 0 THEN (col // 8 + 1) * 8 ELSE col + x END) AS BIGINT) AS col
+    FROM (SELECT uid, list_last(string_split(substr(src_text, 1, strpos(src_text, '{') - 1), chr(10))) AS line FROM srcs WHERE strpos(src_text, '{') > 0)""")
 def block_columns(spark: SparkSession, d: str) -> DataFrame:
-    """Column of the first block of each ASCII source without tabs."""
-    return _block_column(m.sources(spark, d).where(F.col("src_text").rlike("^[\\x00-\\x7f]*\\z") & ~F.col("src_text").contains("\t")))
+    """Column of the first block of each source that has one, with tab stops of eight."""
+    return _block_column(m.sources(spark, d))
 
 
 def _block_column(files: DataFrame) -> DataFrame:
@@ -137,52 +138,6 @@ def _block_column(files: DataFrame) -> DataFrame:
     return files.where(at > 0).select("uid", tx.column_position(F.substring("src_text", F.lit(1), at - 1)).alias("col"))
 
 
-@query(None)
-def whole_block_columns(spark: SparkSession, d: str) -> DataFrame:
-    """Column of the first block of each source that has one, with tab stops of eight."""
-    return _block_column(m.sources(spark, d))
-
-
-@query(graphs.SQL["call_paths"].replace(V, "", 1).replace("SELECT array_to_string(path, '>') AS path, CAST(len AS BIGINT) AS len FROM pth", "SELECT array_to_string(path[1:len(path) - 1], '>') AS parent, array_to_string(path, '>') AS child, CAST(len AS BIGINT) AS depth FROM pth WHERE len > 0"))
-def call_trace(spark: SparkSession, d: str) -> DataFrame:
-    """One group per call instance, below the group that calls it."""
-    p = graphs.call_paths(spark, d).where("len > 0")
-    return p.select(F.regexp_replace("path", ">[^>]*$", "").alias("parent"), F.col("path").alias("child"), F.col("len").alias("depth"))
-
-
-_CHAIN = """, real AS (SELECT DISTINCT nid1, nid0 FROM links WHERE NOT starts_with(label, '_')), vn AS (SELECT nid, ref_name, kind FROM nodes WHERE left(ref_name, 1) IN ('$', '.')),
-    cw AS (SELECT ref_name AS from_ref, nid, 0 AS n FROM vn UNION SELECT c.from_ref, r.nid0, c.n + 1 FROM cw c JOIN real r ON r.nid1 = c.nid JOIN nodes k ON k.nid = r.nid0 WHERE c.n < 4 AND (c.n = 0 OR (SELECT coalesce(x.kind, 'join') FROM nodes x WHERE x.nid = c.nid) IN ('join', 'begin', 'end', 'ref_var', 'assign_var'))),
-    pr AS (SELECT c.from_ref, v.ref_name AS to_ref, min(c.n) AS n FROM cw c JOIN vn v ON v.nid = c.nid AND v.kind LIKE 'assign%' WHERE c.n > 0 AND v.ref_name <> c.from_ref GROUP BY 1, 2)"""
-
-
-def _chains(spark: SparkSession, d: str) -> DataFrame:
-    n = m.nodes(spark, d)
-    kinds = n.select(F.col("nid").alias("nid0"), F.coalesce("kind", F.lit("join")).isin("join", "begin", "end", "ref_var", "assign_var").alias("passes"))
-    steps = cut(m.links(spark, d).where(~F.col("label").startswith("_")).select(F.col("nid1").alias("nid"), "nid0").distinct().join(kinds, "nid0"))
-    own = n.where(F.left("ref_name", F.lit(1)).isin("$", "."))
-    front = own.select(F.col("ref_name").alias("from_ref"), "nid").distinct()
-    found = None
-    for k in range(1, 5):
-        moved = cut(front.join(steps, "nid").select("from_ref", F.col("nid0").alias("nid"), "passes").distinct())
-        hits = moved.select("from_ref", "nid", F.lit(k).cast("long").alias("n"))
-        found = hits if found is None else found.unionByName(hits)
-        front = moved.where("passes").select("from_ref", "nid")
-    ends = own.where(F.col("kind").startswith("assign")).select("nid", F.col("ref_name").alias("to_ref"))
-    return found.join(ends, "nid").where("from_ref <> to_ref").groupBy("from_ref", "to_ref").agg(F.min("n").alias("n"))
-
-
-@query(_CHAIN + " SELECT from_ref, to_ref, CAST(n AS BIGINT) AS n FROM pr")
-def assignment_chains(spark: SparkSession, d: str) -> DataFrame:
-    """Shortest chain from one variable to another over kinds that keep the value."""
-    return _chains(spark, d)
-
-
-@query(_CHAIN + " SELECT to_ref AS ref_name, count(*) AS n_sources FROM pr GROUP BY to_ref HAVING count(*) >= 2")
-def generalisations(spark: SparkSession, d: str) -> DataFrame:
-    """Variables that two others or more flow into: they generalise them."""
-    return _chains(spark, d).groupBy(F.col("to_ref").alias("ref_name")).agg(F.count(F.lit(1)).alias("n_sources")).where("n_sources >= 2")
-
-
 @query(""", real AS (SELECT DISTINCT nid1, nid0 FROM links WHERE NOT starts_with(label, '_')), lw AS (SELECT nid AS start, nid, 0 AS a, 1 AS n FROM nodes WHERE kind = 'input'
       UNION SELECT w.start, r.nid0, w.a + (CASE WHEN starts_with(coalesce(k.kind, ''), 'assign') THEN 1 ELSE 0 END), w.n + 1 FROM lw w JOIN real r ON r.nid1 = w.nid JOIN nodes k ON k.nid = r.nid0 WHERE w.n < 8)
     SELECT start, w.nid, CAST(max(w.a * 100 + w.n) AS BIGINT) AS longest FROM lw w JOIN nodes k ON k.nid = w.nid AND k.kind IN ('output', 'return') GROUP BY start, w.nid""")
@@ -202,31 +157,30 @@ def longest_paths(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("start", "nid").agg(F.max("longest").alias("longest"))
 
 
-@query(""", real AS (SELECT DISTINCT nid1, nid0 FROM links WHERE NOT starts_with(label, '_')), fw AS (SELECT regexp_extract(ndata, ';\\.:?([^(:]*):?\\(', 1) AS callee, nid, CAST('' AS VARCHAR) AS feat, 0 AS n FROM nodes WHERE kind = 'call' AND ndata IS NOT NULL
-      UNION ALL SELECT f.callee, r.nid0, f.feat || '/' || coalesce(k.kind, 'relay'), f.n + 1 FROM fw f JOIN real r ON r.nid1 = f.nid JOIN nodes k ON k.nid = r.nid0 WHERE f.n < 3)
-    SELECT feat, count(DISTINCT callee) AS n_callees, count(*) AS n FROM fw WHERE n > 0 GROUP BY feat HAVING count(*) >= 2""")
-def call_path_features(spark: SparkSession, d: str) -> DataFrame:
-    """Kinds on the ways forward from calls, up to three steps, where they occur twice or more."""
-    n = m.nodes(spark, d)
-    steps = cut(m.links(spark, d).where(~F.col("label").startswith("_")).select(F.col("nid1").alias("nid"), "nid0").distinct().join(n.select(F.col("nid").alias("nid0"), F.coalesce("kind", F.lit("relay")).alias("k")), "nid0"))
-    front = n.where("kind = 'call' and ndata is not null").select(F.coalesce(fn.method_simple_name(F.col("ndata")), F.lit("")).alias("callee"), "nid", F.lit("").alias("feat"))
-    found = None
-    for _ in range(3):
-        front = front.join(steps, "nid").select("callee", F.col("nid0").alias("nid"), F.concat("feat", F.lit("/"), "k").alias("feat"))
-        found = front if found is None else found.unionByName(front)
-    return found.groupBy("feat").agg(F.count_distinct("callee").alias("n_callees"), F.count(F.lit(1)).alias("n")).where("n >= 2")
-
-
-@query(""", bg AS (SELECT nid, ref_name FROM nodes WHERE kind = 'begin' AND ref_name IS NOT NULL), back AS (SELECT nid AS start, nid, 0 AS n FROM bg UNION SELECT b.start, l.nid1, b.n + 1 FROM back b JOIN links l ON l.nid0 = b.nid AND NOT starts_with(l.label, '_') WHERE b.n < 4)
-    SELECT DISTINCT bg.nid, bg.ref_name FROM bg JOIN back b ON b.start = bg.nid AND b.n > 0 JOIN nodes k ON k.nid = b.nid AND k.kind IN ('assign_var', 'op_assign', 'op_postfix') AND k.ref_name = bg.ref_name""")
+@query(scans._IDF + """, lc AS (SELECT l.nid0, l.nid1, l.label = 'cond' AS c FROM links l JOIN nodes e ON e.nid = l.nid0 AND e.kind = 'end' WHERE NOT starts_with(l.label, '_')),
+    lv AS (SELECT nid0 AS start, nid1 AS nid FROM lc WHERE c OR nid0 NOT IN (SELECT nid0 FROM lc WHERE c)
+      UNION SELECT v.start, l.nid1 FROM lv v JOIN nodes k ON k.nid = v.nid AND coalesce(k.kind, '') NOT IN ('begin', 'end') JOIN links l ON l.nid0 = v.nid AND NOT starts_with(l.label, '_'))
+    SELECT DISTINCT v.start AS nid, k.ref_name FROM lv v JOIN nodes k ON k.nid = v.nid AND k.kind IN ('ref_var', 'ref_field') AND k.ref_name IS NOT NULL""")
 def loop_variables(spark: SparkSession, d: str) -> DataFrame:
-    """Loop entries whose variable is assigned on the way back into them."""
+    """Variables that the condition at the end of a loop depends on, within the loop: up to its beginning and other loops' ends.
+
+    The condition is the input 'cond'; an end without one depends on all of its inputs.
+    """
     n = m.nodes(spark, d)
-    begins = n.where("kind = 'begin' and ref_name is not null").select("nid", "ref_name")
-    edges = cut(m.links(spark, d).where(~F.col("label").startswith("_")).select(F.col("nid0").alias("nid"), "nid1").distinct())
-    near = stitch.within(begins.select("nid"), edges, 4)
-    setters = n.where("kind in ('assign_var', 'op_assign', 'op_postfix')").select("nid", F.col("ref_name").alias("r"))
-    return near.where("dist > 0").join(setters, "nid").join(begins.withColumnRenamed("nid", "start"), "start").where("r = ref_name").select(F.col("start").alias("nid"), "ref_name").distinct()
+    real = cut(m.links(spark, d).where(~F.col("label").startswith("_")).select("nid0", "nid1").distinct())
+    into = m.links(spark, d).where("not startswith(label, '_')").join(n.where("kind = 'end'").select(F.col("nid").alias("nid0")), "nid0")
+    named = into.where("label = 'cond'").select("nid0", "nid1")
+    conditions = named.unionByName(into.select("nid0", "nid1").join(named.select("nid0"), "nid0", "left_anti"))
+    kinds = n.select("nid", "kind")
+    front = cut(conditions.select(F.col("nid0").alias("start"), F.col("nid1").alias("nid")).distinct())
+    seen = front
+    while not front.isEmpty():
+        inside = front.join(kinds, "nid").where(~F.coalesce(F.col("kind").isin("begin", "end"), F.lit(False)))
+        moved = inside.join(real, F.col("nid") == F.col("nid0")).select("start", F.col("nid1").alias("nid")).distinct()
+        front = cut(moved.join(seen, ["start", "nid"], "left_anti"))
+        seen = seen.unionByName(front)
+    read = n.where("kind in ('ref_var', 'ref_field') and ref_name is not null").select("nid", "ref_name")
+    return seen.join(read, "nid").select(F.col("start").alias("nid"), "ref_name").distinct()
 
 
 @query(None)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline import model as m
+from weftline.common import kept
 from weftline.functions import names as fn
 from weftline.operators import stitch
 
@@ -123,14 +124,12 @@ def structural_keys(spark: SparkSession, d: str) -> DataFrame:
     return m.nodes(spark, d).groupBy(fn.node_key(F.col("kind"), F.col("ndata")).alias("node_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT nid, CASE WHEN kind IS NULL THEN 'relay' WHEN kind IN ('call', 'new') THEN kind || '(' || coalesce(nullif(regexp_extract(split_part(ndata, ' ', 1), ';\\.:?([^(:]*):?\\(', 1), ''), '?') || ')'
+@query(f"""SELECT nid, CASE WHEN kind IS NULL THEN 'relay' WHEN kind IN ('call', 'new') THEN kind || '(' || coalesce(nullif(regexp_extract(split_part(ndata, ' ', 1), ';\\.:?([^(:]*):?\\(', 1), ''), '?') || ')'
     WHEN ref_name IS NOT NULL AND starts_with(kind, 'assign') THEN r || ' =' WHEN ref_name IS NOT NULL THEN r WHEN ndata IS NOT NULL THEN kind || ' ' || ndata ELSE kind END AS shown
-    FROM (SELECT *, CASE left(ref_name, 1) WHEN '$' THEN list_last(string_split(ref_name, '/$')) WHEN '.' THEN list_last(string_split(ref_name, '/'))
-      WHEN '@' THEN nullif(regexp_extract(split_part(ref_name, '<', 1), '([^/;@]+);?$', 1), '') WHEN '#' THEN substr(ref_name, 2) ELSE ref_name END AS r FROM nodes) WHERE coalesce(left(ref_name, 1), '') NOT IN ('%', '!')""")
+    FROM (SELECT *, {m.SQL_REFERENCE.format('ref_name')} AS r FROM nodes)""")
 def shown_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Display text of every node whose reference is no array element or exception."""
-    shown = fn.display_text(F.col("kind"), F.col("ref_name"), F.col("ndata"))
-    return m.nodes(spark, d).where(~F.coalesce(F.left("ref_name", F.lit(1)), F.lit("")).isin("%", "!")).select("nid", shown.alias("shown"))
+    """Display text of every node."""
+    return m.nodes(spark, d).select("nid", fn.display_text(F.col("kind"), F.col("ref_name"), F.col("ndata")).alias("shown"))
 
 
 @query(""", ring AS (SELECT nid AS start, nid, 0 AS dist FROM nodes WHERE kind = 'return'
@@ -153,13 +152,22 @@ def call_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 _IDF = """, k AS (SELECT method_id, min(mid) AS mid FROM methods WHERE method_id IS NOT NULL GROUP BY method_id),
     res AS (SELECT c.nid, k.mid AS callee_mid FROM (SELECT nid, split_part(ndata, ' ', 1) AS callee FROM nodes WHERE kind IN ('call', 'new') AND ndata IS NOT NULL) c JOIN k ON k.method_id = c.callee),
-    arg AS (SELECT l.nid1 AS src, n.nid AS dst, l.label, r.nid AS funcall FROM res r JOIN links l ON l.nid0 = r.nid JOIN nodes n ON n.mid = r.callee_mid AND n.kind = 'input' AND n.ref_name = l.label),
-    out AS (SELECT n.nid AS src, l.nid0 AS dst, l.label, r.nid AS funcall FROM res r JOIN links l ON l.nid1 = r.nid
-            JOIN nodes n ON n.mid = r.callee_mid AND n.kind = 'output' AND n.ref_name = CASE WHEN l.label = '' THEN '#return' ELSE l.label END),
-    idf AS (SELECT src, dst, label, funcall FROM arg UNION ALL SELECT src, dst, label, funcall FROM out UNION ALL SELECT nid1, nid0, label, NULL FROM links)
+    named AS (SELECT mid, ref_name AS label, nid FROM nodes WHERE kind = 'input' AND mid IS NOT NULL AND ref_name IS NOT NULL),
+    placed AS (SELECT mid, '#arg' || (row_number() OVER (PARTITION BY mid ORDER BY nid) - 1) AS label, nid FROM named WHERE left(label, 1) = '$'),
+    ins AS (SELECT mid, label, nid FROM named UNION ALL SELECT mid, label, nid FROM placed ANTI JOIN named USING (mid, label)),
+    outs AS (SELECT mid, ref_name AS wanted, nid FROM nodes WHERE kind = 'output' AND mid IS NOT NULL AND ref_name IS NOT NULL
+            UNION ALL SELECT mid, '#return', nid FROM nodes WHERE kind = 'return' AND mid IS NOT NULL AND mid NOT IN (SELECT mid FROM nodes WHERE kind = 'output' AND ref_name = '#return' AND mid IS NOT NULL)),
+    arg AS (SELECT l.nid1 AS src, i.nid AS dst, l.label, r.nid AS funcall FROM res r JOIN links l ON l.nid0 = r.nid JOIN ins i ON i.mid = r.callee_mid AND i.label = l.label),
+    out AS (SELECT o.nid AS src, l.nid0 AS dst, l.label, r.nid AS funcall FROM res r JOIN links l ON l.nid1 = r.nid JOIN outs o ON o.mid = r.callee_mid AND o.wanted = CASE WHEN l.label = '' THEN '#return' ELSE l.label END),
+    idf AS (SELECT src, dst, label, funcall, 'in' AS way FROM arg UNION ALL SELECT src, dst, label, funcall, 'out' FROM out UNION ALL SELECT nid1, nid0, label, NULL, NULL FROM links)
 """
 
 
+def stitched(spark: SparkSession, d: str) -> DataFrame:
+    """(src, dst, label, funcall, way): the interprocedural graph, kept for all queries of the application."""
+    return kept(spark, "stitched", d, lambda: stitch.interprocedural(m.nodes(spark, d), m.links(spark, d), m.methods(spark, d)))
+
+
 @query(_IDF + "SELECT src, dst, label, funcall FROM arg")
 def call_argument_edges(spark: SparkSession, d: str) -> DataFrame:
     """Edges from a call's arguments to the callee's inputs of that name."""
@@ -172,25 +180,23 @@ def call_result_edges(spark: SparkSession, d: str) -> DataFrame:
     return stitch.result_edges(m.nodes(spark, d), m.links(spark, d), m.methods(spark, d))
 
 
-@query(_IDF + """, ends AS (SELECT mid, min(nid) FILTER (kind = 'input') AS entry, min(nid) FILTER (kind = 'return') AS exit FROM nodes WHERE mid IS NOT NULL GROUP BY mid)
-    SELECT l.nid1 AS src, e.entry AS dst, l.label, r.nid AS funcall FROM res r JOIN ends e ON e.mid = r.callee_mid JOIN links l ON l.nid0 = r.nid AND l.label = '#arg0' WHERE e.entry IS NOT NULL
-    UNION ALL SELECT e.exit, l.nid0, l.label, r.nid FROM res r JOIN ends e ON e.mid = r.callee_mid JOIN links l ON l.nid1 = r.nid AND l.label = '' WHERE e.exit IS NOT NULL""")
+@query(_IDF + "SELECT src, dst, label, funcall FROM arg UNION ALL SELECT src, dst, label, funcall FROM out")
 def first_bound_call_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Edges of calls by position: the first input takes the first argument, the first return gives the result."""
-    return stitch.first_bound_edges(m.nodes(spark, d), m.links(spark, d), m.methods(spark, d))
+    """All edges of calls, by name or by position: arguments into inputs, results out of outputs or returns."""
+    return stitched(spark, d).where("way is not null").select("src", "dst", "label", "funcall")
 
 
 @query(_IDF + "SELECT label, (funcall IS NOT NULL) AS between_methods, count(*) AS n FROM idf GROUP BY 1, 2")
 def stitched_by_label(spark: SparkSession, d: str) -> DataFrame:
     """The interprocedural graph: edges by label."""
-    edges = stitch.interprocedural(m.nodes(spark, d), m.links(spark, d), m.methods(spark, d))
+    edges = stitched(spark, d)
     return edges.groupBy("label", F.col("funcall").isNotNull().alias("between_methods")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_IDF + "SELECT nid, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT dst AS nid, 1 AS i, 0 AS o FROM idf UNION ALL SELECT src, 0, 1 FROM idf) GROUP BY nid")
 def vertex_degrees(spark: SparkSession, d: str) -> DataFrame:
     """Edges into and out of each vertex of the interprocedural graph."""
-    e = stitch.interprocedural(m.nodes(spark, d), m.links(spark, d), m.methods(spark, d))
+    e = stitched(spark, d)
     both = e.select(F.col("dst").alias("nid"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(e.select(F.col("src").alias("nid"), F.lit(0).alias("i"), F.lit(1).alias("o")))
     return both.groupBy("nid").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
 
@@ -223,10 +229,12 @@ def item_features(spark: SparkSession, d: str) -> DataFrame:
     return m.counts(spark, d).join(m.items(spark, d).where("item is not null"), "tid").join(m.feats(spark, d), "fid").groupBy("item", "feat").agg(F.sum("c").alias("c"))
 
 
-@query("SELECT i.sid0 AS source_pos, i.tid, i.fid, (i.sid1 - i.sid0 + 1)::BIGINT AS n_spans FROM ifs i WHERE i.sid1 >= i.sid0")
+@query("SELECT i.sid0 AS source_pos, i.tid, i.fid, count(p.sid0) AS n_spans, count(DISTINCT p.fid) AS n_feats FROM ifs i LEFT JOIN ifs p ON p.sid0 BETWEEN i.sid0 AND i.sid1 WHERE i.sid1 >= i.sid0 GROUP BY 1, 2, 3")
 def source_ranges(spark: SparkSession, d: str) -> DataFrame:
-    """Item features with the number of source spans in their range."""
-    return m.itemfeats(spark, d).where("sid1 >= sid0").select(F.col("sid0").alias("source_pos"), "tid", "fid", (F.col("sid1") - F.col("sid0") + 1).alias("n_spans"))
+    """Item features with the stored positions that lie in their range of sources, and their features: a range join over bins."""
+    rows = m.itemfeats(spark, d)
+    hits = stitch.points_in_ranges(rows.select(F.col("sid0").alias("at"), F.col("fid").alias("found")), rows.where("sid1 >= sid0").select("sid0", "sid1", "tid", "fid"), "at", "sid0", "sid1")
+    return hits.groupBy(F.col("sid0").alias("source_pos"), "tid", "fid").agg(F.count("at").alias("n_spans"), F.count_distinct("found").alias("n_feats"))
 
 
 @query("""SELECT n.nid, s.sid FROM nodes n JOIN (SELECT sid, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM (SELECT sid, regexp_extract(scope_name, ':(\\d+):(\\d+)$', 1) AS a, regexp_extract(scope_name, ':(\\d+):(\\d+)$', 2) AS b FROM scopes) WHERE a <> '') s
@@ -264,11 +272,12 @@ def first_supporter(spark: SparkSession, d: str) -> DataFrame:
     return m.counts(spark, d).join(named, "tid").groupBy("fid", "word").agg(F.min("tid").alias("first_tid"))
 
 
-@query("SELECT tid FROM its WHERE item IN (SELECT ref_name FROM nodes WHERE kind = 'input') INTERSECT SELECT tid FROM cnt WHERE c >= 3")
+@query("SELECT tid FROM its WHERE nullif(regexp_extract(item, '([A-Za-z0-9_]+);?$', 1), '') IN (SELECT nullif(regexp_extract(regexp_replace(ref_name, '^%\\[*', ''), '([A-Za-z0-9_]+);?$', 1), '') FROM nodes WHERE kind = 'input' AND ref_name IS NOT NULL) INTERSECT SELECT tid FROM cnt WHERE c >= 3")
 def items_in_both(spark: SparkSession, d: str) -> DataFrame:
-    """Items of method inputs that also have a strong feature."""
-    inputs = m.nodes(spark, d).where("kind = 'input'").select(F.col("ref_name").alias("item"))
-    return m.items(spark, d).join(inputs, "item", "left_semi").select("tid").intersect(m.counts(spark, d).where("c >= 3").select("tid"))
+    """Items named like an input of a method that also have a strong feature."""
+    inputs = m.nodes(spark, d).where("kind = 'input'").select(fn.strip_id(F.col("ref_name")).alias("name"))
+    named = m.items(spark, d).select("tid", fn.strip_id(F.col("item")).alias("name"))
+    return named.join(inputs, "name", "left_semi").select("tid").intersect(m.counts(spark, d).where("c >= 3").select("tid"))
 
 
 @query("SELECT ref_name FROM nodes WHERE kind = 'ref_var' AND ref_name IS NOT NULL EXCEPT SELECT ref_name FROM nodes WHERE kind = 'assign_var'")

@@ -27,12 +27,10 @@ def query(sql: str | None = None):
     return add
 
 
-@query("""SELECT nid, CASE left(ref_name, 1) WHEN '$' THEN list_last(string_split(ref_name, '/$')) WHEN '.' THEN list_last(string_split(ref_name, '/'))
-    WHEN '@' THEN nullif(regexp_extract(split_part(ref_name, '<', 1), '([^/;@]+);?$', 1), '') WHEN '#' THEN substr(ref_name, 2) ELSE ref_name END AS name, nullif(regexp_extract(ref_name, '([A-Za-z0-9_]+);?$', 1), '') AS stripped
-    FROM nodes WHERE ref_name IS NOT NULL AND left(ref_name, 1) NOT IN ('%', '!')""")
+@query(f"""SELECT nid, {m.SQL_REFERENCE.format('ref_name')} AS name, nullif(regexp_extract(regexp_replace(ref_name, '^%\\[*', ''), '([A-Za-z0-9_]+);?$', 1), '') AS stripped FROM nodes WHERE ref_name IS NOT NULL""")
 def decoded_references(spark: SparkSession, d: str) -> DataFrame:
-    """Readable and stripped names of references."""
-    own = m.nodes(spark, d).where(~F.left("ref_name", F.lit(1)).isin("%", "!"))
+    """Readable and stripped names of all references."""
+    own = m.nodes(spark, d).where("ref_name is not null")
     return own.select("nid", fn.reference_name(F.col("ref_name")).alias("name"), fn.strip_id(F.col("ref_name")).alias("stripped"))
 
 
@@ -137,17 +135,13 @@ def record_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return same.agg(F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("f") == F.col("g")).alias("n_equal"))
 
 
-def _ascii(spark: SparkSession, d: str) -> DataFrame:
-    return m.sources(spark, d).where(F.col("src_text").rlike("^[\\x00-\\x7f]*\\z"))
-
-
-@query("""SELECT uid, n - 1 AS lineno, coalesce(sum(length(l) + 1) OVER (PARTITION BY uid ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, sum(length(l) + 1) OVER (PARTITION BY uid ORDER BY n)::BIGINT AS "end" FROM (SELECT uid, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS n FROM (SELECT uid, string_split(src_text, chr(10)) AS ls FROM srcs WHERE src_text IS NOT NULL AND regexp_full_match(src_text, '[\\x00-\\x7f]*')))""")
+@query("""SELECT uid, n - 1 AS lineno, coalesce(sum(length(l) + 1) OVER (PARTITION BY uid ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, sum(length(l) + 1) OVER (PARTITION BY uid ORDER BY n)::BIGINT AS "end" FROM (SELECT uid, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS n FROM (SELECT uid, string_split(src_text, chr(10)) AS ls FROM srcs WHERE src_text IS NOT NULL))""")
 def line_offsets(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of ASCII sources with their offsets."""
-    return spans.lines(_ascii(spark, d), "uid", "src_text").select("uid", "lineno", "start", "end")
+    """Lines of all sources with their offsets in characters."""
+    return spans.lines(m.sources(spark, d), "uid", "src_text").select("uid", "lineno", "start", "end")
 
 
-_SPANS = """, f AS (SELECT uid, src_text, strpos(src_text, '{') - 1 AS s, strpos(src_text, '}') AS e FROM srcs WHERE src_text IS NOT NULL AND regexp_full_match(src_text, '[\\x00-\\x7f]*')), sp AS (SELECT uid, s::BIGINT AS s, e::BIGINT AS e FROM f WHERE s >= 0 AND e > s),
+_SPANS = """, f AS (SELECT uid, src_text, strpos(src_text, '{') - 1 AS s, strpos(src_text, '}') AS e FROM srcs WHERE src_text IS NOT NULL), sp AS (SELECT uid, s::BIGINT AS s, e::BIGINT AS e FROM f WHERE s >= 0 AND e > s),
     ln AS (SELECT uid, n - 1 AS lineno, sum(length(l) + 1) OVER (PARTITION BY uid ORDER BY n) AS e0, length(l) + 1 AS len FROM (SELECT uid, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS n FROM (SELECT uid, string_split(src_text, chr(10)) AS ls FROM f)))"""
 
 
@@ -159,7 +153,7 @@ def _first_blocks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 @query(_SPANS + " SELECT ln.uid, lineno FROM ln JOIN sp USING (uid) WHERE sp.s < e0 AND e0 - len < sp.e")
 def span_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of each file that its first block overlaps."""
-    ln, sp = _first_blocks(_ascii(spark, d))
+    ln, sp = _first_blocks(m.sources(spark, d))
     return spans.overlapping(ln, sp, "uid").select("uid", "lineno")
 
 
@@ -167,14 +161,14 @@ def span_lines(spark: SparkSession, d: str) -> DataFrame:
     SELECT n.uid, n.lineno, CASE WHEN h.lineno IS NULL THEN ' ' ELSE '+' END AS mark, p.lineno IS NULL AS gap FROM near n JOIN ln ON ln.uid = n.uid AND ln.lineno = n.lineno LEFT JOIN hit h ON h.uid = n.uid AND h.lineno = n.lineno LEFT JOIN near p ON p.uid = n.uid AND p.lineno = n.lineno - 1""")
 def annotated_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines around each first block, hits marked and gaps noted."""
-    ln, sp = _first_blocks(_ascii(spark, d))
+    ln, sp = _first_blocks(m.sources(spark, d))
     return spans.with_context(ln, spans.overlapping(ln, sp, "uid"), "uid", 2).select("uid", "lineno", "mark", "gap")
 
 
-@query("SELECT uid, substr(src_text, strpos(src_text, '{'), strpos(src_text, '}') - strpos(src_text, '{') + 1) AS block, length(src_text) - length(replace(src_text, chr(10), '')) AS feeds FROM srcs WHERE strpos(src_text, '{') > 0 AND strpos(src_text, '}') > strpos(src_text, '{') AND regexp_full_match(src_text, '[\\x00-\\x7f]*')")
+@query("SELECT uid, substr(src_text, strpos(src_text, '{'), strpos(src_text, '}') - strpos(src_text, '{') + 1) AS block, length(src_text) - length(replace(src_text, chr(10), '')) AS feeds FROM srcs WHERE strpos(src_text, '{') > 0 AND strpos(src_text, '}') > strpos(src_text, '{')")
 def span_text(spark: SparkSession, d: str) -> DataFrame:
     """Text of each first block, and the line feeds of the file."""
-    return _block_text(_ascii(spark, d))
+    return _block_text(m.sources(spark, d))
 
 
 def _block_text(files: DataFrame) -> DataFrame:
@@ -182,40 +176,6 @@ def _block_text(files: DataFrame) -> DataFrame:
     return files.where((s > 0) & (e > s)).select("uid", F.substring("src_text", s, e - s + 1).alias("block"), tx.line_feeds(F.col("src_text")).alias("feeds"))
 
 
-_ONLY_ASCII = " AND regexp_full_match(src_text, '[\\x00-\\x7f]*')"
-
-
-def _all_files(name: str) -> str:
-    """The twin of a query over ASCII files, for all files."""
-    return SQL[name].replace(V, "", 1).replace(_ONLY_ASCII, "")
-
-
-@query(_all_files("line_offsets"))
-def whole_line_offsets(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of all sources with their offsets in characters."""
-    return spans.lines(m.sources(spark, d), "uid", "src_text").select("uid", "lineno", "start", "end")
-
-
-@query(_all_files("span_lines"))
-def whole_span_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of each file, ASCII or not, that its first block overlaps."""
-    ln, sp = _first_blocks(m.sources(spark, d))
-    return spans.overlapping(ln, sp, "uid").select("uid", "lineno")
-
-
-@query(_all_files("annotated_lines"))
-def whole_annotated_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines around each first block of all files, hits marked and gaps noted."""
-    ln, sp = _first_blocks(m.sources(spark, d))
-    return spans.with_context(ln, spans.overlapping(ln, sp, "uid"), "uid", 2).select("uid", "lineno", "mark", "gap")
-
-
-@query(_all_files("span_text"))
-def whole_span_text(spark: SparkSession, d: str) -> DataFrame:
-    """Text of each first block of all files, and the line feeds of the file."""
-    return _block_text(m.sources(spark, d))
-
-
 @query(None)
 def graph_documents(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the XML graph documents among the sources: classes, methods, scopes, nodes and links."""

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline import model as m
-from weftline.common import cut
+from weftline.common import cut, kept
 from weftline.functions import names as fn
 from weftline.operators import bayes
 
@@ -93,18 +93,34 @@ _VSM = """, n AS (SELECT count(DISTINCT tid) AS n FROM cnt), df AS (SELECT fid,
 @query(_VSM)
 def similar_items(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of items by tf-idf cosine."""
-    return bayes.cosine_pairs(m.counts(spark, d).select(F.col("tid").alias("doc"), F.col("fid").alias("feat"), F.col("c").alias("w")), 0.7)
+    docs = m.counts(spark, d).select(F.col("tid").alias("doc"), F.col("fid").alias("feat"), F.col("c").alias("w"))
+    return kept(spark, "similar_items", f"{d}/itemfeats.parquet", lambda: bayes.cosine_pairs(docs, 0.7))
 
 
-_NB = """, w AS (SELECT tid, regexp_extract(item, '([a-z]+)[A-Za-z]*;?$', 1) AS key FROM its WHERE item IS NOT NULL),
-    keys AS (SELECT key, count(*) AS k FROM w WHERE key <> '' GROUP BY key), fc AS (SELECT fid AS feat, key, sum(c)::BIGINT AS c FROM cnt JOIN w USING (tid) WHERE key <> '' GROUP BY 1, 2 HAVING sum(c) > 0)"""
+_NB = f""", wt AS (SELECT tid, coalesce(max(c) FILTER (fid = 0), max(c)) AS w FROM cnt GROUP BY tid), fcn AS (SELECT tid, fid, c FROM cnt WHERE fid <> 0),
+    w AS (SELECT tid, greatest(coalesce(w, 1), 1) AS n, unnest({_WORDS.format("nullif(regexp_extract(item, '([A-Za-z0-9_]+);?$', 1), '')")}) AS key FROM its LEFT JOIN wt USING (tid) WHERE item IS NOT NULL),
+    keys AS (SELECT key, sum(n)::BIGINT AS k FROM w GROUP BY key), fc AS (SELECT fid AS feat, key, sum(c)::BIGINT AS c FROM fcn JOIN w USING (tid) GROUP BY 1, 2 HAVING sum(c) > 0)"""
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    """(tid, key, n): a row per word of an item's name, with the item's number of observations.
+
+    That is the count of feature 0 where the store has it, else the greatest count of a feature.
+    """
+    size = m.counts(spark, d).groupBy("tid").agg(F.coalesce(F.max(F.when(F.col("fid") == 0, F.col("c"))), F.max("c")).alias("w"))
+    words = m.items(spark, d).where("item is not null").select("tid", F.explode(fn.split_words(fn.strip_id(F.col("item")))).alias("key"))
+    return words.join(size, "tid", "left").select("tid", "key", F.greatest(F.coalesce("w", F.lit(1)), F.lit(1)).alias("n"))
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    return m.counts(spark, d).where("fid <> 0")
 
 
 def _observations(spark: SparkSession, d: str) -> DataFrame:
-    """Items as observations: the key is a word of the item's name, the features are its own."""
-    named = m.items(spark, d).where("item is not null").select("tid", fn.extract(F.col("item"), "([a-z]+)[A-Za-z]*;?$").alias("key")).where("key is not null")
-    own = m.counts(spark, d).join(named, "tid").select("tid", "key", F.col("fid").alias("feat"), F.col("c").alias("w"))
-    return own.unionByName(named.select("tid", "key", F.lit(None).cast("long").alias("feat"), F.lit(1).cast("long").alias("w")))
+    """Items as observations of every word of their names, with their own features."""
+    named = _named(spark, d)
+    own = _features(spark, d).join(named, "tid").select("tid", "key", F.col("fid").alias("feat"), F.col("c").alias("w"))
+    return own.unionByName(named.select("tid", "key", F.lit(None).cast("long").alias("feat"), F.col("n").alias("w")))
 
 
 @query(_NB + " SELECT feat, key, c FROM fc UNION ALL SELECT NULL, key, k FROM keys")
@@ -114,7 +130,7 @@ def nb_train(spark: SparkSession, d: str) -> DataFrame:
     return feats.unionByName(keys.select(F.lit(None).cast("long").alias("feat"), "key", F.col("k").alias("c")))
 
 
-@query(_NB.replace("FROM its WHERE item IS NOT NULL", "FROM its WHERE item IS NOT NULL AND tid % 10 <> 3") + " SELECT feat, key, c FROM fc UNION ALL SELECT NULL, key, k FROM keys")
+@query(_NB.replace("WHERE item IS NOT NULL)", "WHERE item IS NOT NULL AND tid % 10 <> 3)") + " SELECT feat, key, c FROM fc UNION ALL SELECT NULL, key, k FROM keys")
 def nb_retract(spark: SparkSession, d: str) -> DataFrame:
     """The same counts after every tenth item was taken back with negative weights."""
     obs = _observations(spark, d)
@@ -123,10 +139,10 @@ def nb_retract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    return m.counts(spark, d).where("tid % 20 = 0").select(F.col("tid").alias("qid"), F.col("fid").alias("feat"))
+    return _features(spark, d).where("tid % 20 = 0").select(F.col("tid").alias("qid"), F.col("fid").alias("feat"))
 
 
-@query(_NB + """, hits AS (SELECT q.tid AS qid, key, count(*) AS n, max(ln(k)) + sum(ln(c.c) - ln(k)) AS p FROM (SELECT DISTINCT tid, fid FROM cnt WHERE tid % 20 = 0) q JOIN fc c ON c.feat = q.fid JOIN keys USING (key) GROUP BY 1, 2),
+@query(_NB + """, hits AS (SELECT q.tid AS qid, key, count(*) AS n, max(ln(k)) + sum(ln(c.c) - ln(k)) AS p FROM (SELECT DISTINCT tid, fid FROM fcn WHERE tid % 20 = 0) q JOIN fc c ON c.feat = q.fid JOIN keys USING (key) GROUP BY 1, 2),
     kept AS (SELECT * FROM hits QUALIFY n = max(n) OVER (PARTITION BY qid))
     SELECT qid, key, round(p - max(p) OVER (PARTITION BY qid), 6) AS score, n FROM kept""")
 def nb_predict_strict(spark: SparkSession, d: str) -> DataFrame:
@@ -134,30 +150,22 @@ def nb_predict_strict(spark: SparkSession, d: str) -> DataFrame:
     return bayes.strict_scores(*bayes.train(_observations(spark, d)), _asked(spark, d))
 
 
-@query(_NB + """, q AS (SELECT DISTINCT tid AS qid, fid AS feat FROM cnt WHERE tid % 20 = 0 AND fid IN (SELECT feat FROM fc)), a AS (SELECT qid, count(*) AS asked FROM q GROUP BY qid),
-    hits AS (SELECT qid, key, max(ln(k)) AS lk, sum(ln(c.c)) AS lc FROM q JOIN fc c USING (feat) JOIN keys USING (key) GROUP BY 1, 2), s AS (SELECT qid, key, lk + lc - asked * lk AS p FROM hits JOIN a USING (qid))
-    SELECT qid, key, round(p - max(p) OVER (PARTITION BY qid), 6) AS score FROM s""")
+@query(_NB + """, q AS (SELECT DISTINCT tid AS qid, fid AS feat FROM fcn WHERE tid % 20 = 0), kq AS (SELECT * FROM q WHERE feat IN (SELECT feat FROM fc)),
+    a AS (SELECT qid, count(kq.feat) AS asked FROM (SELECT DISTINCT qid FROM q) LEFT JOIN kq USING (qid) GROUP BY qid),
+    h AS (SELECT qid, key, sum(ln(c.c)) AS lc FROM kq JOIN fc c USING (feat) GROUP BY 1, 2), s AS (SELECT qid, key, ln(k) + coalesce(lc, 0) - asked * ln(k) AS p FROM a CROSS JOIN keys LEFT JOIN h USING (qid, key)),
+    z AS (SELECT qid, key, round(p - max(p) OVER (PARTITION BY qid), 6) AS score FROM s)
+    SELECT qid, key, score FROM z QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, key DESC) <= 20""")
 def nb_predict_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of all keys that share a feature, lacking features counted as one."""
-    return bayes.fallback_scores(*bayes.train(_observations(spark, d)), _asked(spark, d))
-
+    """The twenty best of all keys, lacking features counted as one, also keys that share no feature."""
+    return bayes.fallback_scores(*bayes.train(_observations(spark, d)), _asked(spark, d), 20)
 
-@query(_NB + """, q AS (SELECT tid AS qid, min(fid) AS feat FROM cnt WHERE tid % 20 = 0 AND fid IN (SELECT feat FROM fc) GROUP BY tid UNION SELECT tid, max(fid) FROM cnt WHERE tid % 20 = 0 AND fid IN (SELECT feat FROM fc) GROUP BY tid), a AS (SELECT qid, count(*) AS asked FROM q GROUP BY qid),
-    h AS (SELECT qid, key, count(*) AS n, max(k) AS k, sum(ln(c.c) - ln(k)) AS lp FROM q JOIN fc c USING (feat) JOIN keys USING (key) GROUP BY 1, 2) SELECT qid, key, round(k / (SELECT sum(k) FROM keys)::DOUBLE * exp(lp), 9) AS p FROM h JOIN a USING (qid) WHERE n = asked""")
-def nb_probabilities(spark: SparkSession, d: str) -> DataFrame:
-    """Probability form of the scores, for the least and the greatest known feature of every twentieth item."""
-    keys, feats = bayes.train(_observations(spark, d))
-    asked = _asked(spark, d).join(feats.select("feat").distinct(), "feat", "left_semi")
-    ends = asked.groupBy("qid").agg(F.array(F.min("feat"), F.max("feat")).alias("fs")).select("qid", F.explode("fs").alias("feat"))
-    return bayes.probabilities(keys, feats, ends)
 
-
-_ASKED = """, q AS (SELECT DISTINCT tid AS qid, fid AS feat FROM cnt WHERE tid % 20 = 0 AND fid IN (SELECT feat FROM fc)), a AS (SELECT qid, count(*) AS asked FROM q GROUP BY qid),
+_ASKED = """, q AS (SELECT DISTINCT tid AS qid, fid AS feat FROM fcn WHERE tid % 20 = 0 AND fid IN (SELECT feat FROM fc)), a AS (SELECT qid, count(*) AS asked FROM q GROUP BY qid),
     h AS (SELECT qid, key, count(*) AS n, sum(ln(c.c)) AS lc FROM q JOIN fc c USING (feat) JOIN keys USING (key) GROUP BY 1, 2)"""
 
 
 @query(_NB + _ASKED + " SELECT qid, key, round(ln(k / (SELECT sum(k) FROM keys)::DOUBLE) + lc - asked * ln(k), 6) AS lp FROM h JOIN a USING (qid) JOIN keys USING (key) WHERE n = asked")
-def nb_whole_probabilities(spark: SparkSession, d: str) -> DataFrame:
+def nb_probabilities(spark: SparkSession, d: str) -> DataFrame:
     """Logarithm of the probability form, for all known features of every twentieth item."""
     return bayes.log_probabilities(*bayes.train(_observations(spark, d)), _asked(spark, d))
 
@@ -168,6 +176,59 @@ def nb_fallback_probabilities(spark: SparkSession, d: str) -> DataFrame:
     return bayes.log_probabilities(*bayes.train(_observations(spark, d)), _asked(spark, d), fallback=True)
 
 
+_LEAVE = _NB + """, own AS (SELECT tid AS qid, key, sum(n)::BIGINT AS n, count(*) AS mult FROM w WHERE tid % 20 = 0 GROUP BY 1, 2), nw AS (SELECT tid AS qid, count(*) AS n_words FROM w WHERE tid % 20 = 0 GROUP BY 1),
+    f2 AS (SELECT tid AS qid, fid AS feat, c AS fq FROM fcn WHERE tid % 20 = 0 QUALIFY c >= floor(max(c) OVER (PARTITION BY tid) * 0.5)),
+    hh AS (SELECT qid, f.key, k - coalesce(o.n, 0) AS k, c - coalesce(o.mult, 0) * fq AS c, o.qid IS NOT NULL AS own FROM f2 JOIN fc f USING (feat) JOIN keys USING (key) LEFT JOIN own o USING (qid, key)),
+    sc AS (SELECT qid, key, own, count(*) AS m, max(ln(k)) + sum(ln(c) - ln(k)) AS p FROM hh WHERE c > 0 AND k > 0 GROUP BY 1, 2, 3),
+    mx AS (SELECT qid, key, own, round(p - max(p) OVER (PARTITION BY qid), 6) AS score FROM (SELECT * FROM sc QUALIFY m = max(m) OVER (PARTITION BY qid))),
+    cand AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key DESC) AS place, key AS word, score, own, n_words FROM mx JOIN nw USING (qid) QUALIFY place <= n_words)"""
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    """(qid, place, word, score, own): the words that the prominent features of an item suggest, its own observations left out."""
+    keys, feats = bayes.train(_observations(spark, d))
+    named = _named(spark, d).where("tid % 20 = 0")
+    own = named.groupBy(F.col("tid").alias("qid"), "key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("mult"))
+    n_words = named.groupBy(F.col("tid").alias("qid")).agg(F.count(F.lit(1)).alias("n_words"))
+    mine = _features(spark, d).where("tid % 20 = 0").withColumn("top", F.max("c").over(W.partitionBy("tid"))).where(F.col("c") >= F.floor(F.col("top") * 0.5))
+    hits = mine.select(F.col("tid").alias("qid"), F.col("fid").alias("feat"), F.col("c").alias("fq")).join(feats, "feat").join(keys, "key").join(own, ["qid", "key"], "left")
+    left = hits.select("qid", "key", (F.col("k") - F.coalesce("n", F.lit(0))).alias("k"), (F.col("c") - F.coalesce("mult", F.lit(0)) * F.col("fq")).alias("c"), F.col("n").isNotNull().alias("own")).where("c > 0 and k > 0")
+    per = left.groupBy("qid", "key", "own").agg(F.count(F.lit(1)).alias("m"), (F.max(F.log("k")) + F.sum(F.log("c") - F.log("k"))).alias("p"))
+    w = W.partitionBy("qid")
+    best = per.withColumn("most", F.max("m").over(w)).where("m = most").withColumn("score", F.round(F.col("p") - F.max("p").over(w), 6))
+    place = F.row_number().over(w.orderBy(F.desc("score"), F.desc("key"))).cast("long")
+    return best.withColumn("place", place).join(n_words, "qid").where("place <= n_words").select("qid", "place", F.col("key").alias("word"), "score", "own")
+
+
+@query(_LEAVE + " SELECT qid, place, word, score, own FROM cand")
+def naming_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Words for the names of every twentieth item, by a model without that item: as many as its name has."""
+    return _candidates(spark, d)
+
+
+@query(_LEAVE + """, cl AS (SELECT qid, list(word ORDER BY place) AS cs FROM cand GROUP BY qid HAVING NOT bool_or(own AND place = 1)), ow AS (SELECT tid AS qid, item, """ + _WORDS.format("nullif(regexp_extract(item, '([A-Za-z0-9_]+);?$', 1), '')") + """ AS ws FROM its),
+    rn AS (SELECT qid, item, cs, list_filter(ws, lambda x: list_contains(cs, x)) AS kp, ws FROM cl JOIN ow USING (qid)),
+    nn AS (SELECT qid, item, list_transform(cs, lambda x, i: CASE WHEN list_contains(ws, x) THEN kp[1 + len(list_filter(cs[1:i - 1], lambda y: list_contains(ws, y)))] ELSE x END) AS ns FROM rn)
+    SELECT qid, item, array_to_string(list_transform(ns, lambda x, i: CASE WHEN i = 1 THEN x ELSE upper(left(x, 1)) || substr(x, 2) END), '') AS renamed FROM nn""")
+def renamed_items(spark: SparkSession, d: str) -> DataFrame:
+    """Proposed names of the items whose best word is not their own; words that stay keep the order they had."""
+    c = _candidates(spark, d)
+    lists = c.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]).alias("cs"), F.max(F.col("own") & (F.col("place") == 1)).alias("right")).where("not right")
+    its = m.items(spark, d).select(F.col("tid").alias("qid"), "item", fn.split_words(fn.strip_id(F.col("item"))).alias("ws"))
+    both = lists.join(its, "qid").withColumn("kept", F.filter("ws", lambda x: F.array_contains("cs", x)))
+    before = lambda i: F.size(F.filter(F.slice("cs", F.lit(1), i), lambda y: F.array_contains("ws", y)))
+    words = F.transform("cs", lambda x, i: F.when(F.array_contains("ws", x), F.get("kept", before(i))).otherwise(x))
+    return both.select("qid", "item", fn.camel_join(words).alias("renamed"))
+
+
+@query(_VSM.replace("SELECT a, b, round(dot", ", pairs AS (SELECT a, b, round(dot", 1) + ") SELECT tid, other, sim FROM (SELECT a AS tid, b AS other, sim FROM pairs UNION ALL SELECT b, a, sim FROM pairs) WHERE tid % 20 = 0")
+def similar_to_item(spark: SparkSession, d: str) -> DataFrame:
+    """For every twentieth item all others that are similar to it."""
+    p = similar_items(spark, d)
+    both = p.select(F.col("a").alias("tid"), F.col("b").alias("other"), "sim").unionByName(p.select(F.col("b").alias("tid"), F.col("a").alias("other"), "sim"))
+    return both.where("tid % 20 = 0")
+
+
 @query(_NB + ", s AS (SELECT key, count(DISTINCT feat) AS n FROM fc GROUP BY key), big AS (SELECT key FROM s WHERE n >= 0.8 * (SELECT max(n) FROM s)) SELECT feat FROM fc WHERE key IN (SELECT key FROM big) GROUP BY feat HAVING count(DISTINCT key) = (SELECT count(*) FROM big)")
 def nb_common_features(spark: SparkSession, d: str) -> DataFrame:
     """Features common to the keys with most features."""
