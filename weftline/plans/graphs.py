@@ -197,7 +197,7 @@ def prefix_tree(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("p").alias("prefix"), "n_items", F.round("w", 6).alias("weight"))
 
 
-@query(None)
+@query(SQL["main_paths"].replace(V, "", 1).replace("SELECT src, dst, weight FROM kf UNION SELECT src, dst, weight FROM kb", "SELECT 'N' || src || ' -> N' || dst || ' [weight=' || CAST(weight AS BIGINT) || '];' AS line FROM (SELECT src, dst, weight FROM kf UNION SELECT src, dst, weight FROM kb)"))
 def main_path_dot(spark: SparkSession, d: str) -> DataFrame:
     """GraphViz lines of the main paths."""
     return main_paths(spark, d).select(F.concat(F.lit("N"), F.col("src"), F.lit(" -> N"), F.col("dst"), F.lit(" [weight="), F.col("weight").cast("long"), F.lit("];")).alias("line"))

@@ -113,7 +113,12 @@ def name_similarity(spark: SparkSession, d: str) -> DataFrame:
     return named.select("mid", "callee_mid", F.round(tx.lcs_similarity("x", "y"), 6).alias("sim"))
 
 
-@query(None)
+_ESCAPED = " ".join("WHEN {} THEN '{}'".format(code, text.replace("'", "''")) for code, text in tx._QUOTED.items())
+
+
+@query(f"""SELECT ndata, '"' || coalesce(array_to_string(list_transform(list_filter(string_split(ndata, ''), lambda c: c <> ''), lambda c: CASE unicode(c) {_ESCAPED} ELSE
+    CASE WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) < 65536 THEN format('\\u{{:04x}}', unicode(c)) ELSE format('\\u{{:04x}}\\u{{:04x}}', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024) END END), ''), '') || '"' AS literal
+    FROM (SELECT DISTINCT ndata FROM nodes WHERE ndata IS NOT NULL)""")
 def java_literals(spark: SparkSession, d: str) -> DataFrame:
     """Distinct node data as Java literals."""
     return m.nodes(spark, d).where("ndata is not null").select("ndata").distinct().select("ndata", tx.java_literal("ndata").alias("literal"))
