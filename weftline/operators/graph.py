@@ -8,9 +8,10 @@ round is cut by a reliable checkpoint.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.common import cut
@@ -359,16 +360,18 @@ def path_index(nodes: DataFrame, links: DataFrame, depth: int | None = None) ->
     return out.where("mid is not null").distinct()
 
 
-def path_votes(queries: DataFrame, index: DataFrame, least_nodes: int, least_depth: int) -> DataFrame:
+def path_votes(queries: DataFrame, index: DataFrame, least_nodes: int, least_depth: int, check: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(qmid, mid, n_query, n_found, depth): methods that share paths with a query method, by the nodes and depth matched.
 
     Paths meet by a hash of their text. Only which methods share a path is joined; the nodes are then looked up from
-    either side, so that no list of nodes is carried along.
+    either side, so that no list of nodes is carried along. ``check`` tells which methods may match a query method, by
+    their ids; all others by default.
     """
+    allowed = F.col("qmid") != F.col("mid") if check is None else check(F.col("qmid"), F.col("mid"))
     h = F.xxhash64("path", "size")
     q = queries.where("size >= 2").select(h.alias("h"), F.col("mid").alias("qmid"), F.col("nid").alias("q"), "size")
     x = index.where("size >= 2").select(h.alias("h"), "mid", F.col("nid").alias("x"))
-    pairs = cut(q.groupBy("h", "qmid").agg(F.max("size").alias("size")).join(x.select("h", "mid").distinct(), "h").where("qmid <> mid"))
+    pairs = cut(q.groupBy("h", "qmid").agg(F.max("size").alias("size")).join(x.select("h", "mid").distinct(), "h").where(allowed))
     asked = pairs.join(q.select("h", "qmid", "q"), ["h", "qmid"]).groupBy("qmid", "mid").agg(F.count_distinct("q").alias("n_query"), F.max("size").alias("depth"))
     found = pairs.join(x, ["h", "mid"]).groupBy("qmid", "mid").agg(F.count_distinct("x").alias("n_found"))
     sums = asked.join(found, ["qmid", "mid"]).select("qmid", "mid", "n_query", "n_found", "depth")

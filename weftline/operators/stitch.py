@@ -109,3 +109,14 @@ def points_in_ranges(points: DataFrame, ranges: DataFrame, at: str, low: str, hi
     placed = points.withColumn("bin", F.floor(F.col(at) / bin_size))
     touched = ranges.withColumn("bin", F.explode(F.sequence(F.floor(F.col(low) / bin_size), F.floor(F.col(high) / bin_size))))
     return placed.join(touched, "bin").where((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("bin")
+
+
+def overlaps(a: DataFrame, b: DataFrame, by: list[str], a0: str, a1: str, b0: str, b1: str, bin_size: int = 256) -> DataFrame:
+    """Pairs of ranges that overlap, ends exclusive, within ``by``: an equi-join over bins.
+
+    A pair meets in one bin only: that of the later of its two starts.
+    """
+    spread = lambda df, s, e: df.withColumn("bin", F.explode(F.sequence(F.floor(F.col(s) / bin_size), F.floor((F.col(e) - 1) / bin_size))))
+    met = spread(a.where(F.col(a0) < F.col(a1)), a0, a1).join(spread(b.where(F.col(b0) < F.col(b1)), b0, b1), [*by, "bin"])
+    first = F.floor(F.greatest(a0, b0) / bin_size)
+    return met.where((F.col(a0) < F.col(b1)) & (F.col(b0) < F.col(a1)) & (F.col("bin") == first)).drop("bin")

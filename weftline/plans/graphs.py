@@ -181,10 +181,8 @@ def argument_features(spark: SparkSession, d: str) -> DataFrame:
     return two.groupBy("callee", "label", F.coalesce("k1", F.lit("relay")).alias("feat1"), F.coalesce("k2", F.lit("")).alias("feat2")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT p AS prefix, CAST(n_items AS BIGINT) AS n_items, round(w, 6) AS weight FROM (SELECT prefix AS p, count(DISTINCT tid) AS n_items, max(w) AS w FROM (SELECT c.tid, array_to_string(parts[1:k], ':') AS prefix, sum(ln(tot::DOUBLE / pn)) OVER (PARTITION BY c.tid, c.fid ORDER BY k) AS w
-    FROM (SELECT tid, fid, parts, unnest(range(1, len(parts) + 1)) AS k FROM cnt JOIN (SELECT fid, string_split(split_part(feat, ',', 3), ':') AS parts FROM fts WHERE feat LIKE '%,%,%') USING (fid)) c JOIN (SELECT part, count(*) AS pn, sum(count(*)) OVER () AS tot FROM (SELECT unnest(string_split(split_part(feat, ',', 3), ':')) AS part FROM fts WHERE feat LIKE '%,%,%') GROUP BY part) q ON q.part = parts[k]) GROUP BY prefix) WHERE n_items >= 2""")
-def prefix_tree(spark: SparkSession, d: str) -> DataFrame:
-    """Prefixes of feature paths with the items below them; the weight sums the rarity of the parts."""
+def prefix_weights(spark: SparkSession, d: str) -> DataFrame:
+    """(fid, p, w): the prefixes of every feature path, with the summed rarity of their parts."""
     paths = m.feats(spark, d).where("feat like '%,%,%'").select("fid", F.split(F.split_part("feat", F.lit(","), F.lit(3)), ":").alias("parts"))
     freq = paths.select(F.explode("parts").alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("pn"))
     total = freq.agg(F.sum("pn")).first()[0] or 1
@@ -192,7 +190,14 @@ def prefix_tree(spark: SparkSession, d: str) -> DataFrame:
     each = paths.select("fid", "parts", F.posexplode("parts").alias("k", "part")).join(rare, "part")
     weights = each.groupBy("fid", "parts").agg(F.array_sort(F.collect_list(F.struct("k", "r"))).alias("rs"))
     upto = weights.select("fid", "parts", F.posexplode("rs").alias("k", "_"), "rs")
-    pre = upto.select("fid", F.array_join(F.slice("parts", F.lit(1), F.col("k") + 1), ":").alias("p"), F.aggregate(F.slice("rs", F.lit(1), F.col("k") + 1), F.lit(0.0), lambda s, x: s + x["r"]).alias("w"))
+    return upto.select("fid", F.array_join(F.slice("parts", F.lit(1), F.col("k") + 1), ":").alias("p"), F.aggregate(F.slice("rs", F.lit(1), F.col("k") + 1), F.lit(0.0), lambda s, x: s + x["r"]).alias("w"))
+
+
+@query("""SELECT p AS prefix, CAST(n_items AS BIGINT) AS n_items, round(w, 6) AS weight FROM (SELECT prefix AS p, count(DISTINCT tid) AS n_items, max(w) AS w FROM (SELECT c.tid, array_to_string(parts[1:k], ':') AS prefix, sum(ln(tot::DOUBLE / pn)) OVER (PARTITION BY c.tid, c.fid ORDER BY k) AS w
+    FROM (SELECT tid, fid, parts, unnest(range(1, len(parts) + 1)) AS k FROM cnt JOIN (SELECT fid, string_split(split_part(feat, ',', 3), ':') AS parts FROM fts WHERE feat LIKE '%,%,%') USING (fid)) c JOIN (SELECT part, count(*) AS pn, sum(count(*)) OVER () AS tot FROM (SELECT unnest(string_split(split_part(feat, ',', 3), ':')) AS part FROM fts WHERE feat LIKE '%,%,%') GROUP BY part) q ON q.part = parts[k]) GROUP BY prefix) WHERE n_items >= 2""")
+def prefix_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Prefixes of feature paths with the items below them; the weight sums the rarity of the parts."""
+    pre = prefix_weights(spark, d)
     found = m.counts(spark, d).join(pre, "fid").groupBy("p").agg(F.count_distinct("tid").alias("n_items"), F.max("w").alias("w")).where("n_items >= 2")
     return found.select(F.col("p").alias("prefix"), "n_items", F.round("w", 6).alias("weight"))
 

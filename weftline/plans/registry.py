@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import core_problems, graphs, reports, scans, texts, walks, words
+from weftline.plans import analyses, core_problems, graphs, reports, scans, texts, walks, words
 
-MODULES = (core_problems, scans, words, texts, graphs, walks, reports)
+MODULES = (core_problems, scans, words, texts, graphs, walks, reports, analyses)
 FLAGSHIP = "stitched_by_label"
 
 

@@ -48,16 +48,14 @@ def method_words(spark: SparkSession, d: str) -> DataFrame:
     return own.select("mid", F.array_join(fn.split_words(F.col("method_name")), " ").alias("words"), F.array_join(fn.split_camel(F.col("method_name")), " ").alias("parts"))
 
 
-_VERBS = ("fill", "load", "open", "send", "query", "fetch", "build", "merge", "find", "walk", "read", "write", "close", "update", "call", "render", "visit", "apply", "bind", "take", "keep", "put", "get", "set", "add", "make", "check", "copy", "map", "move")
-
-
-@query(f"SELECT CASE WHEN k = 1 AND w IN {_VERBS} THEN 'verb' ELSE 'noun' END AS pos, w AS word, count(*) AS n FROM (SELECT unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS k FROM (SELECT list_transform(regexp_extract_all(method_name, '[A-Z]+[a-z]*|[a-z]+'), lambda x: lower(x)) AS ws FROM methods)) GROUP BY 1, 2")
+@query("""SELECT CASE WHEN k = 1 AND verb THEN 'verb' ELSE 'noun' END AS pos, w AS word, count(*) AS n FROM (SELECT w, k, count(*) FILTER (k = 1) OVER (PARTITION BY w) > count(*) FILTER (k > 1) OVER (PARTITION BY w) AS verb FROM (SELECT unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS k FROM (SELECT list_transform(regexp_extract_all(method_name, '[A-Z]+[a-z]*|[a-z]+'), lambda x: lower(x)) AS ws FROM methods))) GROUP BY 1, 2""")
 def word_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Words of method names by part of speech: a first word of the lexicon is a verb, all others are nouns."""
-    lexicon = spark.createDataFrame([(v,) for v in _VERBS], "word string").withColumn("verb", F.lit(True))
-    words = m.methods(spark, d).select(F.posexplode(F.transform(fn.split_camel(F.col("method_name")), F.lower)).alias("k", "word"))
-    pos = F.when((F.col("k") == 0) & F.col("verb"), "verb").otherwise("noun")
-    return words.join(F.broadcast(lexicon), "word", "left").groupBy(pos.alias("pos"), "word").agg(F.count(F.lit(1)).alias("n"))
+    """Words of method names by part of speech: a first word that leads more names than it stands in later on is a verb."""
+    at = m.methods(spark, d).select(F.posexplode(F.transform(fn.split_camel(F.col("method_name")), F.lower)).alias("k", "word"))
+    per = cut(at.groupBy("word").agg(F.count_if(F.col("k") == 0).alias("a"), F.count_if(F.col("k") > 0).alias("b")))
+    verb = F.col("a") > F.col("b")
+    rows = per.where(verb).select(F.lit("verb").alias("pos"), "word", F.col("a").alias("n")).unionByName(per.where(verb).select(F.lit("noun").alias("pos"), "word", F.col("b").alias("n")))
+    return rows.unionByName(per.where(~verb).select(F.lit("noun").alias("pos"), "word", (F.col("a") + F.col("b")).alias("n"))).where("n > 0")
 
 
 @query(f"SELECT w AS word, count(*) AS n FROM (SELECT unnest({_WORDS.format('r')}) AS w FROM (SELECT regexp_extract(ref_name, '([A-Za-z0-9_]+);?$', 1) AS r FROM nodes WHERE ref_name IS NOT NULL)) GROUP BY 1")
