@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -63,6 +63,15 @@ LAYOUT = {
 ROOT = "class"
 
 
+def pruned(leaves: dict[str, tuple[str, ...]], layout: dict[str, Group] = LAYOUT) -> dict[str, Group]:
+    """The layout with those groups and leaves only: as in a columnar file, what is not asked for is not shredded."""
+    return {g: replace(layout[g], leaves=own, groups=tuple(x for x in layout[g].groups if x in leaves)) for g, own in leaves.items()}
+
+
+#: What the keys of rows need.
+KEYS = {"class": ("name",), "method": ("id",), "top": ("name",), "scope": ("name",), "node": ("id",), "link": ("label", "src")}
+
+
 def _no_constant(name: str):
     raise ValueError(f"{name} is no JSON value")
 
@@ -97,6 +106,10 @@ def shred(records: list, layout: dict[str, Group] = LAYOUT, root: str = ROOT) ->
         return columns[path]
 
     def spread(value, plain: bool) -> list:
+        if type(value) is dict:
+            return [value]
+        if type(value) is list and all(type(v) is dict for v in value):
+            return value
         flat, stack = [], [value]
         while stack:
             v = stack.pop()
@@ -109,6 +122,9 @@ def shred(records: list, layout: dict[str, Group] = LAYOUT, root: str = ROOT) ->
         return flat
 
     def items(group: Group, holder) -> list:
+        if type(holder) is dict and len(group.steps) == 1:  # the usual shape
+            value = holder.get(group.steps[0])
+            return [] if value is None else spread(value, group.leaves == ("",))
         found = [holder]
         for step in group.steps:
             found = [v[step] for value in found for v in spread(value, False) if isinstance(v, dict) and v.get(step) is not None]
@@ -172,38 +188,45 @@ def _numbers(tabs: dict[str, pd.DataFrame], n_records: int) -> dict[str, np.ndar
     return out
 
 
-def _rows(tabs: dict[str, pd.DataFrame], columns: dict[str, Columns], ids: np.ndarray) -> Iterator[pd.DataFrame]:
+def _rows(tabs: dict[str, pd.DataFrame], columns: dict[str, Columns], ids: np.ndarray, fields: list[str]) -> Iterator[pd.DataFrame]:
     """Method, scope, node and link rows, each with its number, and the number and key of its parent."""
-    numbers = _numbers(tabs, len(ids))
+    numbers = _numbers(tabs, len(ids)) if "item_no" in fields else {}
     for path, t in tabs.items():
         group = columns[path].group.name
         if not len(t) or group not in ("method", "top", "scope", "node", "link"):
             continue
         up, at = columns[path].parent, t["#parent"].to_numpy()
         key = {"class": "name", "method": "id", "top": "name", "scope": "name", "node": "id"}[columns[up].group.name]
-        out = pd.DataFrame({"rec_id": ids[t["#record"].to_numpy()], "item_no": numbers[path], "parent_no": numbers[up][at], "parent_key": tabs[up][key].to_numpy()[at]})
+        out = pd.DataFrame({"rec_id": ids[t["#record"].to_numpy()], "parent_key": tabs[up][key].to_numpy()[at]})
+        if numbers:
+            out["item_no"], out["parent_no"] = numbers[path], numbers[up][at]
         out["entity"] = "scope" if group == "top" else group
         out["item_key"] = t[{"method": "id", "top": "name", "scope": "name", "node": "id", "link": "src"}[group]].to_numpy()
         out["label"] = t["label"].fillna("").to_numpy() if group == "link" else ""
         for extra in ("kind", "ref", "ndata", "ntype"):
-            out[extra] = t[extra].to_numpy() if group == "node" else None
-        yield out[[c.split()[0] for c in ROW.split(", ")]]
+            if extra in fields:
+                out[extra] = t[extra].to_numpy() if group == "node" else None
+        yield out[fields]
 
 
-def flat_rows(df: DataFrame) -> DataFrame:
+def flat_rows(df: DataFrame, keys_only: bool = False) -> DataFrame:
     """(rec_id, entity, item_no, parent_no, parent_key, item_key, label, kind, ref, ndata, ntype) of all records in ``body``.
 
     ``item_no`` tells the instances of a record apart, also those of one name; ``parent_no`` is that of the row above.
     A body that is null or not valid JSON, even once decoded, gives no rows, nor does a row without ``rec_id``. Records
-    delivered again give the same rows again. A label that is absent is ''.
+    delivered again give the same rows again. A label that is absent is ''. ``keys_only`` leaves the numbers and the
+    attributes of nodes out.
     """
+    row = ", ".join(c for c in ROW.split(", ") if not keys_only or c.split()[0] in ("rec_id", "entity", "parent_key", "item_key", "label"))
+    fields = [c.split()[0] for c in row.split(", ")]
+    layout = pruned(KEYS) if keys_only else LAYOUT
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            columns = shred([decoded(b) for b in pdf["body"]])
-            yield from _rows(tables(columns), columns, pdf["rec_id"].to_numpy())
+            columns = shred([decoded(b) for b in pdf["body"]], layout)
+            yield from _rows(tables(columns), columns, pdf["rec_id"].to_numpy(), fields)
 
-    return df.where(F.col("rec_id").isNotNull() & F.col("body").isNotNull()).select("rec_id", "body").mapInPandas(run, ROW)
+    return df.where(F.col("rec_id").isNotNull() & F.col("body").isNotNull()).select("rec_id", "body").mapInPandas(run, row)
 
 
 def levels(df: DataFrame) -> DataFrame:
