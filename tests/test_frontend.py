@@ -3,6 +3,7 @@ from collections import Counter
 import pytest
 from test_java_syntax import BAD, GOOD
 
+from weftline.frontend import build
 from weftline.frontend.build import File, graph_rows, java_graphs
 from weftline.sources import graph_xml
 
@@ -58,7 +59,7 @@ def test_flow():
     assert n["op_iter"] == 1 and n["throw"] == 1 and n["op_typecheck"] == 1 and n["capture"] == 1 and n["case"] == 3 and n["assign_array"] == 1
     assert n["begin"] == n["end"] and n["catchjoin"] >= 1
     returns = [(dst, src) for dst, label, src in links if kind[dst] == "output" and nodes[dst][6] == "#return"]
-    assert all(kind[src] in ("return", "join") for _, src in returns) and len(returns) == 7
+    assert all(kind[src] in ("return", "join") for _, src in returns) and len(returns) == 8
 
 
 @pytest.mark.parametrize("text", GOOD)
@@ -76,3 +77,55 @@ def test_frame_and_errors(spark):
     keys = ["entity", "parent_key", "item_key", "label", "kind", "ref", "ndata", "ntype"]
     count = lambda x: Counter(map(tuple, x.where("uid = 1").select(*keys).collect()))
     assert count(again) == count(rows)
+
+
+BASE = """package a.b;
+import java.util.*;
+public class Base implements Shape { protected int size; int grow(int by) { return size + by; } long grow(long by) { return by; } }
+"""
+SUB = """package c;
+import a.b.*;
+import static c.d.Util.twice;
+public class Sub extends Base {
+  enum Color { RED, GREEN }
+  int f(short s, Integer boxed) {
+    Runnable r = () -> { size = grow(s); };
+    Object o = new Base() { int grow(int by) { return twice(by); } };
+    java.util.function.Function<Integer, Integer> g = this::grow;
+    Color[] all = Color.values();
+    class Inner { int k() { return size; } }
+    assert s > boxed;
+    return grow(s) + grow(boxed);
+  }
+}
+"""
+UTIL = "package c.d; public class Util { public static int twice(int v) { return 2 * v; } static int twice(Object o) { return 0; } }"
+
+
+def test_names_over_several_files(spark):
+    df = spark.createDataFrame([(1, BASE, "r"), (2, SUB, "r"), (3, UTIL, "r"), (4, UTIL, None), (5, "class {", "r"), (6, None, "r"), (7, SUB, "other")], "uid bigint, src_text string, reponame string")
+    rows = build.java_graphs(df, "uid", "src_text", "reponame").collect()
+    data = lambda uid, kind: [r.ndata for r in rows if r.uid == uid and r.entity == "node" and r.kind == kind]
+    refs = {r.ref for r in rows if r.uid == 2 and r.entity == "node"}
+    # a short widens to int before long; a box gives its int
+    assert data(2, "call").count("La/b/Base;.grow(I)I") == 3 and "La/b/Base;.grow(J)J" not in data(2, "call")
+    assert "Lc/Sub$Color;.values()[Lc/Sub$Color;" in data(2, "call") and ".La/b/Base;/.size" in refs
+    assert "La/b/Base;.grow(I)I" in data(2, "capture") and any(":lambda" in x for x in data(2, "capture"))
+    styles = {r.item_key: r.attributes["style"] for r in rows if r.uid == 2 and r.entity == "method"}
+    assert sum(s == "lambda" for s in styles.values()) == 1 and any(k.endswith("Inner;.k()I") for k in styles)
+    names = {r.item_key for r in rows if r.uid == 2 and r.entity == "class"}
+    assert len(names) == 4  # with the enum, the local and the anonymous class
+    assert "Lc/d/Util;.twice(I)I" in data(2, "call")
+    # another project does not know the classes
+    assert "!grow" in data(7, "call") and {r.entity for r in rows if r.uid == 5} == {"error"}
+    alone = build.java_graphs(df, "uid", "src_text").where("uid = 2").collect()
+    assert "!grow" in [r.ndata for r in alone if r.kind == "call"]
+    assert build.java_graphs(df.limit(0), "uid", "src_text", "reponame").count() == 0
+
+
+def test_purge_takes_out_joins_of_one_value():
+    g = build.MethodGraph.__new__(build.MethodGraph)
+    row = lambda kind, *links: {"kind": kind, "ref": "$x", "scope": "s", "links": list(links)}
+    g.rows = [row("value"), row("value"), row("join", ("cond", 1), ("true", 0), ("false", 0)), row("join", ("cond", 1), ("true", 0), ("false", 1)), row("join", ("cond", 1), ("true", 2), ("false", 1)), row("output", ("", 4))]
+    g.purge()
+    assert [r["kind"] for r in g.rows] == ["value", "value", "join", "output"] and g.rows[3]["links"] == [("", 2)]

@@ -1,19 +1,23 @@
 """Dataflow graphs of the methods of a Java file.
 
-Names are resolved within the file: locals, fields, methods by name and number of arguments, types by imports, package
-and java.lang. What a file does not tell is left open: an unknown method is called '!name', an unknown type is '?'.
-Every method becomes a graph of its own. A context keeps the latest node of each reference; branches and loops work on
+Names are resolved over all files of a project: a first pass lists the classes that every file declares and the names that it
+uses, a join brings each file the classes that it may mean, with all they inherit from, and a second pass builds the graphs.
+Locals, fields and methods are found in a class, its supers, the classes around it and static imports; types by imports, package,
+imports on demand and java.lang. What remains unknown is left open: an unknown method is called '!name', an unknown type is '?'.
+Every method, also of local and anonymous classes, and every lambda becomes a graph of its own. A context keeps the latest node of each reference; branches and loops work on
 copies and meet in join, begin, end and repeat nodes.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.common import cut
 from weftline.frontend.tree import Node, TreeParser
 from weftline.functions.java_syntax import ASSIGN, JavaSyntaxError
 from weftline.sources.graph_xml import _COLUMNS, _FIELDS
@@ -25,16 +29,27 @@ _LEVELS = ({"||"}, {"&&"}, {"|"}, {"^"}, {"&"}, {"==", "!="}, {"<", ">", "<=", "
 _RANK = {op: r for r, ops in enumerate(_LEVELS) for op in ops}
 
 
+#: Widening of primitive types, in steps (fixed value), and what boxes them.
+_WIDENING = "BSIJFD"
+_BOXES = {"Ljava/lang/Byte;": "B", "Ljava/lang/Character;": "C", "Ljava/lang/Short;": "S", "Ljava/lang/Integer;": "I", "Ljava/lang/Long;": "J", "Ljava/lang/Float;": "F", "Ljava/lang/Double;": "D", "Ljava/lang/Boolean;": "Z"}
+_OBJECT = "Ljava/lang/Object;"
+
+
 class File:
-    """The classes of a file: their fields, methods and places."""
+    """The classes of a file: their fields, methods and places; ``known`` are classes of other files by name."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, known: dict[str, dict] | None = None):
+        self.known = dict(known or {})
+        self.on_demand: list[str] = []
+        self.statics: dict[str, str] = {}
+        self.static_classes: list[str] = []
         self.p = TreeParser(text)
         self.k, self.w = self.p.k, self.p.w
         self.root = self.p.tree()
         self.package, self.imports = "", {}
         self._header()
         self.classes: list[dict] = []
+        self.anonymous: dict[int, str] = {}
         self.names: dict[str, str] = {}
         for t in self.root.only("type_declaration"):
             self._names(t, "")
@@ -58,7 +73,16 @@ class File:
                 name = "".join(w[i + 1 : j])
                 if k[i] == "package":
                     self.package = name.replace(".", "/")
-                elif k[i + 1] != "static" and not name.endswith("*"):
+                elif k[i + 1] == "static":
+                    owner, _, member = name.removeprefix("static").rpartition(".")
+                    owner = "L" + owner.replace(".", "/") + ";"
+                    if member == "*":
+                        self.static_classes.append(owner)
+                    else:
+                        self.statics[member] = owner
+                elif name.endswith(".*"):
+                    self.on_demand.append(name[:-2].replace(".", "/"))
+                else:
                     self.imports[name.rpartition(".")[2]] = "L" + name.replace(".", "/") + ";"
                 i = j
             i += 1
@@ -96,16 +120,72 @@ class File:
             base = self.names[name]
         elif name in self.imports:
             base = self.imports[name]
-        elif name in _LANG:
-            base = f"Ljava/lang/{name};"
         elif not name or name == "var":
             base = "?"
+        elif any((found := c) in self.known for c in self.candidates(name)):
+            base = found
+        elif name in _LANG:
+            base = f"Ljava/lang/{name};"
         elif "." in name:
             base = "L" + name.replace(".", "/") + ";"
         else:
             base = f"L{self.package}/{name};" if self.package else f"L{name};"
         return "[" * dims + base
 
+    def candidates(self, name: str) -> list[str]:
+        """The classes that a simple name may mean, in the order of the language: import, package, imports on demand, java.lang."""
+        if name in self.imports:
+            return [self.imports[name]]
+        return [f"L{p}/{name};" if p else f"L{name};" for p in (self.package, *self.on_demand, "java/lang")]
+
+    def used(self) -> set[str]:
+        """All classes that the names of the file may mean."""
+        names = {self.w[i] for i, t in enumerate(self.k) if t == "ID" and self.w[i][:1].isupper()}
+        return {c for n in names if n not in self.names for c in self.candidates(n)} | {*self.statics.values(), *self.static_classes}
+
+    def lineage(self, name: str) -> Iterator[dict]:
+        """A class and all it inherits from that is known, nearest first."""
+        todo, seen = [name], set()
+        while todo:
+            at = todo.pop(0)
+            cls = self.known.get(at)
+            if at not in seen and cls:
+                seen.add(at)
+                yield cls
+                todo += [b for b in (cls["base"], *cls["implements"]) if b]
+
+    def distance(self, given: str, wanted: str) -> int:
+        """Steps of conversion from one type to another: 0 for equal ones, many for types that do not go together."""
+        if given == wanted:
+            return 0
+        if given == "?" or wanted == "?" or wanted.lstrip("[")[:1] == "T":
+            return 10
+        if given in _WIDENING and wanted in _WIDENING and _WIDENING.index(given) < _WIDENING.index(wanted):
+            return _WIDENING.index(wanted) - _WIDENING.index(given)
+        if given == "C" and wanted in "IJFD":
+            return 1 + "IJFD".index(wanted)
+        if _BOXES.get(wanted) == given or _BOXES.get(given) == wanted:
+            return 8
+        if given[0] in "L[" and wanted == _OBJECT:
+            return 9
+        for k, cls in enumerate(self.lineage(given)):
+            if cls["name"] == wanted:
+                return k
+        return 100
+
+    def methods_named(self, owners: list[str], name: str) -> list[dict]:
+        """The methods of a name in classes and their lineages: those of the first class that has any."""
+        for owner in owners:
+            for cls in self.lineage(owner):
+                found = [m for m in cls["methods"] if m["name"] == name]
+                if found:
+                    return found
+        return []
+
+    def field_of(self, owner: str, name: str) -> tuple[str, str] | None:
+        """(class, type) of a field in a class's lineage."""
+        return next(((c["name"], c["fields"][name]) for c in self.lineage(owner) if name in c["fields"]), None)
+
     def _variables(self, start: int, end: int) -> frozenset[str]:
         """Names of type parameters between two tokens."""
         if self.k[start] != "<":
@@ -135,8 +215,14 @@ class File:
                 own["base"] = d
             elif section:
                 own["implements"].append(d)
+        own["enum"] = body.rule == "enum_body"
+        own["outer"] = outer
+        self._fill(own, body, variables, path)
+
+    def _fill(self, own: dict, body: Node, variables: frozenset[str], path: str) -> None:
         self.classes.append(own)
-        if body.rule == "enum_body":
+        self.known[own["name"]] = own
+        if own.get("enum"):
             i = body.start + 1
             while self.k[i] == "ID":
                 own["fields"][self.w[i]] = own["name"]
@@ -144,8 +230,30 @@ class File:
                 while self.k[i] in ("(", "{"):
                     i = self.p.match[i] + 1
                 i += self.k[i] == ","
+            # every enum has these; they have no graph
+            own["given"] = [{"name": "values", "id": f"{own['name']}.values()[{own['name']}", "args": [], "result": f"[{own['name']}"}, {"name": "valueOf", "id": f"{own['name']}.valueOf(Ljava/lang/String;){own['name']}", "args": [("name", "Ljava/lang/String;")], "result": own["name"]}]
+        own["vars"] = variables
         for member in body.only("member"):
             self._member(member, own, variables, path)
+        own["methods"] += own.pop("given", [])
+        self._inner(body, own, variables, path)
+
+    def _inner(self, n: Node, own: dict, variables: frozenset[str], path: str) -> None:
+        """Local and anonymous classes in the bodies of a class."""
+        for kid in n.kids:
+            if kid.rule == "type_declaration":
+                if n.rule != "member":
+                    self._names(kid, path)
+                    self._class(kid, path)
+                continue
+            if kid.rule == "class_body" and n.rule == "creator":
+                name = f"{path}${len(self.classes)}"
+                types = n.only("type")
+                base = self.descriptor(self.w[types[0].start : types[0].end], variables) if types else None
+                self.anonymous[kid.start] = f"L{name};"
+                self._fill({"name": f"L{name};", "base": base, "implements": [], "fields": {}, "methods": [], "node": kid, "outer": path}, kid, variables, name)
+                continue
+            self._inner(kid, own, variables, path)
 
     def _member(self, n: Node, own: dict, variables: frozenset[str], path: str) -> None:
         inner = n.only("type_declaration")
@@ -215,6 +323,8 @@ class MethodGraph:
         self.returns: list[int] = []
         self.thrown: list[int] = []
         self.loops = 0
+        self.number = number
+        self.lambdas: list[tuple[dict, list[dict]]] = []
 
     def node(self, kind: str | None, ref: str | None = None, data: str | None = None, type_: str = "?", at: Node | None = None, **links: int | None) -> int:
         span = self.f.span(at) if at is not None else (None, None)
@@ -246,10 +356,25 @@ class MethodGraph:
         for _, names in reversed(self.scopes):
             if name in names:
                 return names[name]
-        if name in self.cls["fields"]:
-            return f".{self.cls['name']}/.{name}", self.cls["fields"][name]
+        for owner in self.owners():
+            found = self.f.field_of(owner, name)
+            if found:
+                return f".{found[0]}/.{name}", found[1]
+        owner = self.f.statics.get(name)
+        for owner in [owner] if owner else self.f.static_classes:
+            found = self.f.field_of(owner, name)
+            if found:
+                return f".{found[0]}/.{name}", found[1]
         return None
 
+    def owners(self) -> list[str]:
+        """The class and the classes around it."""
+        out, cls = [self.cls["name"]], self.cls
+        while cls.get("outer"):
+            out.append(f"L{cls['outer']};")
+            cls = self.f.known.get(out[-1], {})
+        return out
+
     def read(self, ref: str, type_: str) -> int:
         """The latest value of a reference; one from outside comes in through an input node."""
         if ref not in self.env:
@@ -261,12 +386,16 @@ class MethodGraph:
 
     # the method
 
-    def build(self) -> None:
+    def build(self, around: list[dict] | None = None) -> None:
+        """``around`` are the scopes outside of a lambda."""
         m = self.method
         s, e = self.f.span(m["node"])
         top = f"{self.cls['name']}.:{m['name'].strip(':')}:{s}:{e}"
         self.scope_rows.append((m["id"], top))
-        self.scopes.append((top, {}))
+        outside: dict = {}
+        for names in around or []:
+            outside |= names
+        self.scopes.append((top, outside))
         for k, (name, type_) in enumerate(m["args"]):
             ref = self.declare(name, type_)
             into = self.node("input", f"#arg{k}", None, type_)
@@ -274,6 +403,8 @@ class MethodGraph:
         try:
             if m.get("field") is not None:
                 self.declarators(m["field"], None)
+            elif m.get("value") is not None:
+                self.returns.append(self.node("return", "#return", None, m["result"], m["value"], __=self.value(m["value"])))
             elif m["body"] is not None:
                 self.statements(m["body"].kids)
         except Dead:
@@ -286,6 +417,7 @@ class MethodGraph:
             self.node("output", "#return", None, m["result"], __=value)
         for ref in [r for r in self.env if r[0] in ".%" and self.rows[self.env[r]]["kind"] != "input"]:
             self.node("output", ref, None, self.type_of(self.env[ref]), __=self.env[ref])
+        self.purge()
 
     def statements(self, kids: list[Node]) -> None:
         for kid in kids:
@@ -368,8 +500,11 @@ class MethodGraph:
         elif rule == "st_synchronized":
             self.value(n.kids[0])
             self.scoped("B", n.kids[-1])
-        elif rule in ("type_declaration", "st_assert", "lambda_"):
-            return  # local classes have no graph here, and assertions take no part
+        elif rule == "type_declaration":
+            return  # its methods have graphs of their own
+        elif rule == "st_assert":
+            for kid in n.kids:
+                self.value(kid)
         else:
             self.statements(n.kids)
 
@@ -743,8 +878,10 @@ class MethodGraph:
 
     def _field(self, obj: int | None, name: str, cls: str | None = None) -> tuple[str, str]:
         owner = cls or (self.type_of(obj) if obj is not None else "?")
-        known = next((c for c in self.f.classes if c["name"] == owner), None)
-        return f".{owner}/.{name}", (known["fields"].get(name, "?") if known else "I" if name == "length" and owner.startswith("[") else "?")
+        found = self.f.field_of(owner, name)
+        if found:
+            return f".{found[0]}/.{name}", found[1]
+        return f".{owner}/.{name}", "I" if name == "length" and owner.startswith("[") else "?"
 
     def _chain(self, base: Node, steps: list[tuple[str, int, Node | None]], at: Node) -> int:
         w, k = self.f.w, self.f.k
@@ -768,16 +905,22 @@ class MethodGraph:
                 v = self.node("ref_array", f"%{type_}", None, type_, at, __=self.read(f"%{type_}", type_), array=v, index=self.value(kid))
             elif kind == "new":
                 v = self.value(kid)
+            elif k[i] == "::":
+                v, cls = self._reference(v, cls, w[i + 1], at), None
             else:
                 v = self.node("value", None, "".join(w[at.start : at.end]), "?", at) if v is None else v
         return v if v is not None else self.node("value", None, name, cls or "?", at)
 
     def _call(self, obj: int | None, cls: str | None, name: str, args: Node, at: Node) -> int:
         values = [self.value(x) for x in args.only("expression")]
+        given = [self.type_of(v) for v in values]
         owner = cls or (self.type_of(obj) if obj is not None else self.cls["name"])
-        known = [m for c in self.f.classes if c["name"] == owner for m in c["methods"] if m["name"] == name and len(m["args"]) == len(values)]
-        # of methods with as many arguments, the one with most equal types, the first among equals
-        best = max(known, key=lambda m: sum(self.type_of(v) == d for v, (_, d) in zip(values, m["args"])), default=None)
+        places = [owner] if cls or obj is not None else [*self.owners(), *([self.f.statics[name]] if name in self.f.statics else self.f.static_classes)]
+        if name == ":init:":
+            places = [owner]
+        known = [m for m in self.f.methods_named(places, name) if len(m["args"]) == len(values)]
+        # the nearest by conversion of all arguments, the first among equals
+        best = min(known, key=lambda m: sum(self.f.distance(v, d) for v, (_, d) in zip(given, m["args"])), default=None)
         call = self.node("new" if name == ":init:" else "call", None, best["id"] if best else f"{owner}.:init:" if name == ":init:" else f"!{name}", owner if name == ":init:" else best["result"] if best else "?", at)
         if obj is not None:
             self.link(call, f"@{owner}", obj)
@@ -824,20 +967,72 @@ class MethodGraph:
             self.link(made, f"value{j}", self.value(x))
         return made
 
+    def _reference(self, obj: int | None, cls: str | None, name: str, at: Node) -> int:
+        """A method reference: which method it means is resolved, it has no graph."""
+        owner = cls or (self.type_of(obj) if obj is not None else self.cls["name"])
+        found = self.f.methods_named([owner], ":init:" if name == "new" else name)
+        made = self.node("capture", None, found[0]["id"] if found else f"{owner}.:init:" if name == "new" else f"!{name}", "?", at)
+        if obj is not None:
+            self.link(made, f"@{owner}", obj)
+        return made
+
     def x_lambda_(self, n: Node) -> int:
-        made = self.node("capture", None, None, "?", n)
-        for i in range(n.start, n.end):
-            if self.f.k[i] == "ID" and self.f.k[i - 1] != ".":
+        """A lambda is a method of its own; what it uses from outside is captured."""
+        number = len(self.lambdas)
+        name = f":lambda{self.number}_{number}:"
+        body = n.only("block", "expression")
+        arrow = next(i for i in range(n.start, n.end) if self.f.k[i] == "->")
+        params = n.only("parameters")
+        args = self.f._parameters(params[0], self.method["vars"]) if params else [(self.f.w[i], "?") for i in range(n.start, arrow) if self.f.k[i] == "ID"]
+        method = {"name": name, "id": f"{self.cls['name']}.{name}({''.join(d for _, d in args)})?", "style": "lambda", "args": args, "result": "?", "body": body[-1] if body and body[-1].rule == "block" else None, "value": body[-1] if body and body[-1].rule != "block" else None, "node": n, "vars": self.method["vars"]}
+        self.lambdas.append((method, [dict(names) for _, names in self.scopes]))
+        made = self.node("capture", None, method["id"], "?", n)
+        own = {a for a, _ in args}
+        for i in range(arrow, n.end):
+            if self.f.k[i] == "ID" and self.f.k[i - 1] != "." and self.f.w[i] not in own:
                 known = self.lookup(self.f.w[i])
-                if known and known[0] in self.env and not any(label == known[0] for label, _ in self.rows[made]["links"]):
-                    self.link(made, known[0], self.env[known[0]])
+                if known and not any(label == known[0] for label, _ in self.rows[made]["links"]) and (known[0] in self.env or known[0][0] == "."):
+                    self.link(made, known[0], self.read(*known))
         return made
 
-
-def graph_rows(text: str) -> list[tuple]:
+    def purge(self) -> None:
+        """Take out joins whose ways are all the same, and joins that repeat another, until nothing changes."""
+        alias: dict[int, int] = {}
+
+        def real(v: int) -> int:
+            while v in alias:
+                v = alias[v]
+            return v
+
+        changed = True
+        while changed:
+            changed, known = False, {}
+            for j, r in enumerate(self.rows):
+                if j in alias or r["kind"] not in ("join", "catchjoin", None):
+                    continue
+                links = [(label, real(v)) for label, v in r["links"]]
+                ways = {v for label, v in links if label != "cond"}
+                same = ways - {j}
+                target = next(iter(same)) if len(same) == 1 and len(r["links"]) > 1 or (r["kind"] is None and len(same) == 1) else known.setdefault((r["kind"], r["ref"], r["scope"], tuple(sorted(links))), j)
+                if target != j:
+                    alias[j] = target
+                    changed = True
+        if alias:
+            kept = [j for j in range(len(self.rows)) if j not in alias]
+            place = {j: k for k, j in enumerate(kept)}
+            self.rows = [{**self.rows[j], "links": [(label, place[real(v)]) for label, v in self.rows[j]["links"]]} for j in kept]
+
+
+def signatures(f: File) -> list[dict]:
+    """What other files may know of the classes of a file."""
+    fields = ("name", "id", "args", "result")
+    return [{"name": c["name"], "base": c["base"], "implements": c["implements"], "fields": c["fields"], "outer": c.get("outer", ""), "methods": [{k: x[k] for k in fields} for x in c["methods"]]} for c in f.classes]
+
+
+def graph_rows(text: str, known: dict[str, dict] | None = None) -> list[tuple]:
     """Flat rows of a file's classes, methods, scopes, nodes and links; a single 'error' row if it does not parse."""
     try:
-        f = File(text)
+        f = File(text, known)
     except (JavaSyntaxError, RecursionError) as e:
         return [(0, "error", None, None, str(e)[:200], None, None, None, None, None, None, {})]
     out: list[tuple] = []
@@ -848,10 +1043,13 @@ def graph_rows(text: str) -> list[tuple]:
     number = 0
     for c in f.classes:
         add("class", None, c["name"], attributes={"name": c["name"], **({"extends": c["base"]} if c["base"] else {}), **({"implements": " ".join(c["implements"])} if c["implements"] else {}), "fields": " ".join(f"{n}:{t}" for n, t in c["fields"].items())}, span=f.span(c["node"]))
-        for m in c["methods"]:
+        waiting: list[tuple[dict, list[dict] | None]] = [(m, None) for m in c["methods"] if "node" in m]
+        while waiting:
+            m, around = waiting.pop(0)
             number += 1
             g = MethodGraph(f, c, m, number)
-            g.build()
+            g.build(around)
+            waiting = [*g.lambdas, *waiting]
             add("method", c["name"], m["id"], span=f.span(m["node"]), attributes={"name": m["name"], "style": m["style"]})
             for parent, name in g.scope_rows:
                 add("scope", parent, name)
@@ -863,13 +1061,57 @@ def graph_rows(text: str) -> list[tuple]:
     return out
 
 
-def java_graphs(files: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows of ``graph_rows`` for all files, in the columns of an XML graph document."""
+def declared(files: DataFrame, key: str, text: str, project: str) -> DataFrame:
+    """(key, project, name, body, wanted): a row per class that a file declares, with its signature, and one per class that it may use."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for uid, body in zip(pdf[key], pdf[text]):
-                made = graph_rows(body)
+            rows = []
+            for uid, body, where in zip(pdf[key], pdf[text], pdf[project]):
+                try:
+                    f = File(body)
+                except (JavaSyntaxError, RecursionError):
+                    continue
+                own = signatures(f)
+                rows += [(uid, where, c["name"], json.dumps(c), False) for c in own]
+                names = {c["name"] for c in own}
+                rows += [(uid, where, n, None, True) for n in sorted(f.used() - names)]
+                rows += [(uid, where, b, None, True) for c in own for b in (c["base"], *c["implements"]) if b and b not in names]
+            yield pd.DataFrame(rows, columns=[key, project, "name", "body", "wanted"])
+
+    kinds = dict(files.dtypes)
+    return files.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text, project).mapInPandas(run, f"`{key}` {kinds[key]}, `{project}` {kinds[project]}, name string, body string, wanted boolean")
+
+
+def contexts(rows: DataFrame, key: str, project: str) -> DataFrame:
+    """(key, known): for each file the signatures of the classes it may use and of all they inherit from, in its project.
+
+    Where a project declares a class twice, one of them counts, always the same. A file's context is bounded by the names it uses.
+    """
+    where = F.coalesce(F.col(project).cast("string"), F.lit("\x00"))
+    table = rows.where("not wanted").groupBy(where.alias("p"), "name").agg(F.min("body").alias("body"))
+    bases = F.array_union(F.array(F.get_json_object("body", "$.base")), F.coalesce(F.from_json(F.get_json_object("body", "$.implements"), "array<string>"), F.array().cast("array<string>")))
+    table = cut(table.select("p", "name", "body", bases.alias("bases")))
+    front = cut(rows.where("wanted").select(key, where.alias("p"), "name").distinct().join(table.select("p", "name"), ["p", "name"], "left_semi"))
+    seen = front
+    while not front.isEmpty():
+        up = front.join(table.select("p", "name", F.explode("bases").alias("base")), ["p", "name"]).where("base is not null").select(key, "p", F.col("base").alias("name")).distinct()
+        front = cut(up.join(table.select("p", "name"), ["p", "name"], "left_semi").join(seen, [key, "p", "name"], "left_anti"))
+        seen = seen.unionByName(front)
+    return seen.join(table, ["p", "name"]).groupBy(key).agg(F.array_sort(F.collect_list("body")).alias("known"))
+
+
+def java_graphs(files: DataFrame, key: str, text: str, project: str | None = None) -> DataFrame:
+    """Rows of ``graph_rows`` for all files, in the columns of an XML graph document.
+
+    With ``project``, a column, files with the same value (null is one too) know each other's classes; without it every
+    file stands for itself.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for uid, body, known in zip(pdf[key], pdf[text], pdf["known"]):
+                made = graph_rows(body, {c["name"]: c for c in map(json.loads, known)} if known is not None else None)
                 if made:
                     frame = pd.DataFrame(made, columns=_COLUMNS)
                     frame[["ast_start", "ast_end"]] = frame[["ast_start", "ast_end"]].astype("Int64")
@@ -877,6 +1119,10 @@ def java_graphs(files: DataFrame, key: str, text: str) -> DataFrame:
                     yield frame
 
     kind = dict(files.dtypes)[key]
-    return files.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"`{key}` {kind}, {_FIELDS}")
-
-
+    own = files.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    if project is None:
+        own = own.select(key, text, F.lit(None).cast("array<string>").alias("known"))
+    else:
+        known = contexts(cut(declared(own, key, text, project)), key, project)
+        own = own.select(key, text).join(known, key, "left")
+    return own.mapInPandas(run, f"`{key}` {kind}, {_FIELDS}")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline import model as m
-from weftline.common import cut, shared_folder
+from weftline.common import cut, kept, shared_folder
 from weftline.frontend import build
 from weftline.functions import names as fn
 from weftline.functions import text as tx
@@ -203,7 +203,8 @@ def marked_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _java(spark: SparkSession, d: str) -> DataFrame:
-    return build.java_graphs(m.sources(spark, d).where(F.lower("srcpath").endswith(".java")), "uid", "src_text")
+    rows = lambda: build.java_graphs(m.sources(spark, d).where(F.lower("srcpath").endswith(".java")), "uid", "src_text", "reponame")
+    return kept(spark, "java_graphs", f"{d}/sourcemap.parquet", rows)
 
 
 @query(None)
@@ -224,6 +225,24 @@ def java_graph_methods(spark: SparkSession, d: str) -> DataFrame:
     return _java(spark, d).where("entity = 'method'").select("uid", F.col("parent_key").alias("class_name"), F.col("item_key").alias("method_id"), F.col("attributes")["style"].alias("style"), "ast_start", "ast_end")
 
 
+@query(None)
+def java_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of all Java sources, local and anonymous ones too: what they extend and implement, and their fields."""
+    own = _java(spark, d).where("entity = 'class'")
+    count = lambda c: F.when(F.coalesce(c, F.lit("")) == "", 0).otherwise(F.size(F.split(c, " "))).cast("long")
+    return own.select("uid", F.col("item_key").alias("name"), F.col("attributes")["extends"].alias("base"), count(F.col("attributes")["implements"]).alias("n_interfaces"), count(F.col("attributes")["fields"]).alias("n_fields"))
+
+
+@query(None)
+def java_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of all Java sources by callee: how many, and in how many files it is declared within the project."""
+    rows = _java(spark, d)
+    repo = m.sources(spark, d).select("uid", F.coalesce("reponame", F.lit("")).alias("repo"))
+    calls = rows.where("entity = 'node' and kind in ('call', 'new')").join(repo, "uid").groupBy("repo", F.col("ndata").alias("callee")).agg(F.count(F.lit(1)).alias("n_calls"))
+    made = rows.where("entity = 'method'").join(repo, "uid").groupBy("repo", F.col("item_key").alias("callee")).agg(F.count_distinct("uid").alias("n"))
+    return calls.join(made, ["repo", "callee"], "left").select("repo", "callee", "n_calls", F.coalesce("n", F.lit(0)).alias("n_files"))
+
+
 @query(None)
 def java_syntax_errors(spark: SparkSession, d: str) -> DataFrame:
     """Java sources that have no graph because they do not parse."""
