@@ -1126,3 +1126,24 @@ def java_graphs(files: DataFrame, key: str, text: str, project: str | None = Non
         known = contexts(cut(declared(own, key, text, project)), key, project)
         own = own.select(key, text).join(known, key, "left")
     return own.mapInPandas(run, f"`{key}` {kind}, {_FIELDS}")
+
+
+def java_trees(files: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, nth, depth, rule, s, e): the parse tree of every file that parses, depth first, with the tokens' places."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for uid, body in zip(pdf[key], pdf[text]):
+                try:
+                    f = File(body)
+                except (JavaSyntaxError, RecursionError):
+                    continue
+                rows, stack = [], [(f.root, 0)]
+                while stack:
+                    n, depth = stack.pop()
+                    rows.append((uid, len(rows), depth, n.rule, *(f.span(n) if n.end > n.start else (f.at(n.start), f.at(n.start)))))
+                    stack += [(kid, depth + 1) for kid in reversed(n.kids)]
+                yield pd.DataFrame(rows, columns=[key, "nth", "depth", "rule", "s", "e"])
+
+    kind = dict(files.dtypes)[key]
+    return files.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"`{key}` {kind}, nth bigint, depth bigint, rule string, s bigint, e bigint")

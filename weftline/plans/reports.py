@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline import model as m
 from weftline.common import cut, kept, shared_folder
 from weftline.frontend import build
 from weftline.functions import names as fn
+from weftline.functions import syntax_kinds
 from weftline.functions import text as tx
 from weftline.operators import bayes, classes, spans, stitch
 from weftline.plans import graphs, scans, words
@@ -44,16 +46,24 @@ def tree_statistics(spark: SparkSession, d: str) -> DataFrame:
     return m.nodes(spark, d).where("mid is not null").join(ins, "nid", "left").groupBy("mid").agg(F.count(F.lit(1)).alias("n_nodes"), F.max(F.coalesce("c", F.lit(0))).alias("branch"))
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the graph documents among the sources, and of the graphs of the Java sources."""
+    files = m.sources(spark, d).where(F.lower("srcpath").endswith(".graph"))
+    return graph_xml.rows(files, "uid", "src_text").unionByName(_java(spark, d).where("entity <> 'error'"))
+
+
 def _classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = cut(graph_xml.rows(m.sources(spark, d).where(F.lower("srcpath").endswith(".graph")), "uid", "src_text").where("entity in ('class', 'method')").select("entity", "parent_key", "item_key", "attributes"))
-    cls = rows.where("entity = 'class'").select(F.col("item_key").alias("name"), F.col("attributes")["extends"].alias("base")).where("base is not null")
+    rows = _documents(spark, d)
+    own = rows.where("entity = 'class' and item_key is not null")
+    bases = F.concat(F.array(F.col("attributes")["extends"]), F.split(F.coalesce(F.col("attributes")["implements"], F.lit("")), " "))
+    cls = own.select(F.col("item_key").alias("name"), F.explode(bases).alias("base")).where("base is not null and base <> ''").distinct()
     me = rows.where("entity = 'method'").select(F.col("item_key").alias("method_id"), F.col("parent_key").alias("class_name"), F.regexp_extract("item_key", ";\\.(.*\\))", 1).alias("signature"))
-    return cls, me
+    return cut(cls), cut(me.distinct())
 
 
 @query(None)
 def class_ancestors(spark: SparkSession, d: str) -> DataFrame:
-    """Ancestors of the classes of graph documents."""
+    """Ancestors of the classes of graph documents and Java sources, by what they extend and implement."""
     return classes.ancestors(_classes(spark, d)[0])
 
 
@@ -207,6 +217,40 @@ def _java(spark: SparkSession, d: str) -> DataFrame:
     return kept(spark, "java_graphs", f"{d}/sourcemap.parquet", rows)
 
 
+@query(None)
+def class_details(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of graph documents and Java sources: path, base, interfaces and number of methods."""
+    rows = _documents(spark, d)
+    per = rows.where("entity = 'method'").groupBy("uid", F.col("parent_key").alias("name")).agg(F.count(F.lit(1)).alias("n_methods"))
+    own = rows.where("entity = 'class'").select("uid", F.col("item_key").alias("name"), F.col("attributes")["path"].alias("path"), F.col("attributes")["extends"].alias("base"), F.array_join(F.array_sort(F.split(F.coalesce(F.col("attributes")["implements"], F.lit("")), " ")), " ").alias("interfaces"))
+    return own.join(per, ["uid", "name"], "left").withColumn("n_methods", F.coalesce("n_methods", F.lit(0)))
+
+
+@query(None)
+def node_places(spark: SparkSession, d: str) -> DataFrame:
+    """Every node of the graph documents with its file, the file's number in the order of paths, its span and the name of its syntax kind."""
+    files = m.sources(spark, d).where(F.lower("srcpath").endswith(".graph"))
+    rows = graph_xml.rows(files, "uid", "src_text")
+    at = W.partitionBy("uid").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    path = F.last(F.when(F.col("entity") == "class", F.col("attributes")["path"]), True).over(at)
+    nodes = cut(rows.withColumn("path", path).where("entity = 'node' and ast_start is not null and ast_end is not null and path is not null"))
+    paths = words.ranked(nodes.select("path").distinct().withColumn("one", F.lit(1)), "one", "path").select("path", (F.col("place") - 1).cast("long").alias("file_no"))
+    kinds = F.element_at(syntax_kinds.names(), F.col("attributes")["ast"].cast("int"))
+    return nodes.join(paths, "path").select("uid", F.col("item_key").alias("node_id"), "path", "file_no", "ast_start", "ast_end", kinds.alias("syntax"))
+
+
+@query("SELECT code, name FROM (VALUES " + ", ".join(f"(CAST({c} AS BIGINT), '{n}')" for c, n in syntax_kinds.NAMES.items()) + ") t(code, name)")
+def syntax_kind_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of the syntax kinds by code."""
+    return spark.createDataFrame(list(syntax_kinds.NAMES.items()), "code bigint, name string")
+
+
+@query(None)
+def java_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Parse trees of all Java sources: rule, span and depth of every node, in order."""
+    return build.java_trees(m.sources(spark, d).where(F.lower("srcpath").endswith(".java")), "uid", "src_text")
+
+
 @query(None)
 def java_graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Nodes of the dataflow graphs of all Java sources."""
@@ -274,7 +318,7 @@ def streamed_counts(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(_as_folder(spark, d, "events"))
     weighted = stream.select(F.col("event_type").alias("feat"), F.when(F.col("value") < 1, -1).otherwise(1).alias("w"))
-    return increments.collect_updates(increments.running_counts(weighted, ["feat"], "w"), f"counts_{uuid.uuid4().hex}", _scratch(spark))
+    return increments.collect_updates(increments.running_counts(weighted, ["feat"], "w"), ["feat"], _scratch(spark))
 
 
 @query("SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -284,10 +328,51 @@ def streamed_days(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(schema).parquet(_as_folder(spark, d, "events"))
     # the event time in seconds since 1970 by the clock on the wall, whatever the session's time zone
     stream = stream.withColumn("ts", F.timestamp_seconds(F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")))
-    made = increments.collect_updates(increments.windowed_counts(stream, "ts", "1 day", "30 days", "event_type"), f"days_{uuid.uuid4().hex}", _scratch(spark))
+    made = increments.collect_updates(increments.windowed_counts(stream, "ts", "1 day", "30 days", "event_type"), ["window", "event_type"], _scratch(spark))
     return made.select(F.floor(F.unix_seconds("window.start") / 86400).alias("day"), "event_type", "n")
 
 
+@query("SELECT count(*) AS n_rows FROM (SELECT DISTINCT tid, fid, c FROM cnt)")
+def appended_store(spark: SparkSession, d: str) -> DataFrame:
+    """The counts store written in two loads by a stream, the second with rows of the first again: each row is there once."""
+    folder = _scratch(spark)
+    rows = m.counts(spark, d).select(F.concat_ws(":", "tid", "fid").alias("id"), "tid", "fid", "c")
+    for load in (rows.where("tid % 2 = 0"), rows):
+        load.write.mode("append").parquet(f"{folder}/in")
+        increments.append_files(spark, f"{folder}/in", "id string, tid bigint, fid bigint, c bigint", "id", f"{folder}/store", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/store").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query(None)
+def streamed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the graph documents read as a stream of files: how many of each kind."""
+    folder = _scratch(spark)
+    schema = spark.read.parquet(f"{d}/sourcemap.parquet").schema
+    rows = increments.stream_documents(spark, _as_folder(spark, d, "sourcemap"), schema, "uid", "src_text", F.lower("srcpath").endswith(".graph"))
+    once = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+    increments.drain(rows, f"{folder}/checkpoint", once)
+    return spark.read.parquet(f"{folder}/rows").drop("batch").dropDuplicates(["uid", "ord"]).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(words.SQL["nb_train"].replace(V, "", 1))
+def model_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of the model saved, checked and loaded again."""
+    folder = _scratch(spark)
+    stores.save_model(*bayes.train(words._observations(spark, d)), folder)
+    keys, feats = stores.load_model(spark, folder)
+    return feats.unionByName(keys.select(F.lit(None).cast("long").alias("feat"), "key", F.col("k").alias("c"))).select("feat", "key", "c")
+
+
+@query("SELECT 'dfmethod' AS tbl, count(*) AS n FROM methods WHERE mid IN (412, 977, 1203) UNION ALL SELECT 'dfnode', count(*) FROM nodes WHERE mid IN (412, 977, 1203)")
+def store_selection(spark: SparkSession, d: str) -> DataFrame:
+    """A store saved and loaded by a path with the ids of three methods behind it."""
+    folder = _scratch(spark)
+    stores.save({"dfmethod": m.methods(spark, d), "dfnode": m.nodes(spark, d)}, folder)
+    loaded = stores.load_spec(spark, f"{folder}:412,977,1203", ("dfmethod", "dfnode"))
+    rows = [df.agg(F.lit(name).alias("tbl"), F.count(F.lit(1)).alias("n")) for name, df in loaded.items()]
+    return rows[0].unionByName(rows[1])
+
+
 def _scratch(spark: SparkSession) -> str:
     """A folder for a stream's own state and results, beside the checkpoints."""
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"

@@ -42,6 +42,8 @@ def parse(text: str) -> list[tuple]:
             for k, name in ((9, "start"), (10, "end")):
                 value = a.get(name, "")
                 open_[-1][k] = int(value) if value.isdigit() else None
+            if a.get("type") and open_[-1][1] == "node":
+                open_[-1][11]["ast"] = a["type"]
         if row is not None:
             full = [len(rows), *row, None, None, {k: v for k, v in a.items() if tag in ("class", "method")}]
             rows.append(full)
@@ -113,7 +115,8 @@ def render(flat: list[tuple]) -> str:
             continue
         out.append(_element(entity, row) + ">")
         if row[9] is not None and row[10] is not None:
-            out.append(f'<ast start="{int(row[9])}" end="{int(row[10])}"/>')
+            kind = dict(row[11] or {}).get("ast")
+            out.append((f'<ast type={quoteattr(kind)}' if kind and entity == "node" else "<ast") + f' start="{int(row[9])}" end="{int(row[10])}"/>')
         open_.append((own, item, entity))
     close(lambda o: True)
     return "\n".join([*out, "</graph>"])

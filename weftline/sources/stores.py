@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +19,18 @@ def save(tables: dict[str, DataFrame], folder: str, append: bool = False) -> Non
         df.write.mode("append" if append else "overwrite").parquet(f"{folder}/{name}.parquet")
 
 
-def load(spark: SparkSession, folder: str, mids: list[int] | None = None) -> dict[str, DataFrame]:
+def load_spec(spark: SparkSession, spec: str, tables: Sequence[str] = TABLES) -> dict[str, DataFrame]:
+    """The tables of 'folder' or, of some methods only, of 'folder:mid,mid'."""
+    folder, _, ids = spec.rpartition(":")
+    if folder and re.fullmatch(r"-?\d+(,-?\d+)*", ids):
+        return load(spark, folder, [int(x) for x in ids.split(",")], tables)
+    return load(spark, spec, None, tables)
+
+
+def load(spark: SparkSession, folder: str, mids: list[int] | None = None, tables: Sequence[str] = TABLES) -> dict[str, DataFrame]:
     """The tables of a store; ``mids`` keeps the rows of those methods where a table names its method."""
     out = {}
-    for name in TABLES:
+    for name in tables:
         df = spark.read.parquet(f"{folder}/{name}.parquet")
         out[name] = df.where(F.col("mid").isin(mids)) if mids is not None and "mid" in df.columns else df
     return out

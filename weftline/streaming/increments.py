@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from weftline.sources import graph_xml
 
 
 def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> None:
@@ -36,12 +39,31 @@ def running_counts(stream: DataFrame, keys: list[str], weight: str) -> DataFrame
 
 
 def windowed_counts(stream: DataFrame, at: str, width: str, late: str, *keys: str) -> DataFrame:
-    """Rows per tumbling window and key; rows later than ``late`` behind the newest are dropped."""
+    """Rows per tumbling window and key; in update mode windows that end ``late`` behind the newest row are closed, and rows for them left out."""
     return stream.withWatermark(at, late).groupBy(F.window(at, width), *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def collect_updates(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run an aggregation over what is available into the in-memory table ``name`` and give its rows."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def collect_updates(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Run an aggregation over what is available and give the latest row of every key.
+
+    Each micro-batch writes the rows that it changed to Parquet below ``folder``, under its number: a batch given again
+    after a failure replaces itself. Nothing is collected, and the state holds no more than the watermark allows.
+    """
+    target = f"{folder}/updates"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    q = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    rows = stream.sparkSession.read.schema(schema).parquet(target)
+    values = [c for c in stream.columns if c not in keys]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("x"))
+    return latest.select(*keys, "x.*")
+
+
+def stream_documents(spark: SparkSession, inbox: str, schema: str, key: str, text: str, where: Column | None = None) -> DataFrame:
+    """A stream of the flat rows of XML graph documents as they arrive, of those files that ``where`` accepts."""
+    files = spark.readStream.schema(schema).parquet(inbox)
+    return graph_xml.rows(files if where is None else files.where(where), key, text)
