@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.stitch import overlaps
+
 
 def lines(files: DataFrame, key: str, text: str) -> DataFrame:
     """(key, lineno, start, end, line): lines with their offsets, the line feed included in a line's range.
@@ -28,9 +30,12 @@ def lines(files: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def overlapping(line_rows: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """(key, lineno, s, e): the lines that a span (key, s, e) overlaps, ends exclusive."""
-    hit = (F.col("s") < F.col("end")) & (F.col("start") < F.col("e"))
-    return line_rows.join(spans.select(key, "s", "e"), key).where(hit).select(key, "lineno", "s", "e")
+    """(key, lineno, s, e): the lines that a span (key, s, e) overlaps, ends exclusive.
+
+    Lines and spans meet in bins of a file, so that the work follows the overlaps, not lines times spans.
+    """
+    own = line_rows.select(key, "lineno", F.col("start").alias("l0"), F.col("end").alias("l1"))
+    return overlaps(own, spans.select(key, "s", "e"), [key], "l0", "l1", "s", "e", 2048).select(key, "lineno", "s", "e")
 
 
 def with_context(line_rows: DataFrame, hits: DataFrame, key: str, around: int) -> DataFrame:

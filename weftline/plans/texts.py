@@ -102,7 +102,14 @@ def name_overlap_in_class(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("a", "b", F.round(tx.jaccard(F.col("wa"), F.col("wb")), 6).alias("sim"))
 
 
-@query(None)
+_LCS = """list_reduce(list_prepend(list_transform(range(0, len(y) + 1), lambda j: CAST(0 AS BIGINT)), list_transform(string_split(x, ''), lambda c: [CAST(unicode(c) AS BIGINT)])),
+      lambda row, e: list_reduce(list_prepend([CAST(0 AS BIGINT)], list_transform(range(1, len(y) + 1), lambda j: [CAST(j AS BIGINT)])), lambda r, k: list_append(r, CASE WHEN unicode(y[k[1]]) = e[1] THEN row[k[1]] + 1 ELSE greatest(row[k[1] + 1], r[k[1]]) END)))[len(y) + 1]"""
+
+
+@query(f""", k AS (SELECT method_id, min(mid) AS mid FROM methods WHERE method_id IS NOT NULL GROUP BY method_id),
+    p AS (SELECT DISTINCT c.mid, k.mid AS callee_mid FROM (SELECT mid, split_part(ndata, ' ', 1) AS callee FROM nodes WHERE kind IN ('call', 'new') AND ndata IS NOT NULL AND mid IS NOT NULL) c JOIN k ON k.method_id = c.callee),
+    q AS (SELECT p.mid, callee_mid, a.method_name AS x, b.method_name AS y FROM p JOIN methods a ON a.mid = p.mid JOIN methods b ON b.mid = callee_mid)
+    SELECT mid, callee_mid, CASE WHEN coalesce(x, '') = '' OR coalesce(y, '') = '' THEN 0.0 ELSE round(CAST({_LCS} AS DOUBLE) / greatest(len(x), len(y)), 6) END AS sim FROM q""")
 def name_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Similarity by longest common subsequence of the callee's name and the caller's."""
     from weftline.operators import stitch
@@ -130,7 +137,8 @@ def record_fields(spark: SparkSession, d: str) -> DataFrame:
     return records.fields(table(spark, d, "documents").where("doc_kind = 'report'"), "doc_id", "text").select("doc_id", "key", "value")
 
 
-@query(None)
+@query("""SELECT count(DISTINCT (doc_id, grp)) AS n_records, count(DISTINCT (doc_id, grp)) AS n_equal FROM (SELECT doc_id, line, sum(CASE WHEN trim(line, ' ' || chr(9) || chr(13)) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY nth) AS grp
+    FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS nth FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_kind = 'report' AND text IS NOT NULL))) WHERE regexp_matches(line, '^\+[A-Z]+( |$)')""")
 def record_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Records of reports read, written as streams and read again: the number of records that stay equal."""
     docs = table(spark, d, "documents").where("doc_kind = 'report'")
