@@ -7,7 +7,6 @@ instead of being carried one by one.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -224,40 +223,44 @@ def feature_walk(edges: DataFrame, feats: DataFrame, starts: DataFrame, budget:
     steps = cut(steps.join(about, "far"))
     front = starts.select("item", F.col("nid").alias("root"), "nid", F.explode(F.array(F.lit(-1), F.lit(1))).alias("way"), F.lit("\x00").alias("lprev"), F.lit("").alias("fprev"), F.lit(0).alias("dist"), F.array().cast("array<bigint>").alias("calls"), F.lit(budget - 1).alias("left")).distinct()
     state = ["item", "root", "nid", "way", "lprev", "fprev", "dist", "calls"]
-    seen, found = None, None
     top, empty = F.try_element_at("calls", F.lit(-1)), F.size("calls") == 0
     entering = F.when(F.col("way") == -1, "out").otherwise("in")
-    while True:
+
+    def expanded(front: DataFrame) -> DataFrame:
         x = front.join(steps, ["nid", "way"]).where("left >= 0")
         enters, leaves = F.col("via") == entering, F.col("via").isNotNull() & (F.col("via") != entering)
         x = x.where(F.coalesce(~leaves, F.lit(True)) | empty | (top == F.col("funcall")))
         calls = F.when(enters, F.concat("calls", F.array("funcall"))).when(leaves & ~empty, F.slice("calls", 1, F.size("calls") - 1)).otherwise(F.col("calls"))
-        x = x.withColumn("calls2", calls)
         # the label of a feature is that of the link by which its node was reached; transparent nodes pass it on
-        x = x.withColumn("l", F.when(F.col("lprev") == "\x00", F.col("label")).otherwise(F.col("lprev")))
+        label = F.when(F.col("lprev") == "\x00", F.col("label")).otherwise(F.col("lprev"))
         thin = F.col("kind").isNull() | F.col("kind").isin("receive", "input", "output", "repeat") | F.when(F.col("way") == -1, F.col("kind") == "assign_var").otherwise(F.col("kind") == "ref_var")
         itself = F.coalesce(F.col("kind").isin(*REFS, *ASSIGNS, *ARRAYS) & (F.col("ref_name") == F.col("item")), F.lit(False))
         ws = F.when(itself, F.array().cast("array<string>")).otherwise(F.col("ws"))
         fs = F.when(itself, F.array(F.concat("kind", F.lit(":SELF")))).otherwise(F.concat("ws", "fs"))
-        x = cut(x.select("item", "root", F.col("far").alias("nid"), "way", "l", "fprev", "dist", F.col("calls2").alias("calls"), "left", F.coalesce(thin, F.lit(True)).alias("thin"), "kind", ws.alias("ws"), fs.alias("fs")))
-        own = x.where("not thin and size(fs) > 0")
-        far = F.col("way") * (F.col("dist") + 1)
-        made = own.select("item", "root", F.explode(F.transform("fs", lambda f: F.concat_ws(",", far.cast("string"), F.col("fprev"), F.concat("l", F.lit(":"), f)))).alias("feat")).distinct()
-        found = made if found is None else found.unionByName(made)
-        passing = F.when(F.col("way") == -1, F.col("kind") == "ref_var").otherwise(F.col("kind") == "assign_var")
-        through = x.where(F.col("thin")).unionByName(own.where(F.coalesce(passing, F.lit(False))))
-        through = through.select("item", "root", "nid", "way", F.col("l").alias("lprev"), "fprev", "dist", "calls", (F.col("left") - 1).alias("left"))
-        prev = F.explode(F.when(F.size("ws") > 0, F.transform("ws", lambda w: F.concat("l", F.lit(":"), w))).otherwise(F.array(F.concat("l", F.lit(":"), F.get("fs", F.lit(0))))))
-        on = own.where(~F.coalesce(passing, F.lit(False))).select("item", "root", "nid", "way", F.lit("\x00").alias("lprev"), prev.alias("fprev"), (F.col("dist") + 1).alias("dist"), "calls", (F.col("left") - 1 - node_cost).alias("left"))
-        new = through.unionByName(on).where("left >= 0").groupBy(*state).agg(F.max("left").alias("left"))
-        if seen is not None:
-            known = seen.groupBy(*state).agg(F.max("left").alias("had"))
-            new = new.join(known, state, "left").where("had is null or had < left").drop("had")
-        front = cut(new)
+        return x.select("item", "root", F.col("far").alias("nid"), "way", label.alias("l"), "fprev", "dist", calls.alias("calls"), "left", F.coalesce(thin, F.lit(True)).alias("thin"), "kind", ws.alias("ws"), fs.alias("fs"))
+
+    def moved(x: DataFrame) -> DataFrame:
+        passing = F.coalesce(F.when(F.col("way") == -1, F.col("kind") == "ref_var").otherwise(F.col("kind") == "assign_var"), F.lit(False))
+        # a node hands on the state as it is, or starts anew behind each of its name features or its first other one
+        own = F.when(F.size("ws") > 0, F.transform("ws", lambda w: F.concat("l", F.lit(":"), w))).otherwise(F.array(F.concat("l", F.lit(":"), F.get("fs", F.lit(0)))))
+        through = F.col("thin") | passing
+        x = x.where("thin or size(fs) > 0").withColumn("fprev", F.explode(F.when(through, F.array("fprev")).otherwise(own)))
+        x = x.select("item", "root", "nid", "way", F.when(through, F.col("l")).otherwise("\x00").alias("lprev"), "fprev", F.when(through, F.col("dist")).otherwise(F.col("dist") + 1).alias("dist"), "calls", F.when(through, F.col("left") - 1).otherwise(F.col("left") - 1 - node_cost).alias("left"))
+        return x.where("left >= 0").groupBy(*state).agg(F.max("left").alias("left"))
+
+    front = cut(front)
+    every, known = front, front.groupBy(*state).agg(F.max("left").alias("had"))
+    while True:
+        front = cut(moved(expanded(front)).join(known, state, "left").where("had is null or had < left").drop("had"))
         if front.isEmpty():
             break
-        seen = front if seen is None else seen.unionByName(front)
-    return found.distinct()
+        every = every.unionByName(front)
+        known = every.groupBy(*state).agg(F.max("left").alias("had"))
+    best = every.groupBy(*state).agg(F.max("left").alias("left"))
+    own = expanded(best).where("not thin and size(fs) > 0")
+    far = (F.col("way") * (F.col("dist") + 1)).cast("string")
+    feat = F.explode(F.transform("fs", lambda f: F.concat_ws(",", far, F.col("fprev"), F.concat("l", F.lit(":"), f))))
+    return own.select("item", "root", feat.alias("feat")).distinct()
 
 
 def matched_flows(edges: DataFrame, nodes: DataFrame, starts: DataFrame, most_calls: int | None = None) -> DataFrame:
@@ -273,19 +276,20 @@ def matched_flows(edges: DataFrame, nodes: DataFrame, starts: DataFrame, most_ca
     none = F.array().cast("array<bigint>")
     # a reference of a context: the stack for variables, nothing for fields
     context = lambda ref, calls: F.when(F.left(ref, F.lit(1)) == "$", calls)
-    front = starts.select("nid").distinct().join(refs, "nid").select("nid", none.alias("calls"), F.col("ref").alias("dst_ref"), context(F.col("ref"), none).alias("dst_in"))
-    seen = front = cut(front)
-    found = None
     top = F.try_element_at("calls", F.lit(-1))
-    while True:
+    room = F.lit(True) if most_calls is None else F.size("calls") < most_calls
+
+    def expanded(front: DataFrame) -> DataFrame:
         x = front.join(steps, "nid")
-        room = F.lit(True) if most_calls is None else F.size("calls") < most_calls
         allowed = F.when(F.col("way") == "out", ~F.array_contains("calls", F.col("funcall")) & room).when(F.col("way") == "in", F.coalesce(top == F.col("funcall"), F.lit(False))).otherwise(F.lit(True))
         calls = F.when(F.col("way") == "out", F.concat("calls", F.array("funcall"))).when(F.col("way") == "in", F.slice("calls", 1, F.size("calls") - 1)).otherwise(F.col("calls"))
         x = x.where(allowed).select(F.col("far").alias("nid"), calls.alias("calls"), "ref", "dst_ref", "dst_in")
-        x = cut(x.withColumn("src_in", context(F.col("ref"), F.col("calls"))).distinct())
-        flows = x.where("ref is not null and dst_ref is not null").select(F.col("ref").alias("src_ref"), "src_in", "dst_ref", "dst_in")
-        found = flows if found is None else found.unionByName(flows)
+        return x.withColumn("src_in", context(F.col("ref"), F.col("calls")))
+
+    front = starts.select("nid").distinct().join(refs, "nid").select("nid", none.alias("calls"), F.col("ref").alias("dst_ref"), context(F.col("ref"), none).alias("dst_in"))
+    seen = front = cut(front)
+    while True:
+        x = expanded(front)
         moved = x.select("nid", "calls", F.coalesce("ref", "dst_ref").alias("dst_ref"), F.when(F.col("ref").isNotNull(), F.col("src_in")).otherwise(F.col("dst_in")).alias("dst_in")).distinct()
         same = [moved["nid"] == seen["nid"], moved["calls"] == seen["calls"], moved["dst_ref"].eqNullSafe(seen["dst_ref"]), moved["dst_in"].eqNullSafe(seen["dst_in"])]
         front = cut(moved.join(seen, same, "left_anti"))
@@ -293,7 +297,8 @@ def matched_flows(edges: DataFrame, nodes: DataFrame, starts: DataFrame, most_ca
             break
         seen = seen.unionByName(front)
     different = (F.col("src_ref") != F.col("dst_ref")) | ~F.col("src_in").eqNullSafe(F.col("dst_in"))
-    return found.where(different).distinct().groupBy("src_ref", "dst_ref").agg(F.count(F.lit(1)).alias("n_contexts"))
+    flows = expanded(seen).where("ref is not null and dst_ref is not null").select(F.col("ref").alias("src_ref"), "src_in", "dst_ref", "dst_in")
+    return flows.where(different).distinct().groupBy("src_ref", "dst_ref").agg(F.count(F.lit(1)).alias("n_contexts"))
 
 
 def shortest_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -304,17 +309,16 @@ def shortest_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     wanted = F.when(F.col("kind") == "op_assign", F.col("label") == "R").when(F.col("kind").isin("ref_field", "assign_field", "end", "repeat"), F.col("label") == "").when(F.col("kind") == "join", F.col("label").isin("true", "false")).otherwise(F.lit(True))
     steps = _real(edges).select(F.col("dst").alias("nid"), F.col("src").alias("far"), "label").join(about.where("plain").select("nid", "kind"), "nid").where(wanted)
     steps = cut(steps.select("nid", "far").distinct().join(about.select(F.col("nid").alias("far"), "ref"), "far"))
-    front = about.where("ref is not null and left(ref, 1) <> '%'").select(F.col("ref").alias("to_ref"), "nid").distinct()
-    seen, found = front, None
-    for k in itertools.count(2):
-        moved = cut(front.join(steps, "nid").select("to_ref", F.col("far").alias("nid"), "ref").distinct())
-        hits = moved.where("ref is not null and left(ref, 1) <> '%'").select(F.col("ref").alias("from_ref"), "to_ref", _long(k).alias("n"))
-        found = hits if found is None else found.unionByName(hits)
-        front = cut(moved.where("ref is null").select("to_ref", "nid").join(seen, ["to_ref", "nid"], "left_anti"))
+    front = cut(about.where("ref is not null and left(ref, 1) <> '%'").select(F.col("ref").alias("to_ref"), "nid", _long(1).alias("n")).distinct())
+    seen = front
+    while True:
+        onward = front.join(steps, "nid").where("ref is null").groupBy("to_ref", F.col("far").alias("nid")).agg((F.min("n") + 1).alias("n"))
+        front = cut(onward.join(seen, ["to_ref", "nid"], "left_anti"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-    return found.where("from_ref <> to_ref").groupBy("from_ref", "to_ref").agg(F.min("n").alias("n"))
+    hits = seen.join(steps, "nid").where("ref is not null and left(ref, 1) <> '%'").select(F.col("ref").alias("from_ref"), "to_ref", (F.col("n") + 1).alias("n"))
+    return hits.where("from_ref <> to_ref").groupBy("from_ref", "to_ref").agg(F.min("n").alias("n"))
 
 
 def generalisation_edges(links: DataFrame) -> DataFrame:
@@ -329,18 +333,19 @@ def reach_until(starts: DataFrame, edges: DataFrame, stop: Callable[[DataFrame],
 
     ``stop`` gets the frame of reached nodes with their columns, ``start`` among them.
     """
-    steps = cut(_real(edges).select(F.col("dst").alias("nid"), F.col("src").alias("far")).distinct())
-    front = cut(starts.select("start", "nid").distinct())
-    seen, found = front, None
+    steps = cut(_real(edges).select(F.col("dst").alias("nid"), F.col("src").alias("far")).distinct().join(nodes.withColumnRenamed("nid", "far"), "far"))
+
+    def expanded(front: DataFrame) -> DataFrame:
+        x = front.join(steps, "nid").drop("nid").withColumnRenamed("far", "nid").distinct()
+        return x.withColumn("stops", F.coalesce(stop(x), F.lit(False)))
+
+    seen = front = cut(starts.select("start", "nid").distinct())
     while True:
-        moved = front.join(steps, "nid").select("start", F.col("far").alias("nid")).distinct().join(nodes, "nid")
-        moved = cut(moved.withColumn("stops", F.coalesce(stop(moved), F.lit(False))))
-        hits = moved.where("stops").select("start", "nid", "ref_name")
-        found = hits if found is None else found.unionByName(hits)
-        front = cut(moved.where("not stops").select("start", "nid").join(seen, ["start", "nid"], "left_anti"))
+        front = cut(expanded(front).where("not stops").select("start", "nid").distinct().join(seen, ["start", "nid"], "left_anti"))
         if front.isEmpty():
-            return found.distinct()
+            break
         seen = seen.unionByName(front)
+    return expanded(seen).where("stops").select("start", "nid", "ref_name").distinct()
 
 
 def call_order(calls: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
