@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline import common
 from weftline.operators import matching, spans, stitch
-from weftline.sources import stores
+from weftline.sources import records, stores
 
 
 def test_common_trees(spark):
@@ -72,3 +72,20 @@ def test_store_specs(spark, tmp_path):
     some = stores.load_spec(spark, f"{folder}:1,3", ("dfmethod", "feats"))
     assert sorted(r.mid for r in some["dfmethod"].collect()) == [1, 3] and some["feats"].count() == 1
     assert stores.load_spec(spark, folder, ("dfmethod",))["dfmethod"].count() == 3
+
+
+def test_lists_of_places(spark):
+    text = "# no\n- 1 2 a=b\n+ x y.java\n- 3 4 key=v key=w z\n\n@ q.java 5 6 k=1=2\n - 7 x n=\n"
+    df = spark.createDataFrame([(1, text, "p"), (2, None, "p"), (3, "", "p")], "id bigint, body string, path string")
+    got = sorted((r.id, r.ord, r.path, r.s, r.e, dict(r.props)) for r in records.marks(df, "id", "body").collect())
+    assert got == [(1, 3, "x y.java", 3, 4, {"key": "w"}), (1, 5, "q.java", 5, 6, {"k": "1=2"}), (1, 6, "x y.java", 7, None, {"n": ""})]
+
+
+def test_feature_streams_in_parts(spark):
+    rows = [("a", f"f{k}", k, [[k, k + 1]]) for k in range(10)] + [("b", "é\"", 3, []), (None, "x", 1, [])]
+    df = spark.createDataFrame(rows, "item string, feat string, c bigint, srcs array<array<bigint>>")
+    names = spark.createDataFrame([(1, "p/q.java"), (2, None), (None, "z")], "id bigint, path string")
+    text = stores.feature_text(df, names, 3)
+    assert text.where("item = 'a'").count() > 2
+    assert {tuple(r) for r in stores.read_feature_text(text, "text").collect()} == {(i, f, c, len(s)) for i, f, c, s in rows if i}
+    assert {tuple(r) for r in stores.read_sources(text, "text").collect()} == {(1, "p/q.java"), (2, "")}

@@ -120,3 +120,19 @@ def overlaps(a: DataFrame, b: DataFrame, by: list[str], a0: str, a1: str, b0: st
     met = spread(a.where(F.col(a0) < F.col(a1)), a0, a1).join(spread(b.where(F.col(b0) < F.col(b1)), b0, b1), [*by, "bin"])
     first = F.floor(F.greatest(a0, b0) / bin_size)
     return met.where((F.col(a0) < F.col(b1)) & (F.col(b0) < F.col(a1)) & (F.col("bin") == first)).drop("bin")
+
+
+def ordinals(df: DataFrame, by: str, *order: str) -> DataFrame:
+    """``df`` with ``ord``, the number of each row within ``by`` in the given total order, from 1.
+
+    The rows are sorted over all tasks by key and order, numbered inside of each range, and shifted by what lies in the
+    ranges before: a key with most of the rows is numbered by as many tasks as its rows fill.
+    """
+    spread = cut(df.repartitionByRange(by, *order).withColumn("__part", F.spark_partition_id()))
+    inside = F.row_number().over(W.partitionBy("__part", by).orderBy(*order))
+    sizes = spread.groupBy(by, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shift = sizes.select(F.col(by).alias("__by"), F.col("__part").alias("__p"), before.alias("__before"))
+    numbered = spread.withColumn("__nth", inside)
+    joined = numbered.join(shift, (F.col("__part") == F.col("__p")) & F.col(by).eqNullSafe(F.col("__by")))
+    return joined.withColumn("ord", (F.col("__nth") + F.col("__before")).cast("long")).drop("__part", "__nth", "__before", "__by", "__p")

@@ -16,7 +16,7 @@ from weftline.functions import syntax_kinds
 from weftline.functions import text as tx
 from weftline.operators import bayes, classes, spans, stitch
 from weftline.plans import graphs, scans, words
-from weftline.sources import comments, graph_xml, stores
+from weftline.sources import comments, graph_xml, records, stores
 from weftline.streaming import increments
 
 V = m.SQL_VIEWS
@@ -306,6 +306,26 @@ def feature_text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return again.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("c").alias("total"))
 
 
+@query("""SELECT 'item' AS what, count(*) AS n_rows, CAST(sum(c) AS BIGINT) AS total, CAST(sum(n) AS BIGINT) AS n_srcs FROM (SELECT i.item, f.feat, sum(s.feat_count) AS c, count(*) AS n FROM ifs s JOIN its i USING (tid) JOIN fts f USING (fid) WHERE i.item IS NOT NULL GROUP BY 1, 2)
+    UNION ALL SELECT 'source', count(*), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM srcs""")
+def feature_sources_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Item features with the ranges of their sources, and the files' names, written as record streams and read again."""
+    rows = m.itemfeats(spark, d).join(m.items(spark, d).where("item is not null"), "tid").join(m.feats(spark, d), "fid")
+    per = rows.groupBy("item", "feat").agg(F.sum("feat_count").alias("c"), F.array_sort(F.collect_list(F.array("sid0", "sid1"))).alias("srcs"))
+    text = cut(stores.feature_text(per, m.sources(spark, d).select(F.col("uid").alias("id"), F.col("srcpath").alias("path"))))
+    feats = stores.read_feature_text(text, "text").agg(F.lit("item").alias("what"), F.count(F.lit(1)).alias("n_rows"), F.sum("c").alias("total"), F.sum("n_srcs").alias("n_srcs"))
+    none = F.lit(0).cast("long")
+    return feats.unionByName(stores.read_sources(text, "text").agg(F.lit("source").alias("what"), F.count(F.lit(1)).alias("n_rows"), none.alias("total"), none.alias("n_srcs")))
+
+
+@query("SELECT 'M' || mid AS path, CAST(ast_start AS BIGINT) AS s, CAST(ast_end AS BIGINT) AS e, kind, CAST(nid AS VARCHAR) AS nid FROM nodes WHERE mid IS NOT NULL AND kind IS NOT NULL AND ast_start IS NOT NULL AND ast_end IS NOT NULL")
+def place_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes as a list of places, one line each, read again."""
+    n = m.nodes(spark, d).where("mid is not null and kind is not null and ast_start is not null and ast_end is not null")
+    lines = n.select("nid", F.concat_ws(" ", F.lit("@"), F.concat(F.lit("M"), F.col("mid")), "ast_start", "ast_end", F.concat(F.lit("kind="), F.col("kind")), F.concat(F.lit("nid="), F.col("nid"))).alias("text"))
+    return records.marks(lines.withColumnRenamed("nid", "k"), "k", "text").select("path", "s", "e", F.col("props")["kind"].alias("kind"), F.col("props")["nid"].alias("nid"))
+
+
 @query("SELECT ref_name, arg_max(ntype, nid) AS ntype FROM nodes WHERE left(ref_name, 1) IN ('$', '@') AND ntype IS NOT NULL GROUP BY ref_name")
 def variable_lines(spark: SparkSession, d: str) -> DataFrame:
     """The variable list written as lines and read again."""

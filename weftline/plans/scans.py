@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline import model as m
@@ -84,8 +83,8 @@ def variable_list(spark: SparkSession, d: str) -> DataFrame:
     WHERE kind = 'call' AND contains(ndata, 'Set;.')""")
 def node_search(spark: SparkSession, d: str) -> DataFrame:
     """Nodes by kind and text, with their ordinal within the scope."""
-    ord_ = F.row_number().over(W.partitionBy("sid").orderBy("nid")).cast("long")
-    return m.nodes(spark, d).where("sid is not null").withColumn("ord", ord_).where((F.col("kind") == "call") & F.col("ndata").contains("Set;.")).select("nid", "mid", "ord")
+    numbered = stitch.ordinals(m.nodes(spark, d).where("sid is not null").select("nid", "mid", "sid", "kind", "ndata"), "sid", "nid")
+    return numbered.where((F.col("kind") == "call") & F.col("ndata").contains("Set;.")).select("nid", "mid", "ord")
 
 
 @query("""SELECT nid0 AS nid, CAST(-row_number() OVER (PARTITION BY nid0 ORDER BY label, lid) AS BIGINT) AS step, nid1 AS other FROM links
@@ -93,9 +92,8 @@ def node_search(spark: SparkSession, d: str) -> DataFrame:
 def neighbour_steps(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours by signed ordinal: inputs negative, outputs positive."""
     ln = m.links(spark, d)
-    back = F.row_number().over(W.partitionBy("nid0").orderBy("label", "lid")).cast("long")
-    forth = F.row_number().over(W.partitionBy("nid1").orderBy("label", "lid")).cast("long")
-    return ln.select(F.col("nid0").alias("nid"), (-back).alias("step"), F.col("nid1").alias("other")).unionByName(ln.select(F.col("nid1").alias("nid"), forth.alias("step"), F.col("nid0").alias("other")))
+    back, forth = (stitch.ordinals(ln, end, "label", "lid") for end in ("nid0", "nid1"))
+    return back.select(F.col("nid0").alias("nid"), (-F.col("ord")).alias("step"), F.col("nid1").alias("other")).unionByName(forth.select(F.col("nid1").alias("nid"), F.col("ord").alias("step"), F.col("nid0").alias("other")))
 
 
 @query(f"SELECT ntype, count(*) AS n FROM nodes WHERE ntype IN {(*m.PRIMITIVES, m.STRING_TYPE)} GROUP BY ntype")

@@ -36,15 +36,31 @@ def load(spark: SparkSession, folder: str, mids: list[int] | None = None, tables
     return out
 
 
-def feature_text(features: DataFrame) -> DataFrame:
-    """(item, text) of (item, feat, c): one record stream per item, features in order."""
-    line = F.concat(F.lit("+FEAT "), F.to_json(F.struct("c", "feat")))
-    per = features.where("item is not null").groupBy("item").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
-    return per.select("item", F.concat(F.lit("+ITEM "), F.to_json(F.struct("item")), F.lit("\n"), "lines", F.lit("\n")).alias("text"))
+#: Features of one record of a stream; an item with more has several records, which add up when read.
+RECORD_FEATURES = 4096
+
+
+def feature_text(features: DataFrame, sources: DataFrame | None = None, most: int = RECORD_FEATURES) -> DataFrame:
+    """(item, part, text) of (item, feat, c): record streams with the item and its features in order.
+
+    With ``srcs``, an array of [first, last] source positions, in ``features`` these go along. ``sources`` (id, path) gives the lines
+    that name the files, as streams without item before all others (part -1).
+    """
+    has = "srcs" in features.columns
+    own = features.where("item is not null")
+    parts = own.groupBy("item").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
+    line = F.concat(F.lit("+FEAT "), F.to_json(F.struct("c", "feat", *(["srcs"] if has else []))))
+    placed = own.join(parts, "item").withColumn("part", F.pmod(F.xxhash64("feat"), F.col("parts")).cast("long")).withColumn("line", line)
+    per = placed.groupBy("item", "part").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("lines"))
+    out = per.select("item", "part", F.concat(F.lit("+ITEM "), F.to_json(F.struct("item")), F.lit("\n"), "lines", F.lit("\n")).alias("text"))
+    if sources is None:
+        return out
+    named = sources.where("id is not null").select(F.lit(None).cast("string").alias("item"), F.lit(-1).cast("long").alias("part"), F.concat(F.lit("+SOURCE "), F.to_json(F.array(F.col("id").cast("string"), F.coalesce("path", F.lit(""))))).alias("text"))
+    return named.unionByName(out)
 
 
 def read_feature_text(streams: DataFrame, text: str) -> DataFrame:
-    """(item, feat, c) of record streams with +ITEM and +FEAT lines; a feature before any item is left out."""
+    """(item, feat, c, n_srcs) of record streams with +ITEM and +FEAT lines; a feature before any item is left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -56,10 +72,17 @@ def read_feature_text(streams: DataFrame, text: str) -> DataFrame:
                         item = json.loads(line[6:])["item"]
                     elif line.startswith("+FEAT ") and item is not None:
                         f = json.loads(line[6:])
-                        rows.append((item, f["feat"], f["c"]))
-            yield pd.DataFrame(rows, columns=["item", "feat", "c"])
+                        rows.append((item, f["feat"], f["c"], len(f.get("srcs") or ())))
+            yield pd.DataFrame(rows, columns=["item", "feat", "c", "n_srcs"])
+
+    return streams.where(F.col(text).isNotNull()).select(text).mapInPandas(run, "item string, feat string, c bigint, n_srcs bigint")
+
 
-    return streams.where(F.col(text).isNotNull()).select(text).mapInPandas(run, "item string, feat string, c bigint")
+def read_sources(streams: DataFrame, text: str) -> DataFrame:
+    """(id, path) of the +SOURCE lines of record streams."""
+    lines = streams.where(F.col(text).isNotNull()).select(F.explode(F.split(text, "\n")).alias("l")).where("startswith(l, '+SOURCE ')")
+    pair = F.from_json(F.substring("l", 9, 1 << 30), "array<string>")
+    return lines.select(pair[0].cast("long").alias("id"), pair[1].alias("path"))
 
 
 def variable_lines(variables: DataFrame) -> DataFrame:
