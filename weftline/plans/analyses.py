@@ -177,12 +177,17 @@ def argument_catalogue(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(graphs._INDEX + """, vt AS (SELECT q.mid AS qmid, x.mid FROM ix q JOIN ix x ON x.path = q.path AND x.size = q.size AND x.mid <> q.mid WHERE q.mid % 20 = 0 AND q.size >= 2 GROUP BY 1, 2 HAVING count(DISTINCT q.nid) >= 2 AND count(DISTINCT x.nid) >= 2),
-    rt AS (SELECT v.qmid, v.mid, x.nid AS a, y.nid AS b FROM vt v JOIN kn x ON x.mid = v.qmid AND x.key IS NOT NULL JOIN kn y ON y.mid = v.mid AND y.key = x.key),
-    eg AS (SELECT DISTINCT r.qmid, r.mid, r.a, r.b, s.src AS c, t.src AS e FROM rt r JOIN stp s ON s.nid = r.a JOIN stp t ON t.nid = r.b AND t.label = s.label JOIN rt z ON z.qmid = r.qmid AND z.mid = r.mid AND z.a = s.src AND z.b = t.src),
-    tr AS (SELECT qmid, mid, a AS ra, b AS rb, a, b, 1 AS level FROM rt WHERE NOT EXISTS (SELECT 1 FROM eg WHERE eg.qmid = rt.qmid AND eg.mid = rt.mid AND eg.c = rt.a AND eg.e = rt.b)
-      UNION SELECT t.qmid, t.mid, t.ra, t.rb, g.c, g.e, t.level + 1 FROM tr t JOIN eg g ON g.qmid = t.qmid AND g.mid = t.mid AND g.a = t.a AND g.b = t.b WHERE t.level < 60),
-    wd AS (SELECT qmid, mid, a, b, count(*) AS w FROM eg GROUP BY 1, 2, 3, 4),
-    mt AS (SELECT qmid, mid, count(DISTINCT a) AS n_nodes, max(level) AS depth, greatest(max(coalesce(w, 0)), 1) AS branch FROM (SELECT qmid, mid, ra, rb, a, b, min(level) AS level FROM tr GROUP BY ALL) LEFT JOIN wd USING (qmid, mid, a, b) GROUP BY qmid, mid, ra, rb HAVING count(DISTINCT a) >= 2 AND max(level) >= 2)
+    shp AS (SELECT k.nid, k.mid, k.key, coalesce(bit_xor(hash(s.label || ':' || c.key)), 0) AS h FROM kn k LEFT JOIN stp s ON s.nid = k.nid LEFT JOIN kn c ON c.nid = s.src WHERE k.key IS NOT NULL AND k.mid IS NOT NULL GROUP BY 1, 2, 3),
+    num AS (SELECT *, row_number() OVER (PARTITION BY mid, key, h ORDER BY nid) AS nth FROM shp),
+    sm AS (SELECT v.qmid, v.mid, x.nid AS a, y.nid AS b FROM vt v JOIN num x ON x.mid = v.qmid JOIN num y ON y.mid = v.mid AND y.key = x.key AND y.h = x.h AND y.nth = x.nth),
+    ra AS (SELECT v.qmid, v.mid, x.key, x.nid AS a, row_number() OVER (PARTITION BY v.qmid, v.mid, x.key ORDER BY x.nid) AS nth FROM vt v JOIN num x ON x.mid = v.qmid WHERE NOT EXISTS (SELECT 1 FROM sm WHERE sm.qmid = v.qmid AND sm.mid = v.mid AND sm.a = x.nid)),
+    rb AS (SELECT v.qmid, v.mid, y.key, y.nid AS b, row_number() OVER (PARTITION BY v.qmid, v.mid, y.key ORDER BY y.nid) AS nth FROM vt v JOIN num y ON y.mid = v.mid WHERE NOT EXISTS (SELECT 1 FROM sm WHERE sm.qmid = v.qmid AND sm.mid = v.mid AND sm.b = y.nid)),
+    rt AS (SELECT * FROM sm UNION ALL SELECT qmid, mid, a, b FROM ra JOIN rb USING (qmid, mid, key, nth)),
+    ks AS (SELECT s.nid, s.label, s.src, k.key FROM stp s JOIN kn k ON k.nid = s.src AND k.mid IS NOT NULL),
+    tr AS (SELECT qmid, mid, a AS ra, b AS rb, a, b, 1 AS level FROM rt
+      UNION SELECT t.qmid, t.mid, t.ra, t.rb, x.src, y.src, t.level + 1 FROM tr t JOIN ks x ON x.nid = t.a JOIN ks y ON y.nid = t.b AND y.label = x.label AND y.key = x.key WHERE t.level < 60),
+    wd AS (SELECT a, b, count(DISTINCT (x.src, y.src)) AS w FROM (SELECT DISTINCT a, b FROM tr) t JOIN ks x ON x.nid = t.a JOIN ks y ON y.nid = t.b AND y.label = x.label AND y.key = x.key GROUP BY 1, 2),
+    mt AS (SELECT qmid, mid, count(DISTINCT a) AS n_nodes, max(level) AS depth, greatest(max(coalesce(w, 0)), 1) AS branch FROM (SELECT qmid, mid, ra, rb, a, b, min(level) AS level FROM tr GROUP BY ALL) LEFT JOIN wd USING (a, b) GROUP BY qmid, mid, ra, rb HAVING count(DISTINCT a) >= 2 AND max(level) >= 2)
     SELECT qmid, mid, n_nodes, CAST(depth AS BIGINT) AS depth, CAST(branch AS BIGINT) AS branch FROM (SELECT * FROM mt QUALIFY row_number() OVER (PARTITION BY qmid, mid ORDER BY n_nodes DESC, depth DESC, branch DESC) = 1) QUALIFY row_number() OVER (PARTITION BY qmid ORDER BY n_nodes DESC, depth DESC, mid) = 1""")
 def structural_matches(spark: SparkSession, d: str) -> DataFrame:
     """For every twentieth method the method with the greatest common tree: nodes, depth and branching of the match."""
