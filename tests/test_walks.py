@@ -61,3 +61,20 @@ def test_order_of_calls(spark):
     calls = spark.createDataFrame([(2, 1), (4, 1), (6, 1), (8, None)], "nid bigint, mid bigint")
     got = {tuple(r) for r in walks.call_order(calls, edges, nodes).collect()}
     assert got == {(1, None, 2), (1, 2, 4), (1, 2, 6), (1, 4, None), (1, 6, None), (1, None, None)}
+
+
+def test_longest_ways_match_returns(program):
+    nodes, links, edges = program
+    # the callee's input is fed, so the ways from unfed inputs need one
+    from pyspark.sql import functions as F
+
+    more = nodes.unionByName(nodes.limit(1).select(F.lit(9).cast("long").alias("nid"), F.lit(1).cast("long").alias("mid"), F.lit("input").alias("kind"), F.lit("#arg0").alias("ref_name"), F.lit(None).cast("string").alias("ndata"), "ntype"))
+    more = more.unionByName(more.limit(1).select(F.lit(16).cast("long").alias("nid"), F.lit(1).cast("long").alias("mid"), F.lit("output").alias("kind"), F.lit("#return").alias("ref_name"), F.lit(None).cast("string").alias("ndata"), "ntype"))
+    extra = links.limit(2).withColumn("k", F.monotonically_increasing_id() % 2)
+    joined = links.unionByName(extra.select(F.lit(90).cast("long").alias("lid"), F.lit(10).cast("long").alias("nid0"), F.lit(9).cast("long").alias("nid1"), F.lit("").alias("label")).limit(1)).unionByName(extra.select(F.lit(91).cast("long").alias("lid"), F.lit(16).cast("long").alias("nid0"), F.lit(15).cast("long").alias("nid1"), F.lit("").alias("label")).limit(1))
+    inner = joined.selectExpr("nid1 as src", "nid0 as dst", "label", "cast(null as bigint) as funcall", "cast(null as string) as way")
+    both = inner.unionByName(edges.where("way is not null"))
+    got = {tuple(r) for r in walks.longest_ways(both, more, 16).collect()}
+    # 9 10 | 20 21 22 23 24 25 26 27 | 12 13 14 15 16: a, b, y and z are assigned
+    assert got == {(9, 16, 4, 15)}
+    assert {tuple(r) for r in walks.longest_ways(both, more, 8).collect()} == {(9, 16, 2, 8)}

@@ -301,6 +301,28 @@ def matched_flows(edges: DataFrame, nodes: DataFrame, starts: DataFrame, most_ca
     return flows.where(different).distinct().groupBy("src_ref", "dst_ref").agg(F.count(F.lit(1)).alias("n_contexts"))
 
 
+def longest_ways(edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """(start, nid, assigned, n_nodes): the longest way of up to ``most`` nodes from each input that nothing feeds to each output or return.
+
+    Assignments of variables count first, then nodes. A way that enters a callee leaves it at the same call, and ends where
+    it has left all. Of the ways of one length to a place, only the one with most assignments can become the longest.
+    """
+    kinds = nodes.select(F.col("nid").alias("dst"), F.coalesce(F.col("kind") == "assign_var", F.lit(False)).cast("long").alias("one"), F.coalesce(F.col("kind").isin("output", "return"), F.lit(False)).alias("ends"))
+    steps = cut(_real(edges).select(F.col("src").alias("nid"), "dst", "funcall", "way").distinct().join(kinds, "dst"))
+    fed = steps.select(F.col("dst").alias("nid"))
+    front = nodes.where("kind = 'input'").join(fed, "nid", "left_anti").select(F.col("nid").alias("start"), "nid", F.array().cast("array<bigint>").alias("stack"), _long(0).alias("a"))
+    top, found = F.try_element_at("stack", F.lit(-1)), None
+    for k in range(2, most + 1):
+        x = front.join(steps, "nid")
+        allowed = F.when(F.col("way") == "in", ~F.array_contains("stack", F.col("funcall"))).when(F.col("way") == "out", F.coalesce(top == F.col("funcall"), F.lit(False))).otherwise(F.lit(True))
+        stack = F.when(F.col("way") == "in", F.concat("stack", F.array("funcall"))).when(F.col("way") == "out", F.slice("stack", 1, F.size("stack") - 1)).otherwise(F.col("stack"))
+        moved = cut(x.where(allowed).groupBy("start", F.col("dst").alias("nid"), stack.alias("stack"), "ends").agg(F.max(F.col("a") + F.col("one")).alias("a")))
+        hits = moved.where("ends and size(stack) = 0").select("start", "nid", F.struct(F.col("a").alias("assigned"), _long(k).alias("n_nodes")).alias("x"))
+        found = hits if found is None else found.unionByName(hits)
+        front = moved.select("start", "nid", "stack", "a")
+    return found.groupBy("start", "nid").agg(F.max("x").alias("x")).select("start", "nid", "x.assigned", "x.n_nodes")
+
+
 def shortest_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(from_ref, to_ref, n): the shortest backward chain, in nodes, from a reference to the next one over kinds that keep the value."""
     ref, kind = F.col("ref_name"), F.col("kind")

@@ -14,7 +14,7 @@ from weftline.frontend import build
 from weftline.functions import names as fn
 from weftline.functions import syntax_kinds
 from weftline.functions import text as tx
-from weftline.operators import bayes, classes, spans, stitch
+from weftline.operators import bayes, classes, spans, walks
 from weftline.plans import graphs, scans, words
 from weftline.sources import comments, graph_xml, records, stores
 from weftline.streaming import increments
@@ -148,23 +148,14 @@ def _block_column(files: DataFrame) -> DataFrame:
     return files.where(at > 0).select("uid", tx.column_position(F.substring("src_text", F.lit(1), at - 1)).alias("col"))
 
 
-@query(""", real AS (SELECT DISTINCT nid1, nid0 FROM links WHERE NOT starts_with(label, '_')), lw AS (SELECT nid AS start, nid, 0 AS a, 1 AS n FROM nodes WHERE kind = 'input'
-      UNION SELECT w.start, r.nid0, w.a + (CASE WHEN starts_with(coalesce(k.kind, ''), 'assign') THEN 1 ELSE 0 END), w.n + 1 FROM lw w JOIN real r ON r.nid1 = w.nid JOIN nodes k ON k.nid = r.nid0 WHERE w.n < 8)
-    SELECT start, w.nid, CAST(max(w.a * 100 + w.n) AS BIGINT) AS longest FROM lw w JOIN nodes k ON k.nid = w.nid AND k.kind IN ('output', 'return') GROUP BY start, w.nid""")
+@query(scans._IDF + """, le AS (SELECT DISTINCT src, dst, funcall, way FROM idf WHERE NOT starts_with(label, '_')),
+    lw AS (SELECT nid AS start, nid, CAST([] AS BIGINT[]) AS stack, 0 AS a, 1 AS n FROM nodes WHERE kind = 'input' AND nid NOT IN (SELECT dst FROM le)
+      UNION SELECT w.start, e.dst, CASE WHEN e.way = 'in' THEN list_append(w.stack, e.funcall) WHEN e.way = 'out' THEN w.stack[1:len(w.stack) - 1] ELSE w.stack END, w.a + (CASE WHEN k.kind = 'assign_var' THEN 1 ELSE 0 END), w.n + 1
+        FROM lw w JOIN le e ON e.src = w.nid JOIN nodes k ON k.nid = e.dst WHERE w.n < 12 AND (e.way IS NULL OR (e.way = 'in' AND NOT list_contains(w.stack, e.funcall)) OR (e.way = 'out' AND len(w.stack) > 0 AND w.stack[-1] = e.funcall)))
+    SELECT start, w.nid, CAST(max(w.a * 100 + w.n) AS BIGINT) AS longest FROM lw w JOIN nodes k ON k.nid = w.nid AND k.kind IN ('output', 'return') WHERE len(w.stack) = 0 AND w.n > 1 GROUP BY start, w.nid""")
 def longest_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Longest way from each input to each output within eight nodes: assignments count first, then nodes."""
-    n = m.nodes(spark, d)
-    kinds = n.select(F.col("nid").alias("nid0"), F.coalesce(F.col("kind").startswith("assign"), F.lit(False)).cast("int").alias("one"), F.coalesce(F.col("kind").isin("output", "return"), F.lit(False)).alias("out"))
-    steps = cut(m.links(spark, d).where(~F.col("label").startswith("_")).select(F.col("nid1").alias("nid"), "nid0").distinct().join(kinds, "nid0"))
-    front = n.where("kind = 'input'").select(F.col("nid").alias("start"), "nid", F.lit(0).alias("a"))
-    found = None
-    for k in range(2, 9):
-        # of the ways of equal length to a node only the one with most assignments can become the longest
-        front = cut(front.join(steps, "nid").groupBy("start", F.col("nid0").alias("nid"), "out").agg(F.max(F.col("a") + F.col("one")).alias("a")))
-        hits = front.where("out").select("start", "nid", (F.col("a") * 100 + k).cast("long").alias("longest"))
-        found = hits if found is None else found.unionByName(hits)
-        front = front.select("start", "nid", "a")
-    return found.groupBy("start", "nid").agg(F.max("longest").alias("longest"))
+    """Longest way from every input that nothing feeds to each output, over calls with their returns matched: assignments count first, then nodes; up to twelve nodes."""
+    return walks.longest_ways(scans.stitched(spark, d), m.nodes(spark, d), 12).select("start", "nid", (F.col("assigned") * 100 + F.col("n_nodes")).alias("longest"))
 
 
 @query(scans._IDF + """, lc AS (SELECT l.nid0, l.nid1, l.label = 'cond' AS c FROM links l JOIN nodes e ON e.nid = l.nid0 AND e.kind = 'end' WHERE NOT starts_with(l.label, '_')),
