@@ -8,8 +8,10 @@ import pytest
 from weftline.llm import leakage, packing, simjoin, termfreq
 
 
-@pytest.mark.parametrize("max_n,least,block", [(3, 1, 1 << 20), (3, 1, 5), (4, 2, 30), (None, 2, 50), (None, 3, 1 << 20)])
-def test_ngrams_against_counting(spark, max_n, least, block):
+@pytest.mark.parametrize("max_n,least,block", [(3, 1, 1 << 20), (3, 1, 5), (4, 2, 30), (4, 2, 31), (5, 3, 1 << 20), (None, 2, 50), (None, 3, 1 << 20)])
+def test_ngrams_against_counting(spark, monkeypatch, max_n, least, block):
+    if block in (30, 50):  # as if the repeated n-grams were too many to be held by every task
+        monkeypatch.setattr(termfreq, "fits_broadcast", lambda df: False)
     rnd = random.Random(3)
     docs = {d: [rnd.choice(["a", "a", "a", "b", "é c"]) for _ in range(rnd.randrange(12))] for d in range(25)}
     docs[98] = docs[97] = [str(k) for k in range(40)]

@@ -30,7 +30,8 @@ def p3_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_text_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of up to five words that occur twice or more in all texts: occurrences, and documents that have them."""
-    words = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = F.regexp_extract_all(F.translate("text", letters.upper(), letters), F.lit("[a-z0-9]+"), F.lit(0))
     texts = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("doc"), words.alias("words"))
     return termfreq.word_ngrams(texts, 5, least=2)
 

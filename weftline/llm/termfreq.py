@@ -6,8 +6,9 @@ interval of one n-gram. Its length is the number of occurrences; the records are
 equal records once the interval is ordered by record. A record lies in one block only, so the counts of an n-gram from
 different blocks add up, and however frequent it is, a block sends one row for it.
 
-N-grams of any length come in rounds: the first counts n = 1, the next 2 .. 3, then 4 .. 7 and so on. What starts at a position
-whose n-gram occurs once in all of the collection occurs once itself, so such positions take no part in further rounds.
+What starts at a position whose n-gram occurs once in all of the collection occurs once itself, so such positions take no part
+beyond n. Where n-grams that occur once are not asked for, light passes find for n = 1, 2, ... the hashes that occur again, and
+one pass counts what is left. Without a greatest n, rounds count n = 1, then 2 .. 3, then 4 .. 7 and so on.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.common import cut, lookup_join, one_per_key
+from weftline.common import cut, fits_broadcast, lookup_join, one_per_key
 
 #: Tokens of a block; a longer record is a block for itself.
 BLOCK_TOKENS = 1 << 20
 _PAD = np.iinfo(np.int64).min
 _NO_DOC = np.iinfo(np.int64).min
-_COUNTS = "n bigint, h1 bigint, h2 bigint, occurrences bigint, weight bigint, records bigint, rid bigint, pos bigint"
+_COUNTS = "n bigint, h1 bigint, h2 bigint, occurrences bigint, records bigint, rid bigint, pos bigint"
 
 
 def suffix_array(tokens: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
@@ -48,12 +49,12 @@ def _mixed(h: np.ndarray, token: np.ndarray, factor: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def intervals(tokens: np.ndarray, ends: np.ndarray, doc: np.ndarray, weight: np.ndarray, starts: np.ndarray, low: int, high: int) -> Iterator[tuple]:
+def intervals(tokens: np.ndarray, ends: np.ndarray, doc: np.ndarray, weight: np.ndarray, starts: np.ndarray, low: int, high: int, rank: np.ndarray | None = None) -> Iterator[tuple]:
     """For n = low .. high: (n, first position of each interval, h1, h2, occurrences, weight, records).
 
     ``doc``, ``ends`` and ``weight`` are those of the positions' records; only the suffixes at ``starts`` take part.
     """
-    rank = suffix_array(tokens, ends, high)
+    rank = suffix_array(tokens, ends, high) if rank is None else rank
     order = starts[np.lexsort((doc[starts], rank[starts]))]
     size, last = ends[order] - order, len(tokens) - 1
     same = np.ones(len(order), dtype=bool)
@@ -85,49 +86,101 @@ def intervals(tokens: np.ndarray, ends: np.ndarray, doc: np.ndarray, weight: np.
         yield n, order[begins], h1[begins].view(np.int64), h2[begins].view(np.int64), occurrences, sums, records
 
 
-def _rows(tokens, ends, doc, weight, starts, low, high, rid, begin) -> Iterator[pa.RecordBatch]:
-    for n, at, h1, h2, occurrences, sums, records in intervals(tokens, ends, doc, weight, starts, low, high):
-        columns = [np.full(len(at), n), h1, h2, occurrences, sums, records, rid[at], at - begin[at]]
+def _grams(tokens: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two hashes of the n-grams at ``starts``, all of which lie within their records."""
+    h1, h2 = np.zeros(len(starts), dtype=np.uint64), np.ones(len(starts), dtype=np.uint64)
+    for k in range(n):
+        t = tokens[starts + k]
+        h1, h2 = _mixed(h1, t, 0x9E3779B97F4A7C15), _mixed(h2, t, 0xC2B2AE3D27D4EB4F)
+    return h1.view(np.int64), h2.view(np.int64)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[dict[str, np.ndarray]]:
+    """The records of a task in blocks: tokens, and for every position the end, begin, doc and rid of its record; ``starts`` if chosen."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def block() -> dict[str, np.ndarray]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        lists = rows["tokens"].combine_chunks()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        tokens, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+        spread = lambda x: np.repeat(x, sizes)
+        out = {"tokens": tokens, "begin": spread(ends - sizes), "end": spread(ends), "rid": spread(rows["rid"].to_numpy()), "starts": np.arange(len(tokens), dtype=np.int64)}
+        if "doc" in rows.column_names:
+            out["doc"] = spread(rows["doc"].fill_null(_NO_DOC).to_numpy())
+        if "starts" in rows.column_names:
+            active = rows["starts"].combine_chunks()
+            out["starts"] = active.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(ends - sizes, active.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        return out
+
+    for batch in batches:
+        held.append(batch)
+        size += len(batch["tokens"].flatten())
+        if size >= block_tokens:
+            yield block()
+            held, size = [], 0
+    if size:
+        yield block()
+
+
+def _known(b: dict[str, np.ndarray], starts: np.ndarray, n: int, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of n-grams within their records whose first hash is in ``known`` (sorted), if given, and these hashes."""
+    starts = starts[starts + n <= b["end"][starts]]
+    h = _grams(b["tokens"], starts, n)[0]
+    if known is None:
+        return starts, h
+    inside = known[np.searchsorted(known, h).clip(max=len(known) - 1)] == h if len(known) else np.zeros(len(h), dtype=bool)
+    return starts[inside], h[inside]
+
+
+def _again(records: DataFrame, n: int, before, least: int, block_tokens: int) -> DataFrame:
+    """(h1) of the n-grams that occur ``least`` times or more; ``before`` has those of n - 1."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _blocks(batches, block_tokens):
+            starts = b["starts"] if before is None else _known(b, b["starts"], n - 1, before.value)[0]
+            h, c = np.unique(_known(b, starts, n, None)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.astype(np.int32))], names=["h1", "c"])
+
+    sums = records.select("rid", "tokens").mapInArrow(count, "h1 bigint, c int").groupBy("h1").agg(F.sum("c").alias("c"))
+    return sums.where(F.col("c") >= least).select("h1")
+
+
+def _chosen(records: DataFrame, sets: list, block_tokens: int) -> DataFrame:
+    """Counts of the n-grams whose first hash is in the n-th of ``sets``: one suffix array for all n."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _blocks(batches, block_tokens):
+            rank = suffix_array(b["tokens"], b["end"], len(sets))
+            starts = b["starts"]
+            for n, known in enumerate(sets, 1):
+                starts = _known(b, starts, n, known.value)[0]
+                yield from _counts(b, starts, n, n, rank)
+
+    return _summed(records.select("rid", "doc", "tokens").mapInArrow(count, _COUNTS))
+
+
+def _counts(b: dict[str, np.ndarray], starts: np.ndarray, low: int, high: int, rank: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    for n, at, h1, h2, occurrences, _, in_records in intervals(b["tokens"], b["end"], b["doc"], np.ones(len(b["tokens"]), np.int64), starts, low, high, rank):
+        columns = [np.full(len(at), n), h1, h2, occurrences, in_records, b["rid"][at], at - b["begin"][at]]
         yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=[c.split()[0] for c in _COUNTS.split(", ")])
 
 
 def _counted(records: DataFrame, low: int, high: int, block_tokens: int) -> DataFrame:
-    """Counts of the n-grams with n from ``low`` to ``high`` of (rid, doc, tokens, starts): blocks first, then their sums."""
+    """Counts of the n-grams with n from ``low`` to ``high`` of (rid, doc, tokens) at all positions, or at ``starts`` if there is such a column."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            held.append(batch)
-            size += len(batch["tokens"].flatten())
-            if size >= block_tokens:
-                yield from block(pa.Table.from_batches(held))
-                held, size = [], 0
-        if held:
-            yield from block(pa.Table.from_batches(held))
-
-    def block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows = rows.combine_chunks()
-        lists, active = rows["tokens"].combine_chunks(), rows["starts"].combine_chunks()
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        tokens = lists.flatten().to_numpy(zero_copy_only=False)
-        if not len(tokens):
-            return
-        ends = np.cumsum(sizes)
-        spread = lambda x: np.repeat(x, sizes)
-        begin = spread(ends - sizes)
-        chosen = active.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        starts = active.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(ends - sizes, chosen)
-        doc = rows["doc"].fill_null(_NO_DOC).to_numpy()
-        yield from _rows(tokens, spread(ends), spread(doc), np.ones(len(tokens), np.int64), starts, low, high, spread(rows["rid"].to_numpy()), begin)
+        for b in _blocks(batches, block_tokens):
+            yield from _counts(b, b["starts"], low, high)
 
-    return _summed(records.select("rid", "doc", "tokens", "starts").mapInArrow(count, _COUNTS))
+    fields = ["rid", "doc", "tokens", *(["starts"] if "starts" in records.columns else [])]
+    return _summed(records.select(*fields).mapInArrow(count, _COUNTS))
 
 
 def _summed(parts: DataFrame) -> DataFrame:
-    place = F.min(F.struct("rid", "pos")).alias("p")
-    sums = [F.sum(c).alias(c) for c in ("occurrences", "weight", "records")]
-    return parts.groupBy("n", "h1", "h2").agg(*sums, place).select("n", "h1", "h2", "occurrences", "weight", "records", "p.rid", "p.pos")
+    sums = [F.sum(c).alias(c) for c in ("occurrences", "records")]
+    return parts.groupBy("n", "h1", "h2").agg(*sums, F.min("rid").alias("rid"), F.min_by("pos", "rid").alias("pos"))
 
 
 def word_ngrams(texts: DataFrame, max_n: int | None = 2, least: int = 1, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -142,47 +195,67 @@ def word_ngrams(texts: DataFrame, max_n: int | None = 2, least: int = 1, block_t
         raise ValueError("all lengths can only be listed for n-grams that occur twice")
     words = F.filter("words", lambda w: w.isNotNull())
     named = texts.where("words is not null").select("doc", words.alias("words")).where(F.size("words") > 0)
-    named = cut(named.select(F.monotonically_increasing_id().alias("rid"), "doc", "words"))
+    # a record is known by its content, so that no round depends on what an earlier one has stored
+    named = named.select(F.xxhash64("doc", "words").alias("rid"), "doc", "words")
     tokens = F.transform("words", lambda w: F.xxhash64(w))
-    records = named.select("rid", "doc", tokens.alias("tokens"), F.sequence(F.lit(0), F.size("words") - 1).alias("starts"))
-    found, low = None, 1
+    records = named.select("rid", "doc", tokens.alias("tokens"))
+    if least == 1:
+        found = cut(_counted(records, 1, max_n, block_tokens))
+    else:
+        records = cut(records)
+        found = _repeated(records, max_n, least, block_tokens)
+    # the words of an n-gram stand at its first place
+    places = found.groupBy("rid").agg(F.collect_list(F.struct("n", "pos", "occurrences", "records")).alias("grams"))
+    spelled = named.select("rid", "words").join(places, "rid").groupBy("rid").agg(F.first("words").alias("words"), F.first("grams").alias("grams")).select("words", F.explode("grams").alias("g"))
+    gram = F.array_join(F.slice("words", (F.col("g.pos") + 1).cast("int"), F.col("g.n").cast("int")), " ")
+    return spelled.select("g.n", gram.alias("ngram"), "g.occurrences", "g.records")
+
+
+def _repeated(records: DataFrame, max_n: int | None, least: int, block_tokens: int) -> DataFrame:
+    """Counts of the n-grams that occur ``least`` times or more."""
+    sets: list = []
+    sc = records.sparkSession.sparkContext
+    while max_n is not None and len(sets) < max_n:
+        again = cut(_again(records, len(sets) + 1, sets[-1] if sets else None, least, block_tokens))
+        if not fits_broadcast(again):
+            break
+        sets.append(sc.broadcast(np.sort(again.toPandas()["h1"].to_numpy(dtype=np.int64))))
+        if not len(sets[-1].value):
+            max_n = len(sets)
+    found = cut(_chosen(records, sets, block_tokens).where(F.col("occurrences") >= least)) if sets else None
+    low = len(sets) + 1
+    if max_n is not None and low > max_n:
+        return found
+    # too many to be held by every task, or no greatest n: rounds of joins
+    active = records.withColumn("starts", F.sequence(F.lit(0), F.size("tokens") - 1))
     while max_n is None or low <= max_n:
-        high = 2 * low - 1 if least > 1 else max_n
-        high = high if max_n is None else min(high, max_n)
-        counts = cut(_counted(records, low, high, block_tokens))
-        kept = counts.where(F.col("occurrences") >= least)
-        found = kept if found is None else found.unionByName(kept)
+        high = 2 * low - 1 if max_n is None else min(max_n, 2 * low - 1)
+        counts = cut(_counted(active, low, high, block_tokens).where(F.col("occurrences") >= least))
+        found = counts if found is None else found.unionByName(counts)
         low = high + 1
-        if max_n is None or low <= max_n:
-            records = cut(_still_active(records, counts.where((F.col("n") == high) & (F.col("occurrences") >= least)), high))
-            if records.isEmpty():
-                break
-    # the words of an n-gram stand at its first place
-    spelled = found.join(named.select("rid", "words"), "rid")
-    gram = F.array_join(F.slice("words", (F.col("pos") + 1).cast("int"), F.col("n").cast("int")), " ")
-    return spelled.select("n", gram.alias("ngram"), "occurrences", "records")
+        again = counts.where(F.col("n") == high)
+        if (max_n is not None and low > max_n) or again.isEmpty():
+            break
+        active = cut(_still_active(active, again, high))
+    return found
 
 
 def _still_active(records: DataFrame, repeated: DataFrame, n: int) -> DataFrame:
-    """The records with those starts whose n-gram is among ``repeated``."""
+    """The records with those starts whose n-gram is among ``repeated``: for more n-grams than all tasks can hold."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rid, tokens, starts in zip(batch["rid"].to_pylist(), batch["tokens"], batch["starts"]):
                 t, at = tokens.values.to_numpy(zero_copy_only=False), starts.values.to_numpy(zero_copy_only=False).astype(np.int64)
                 at = at[at + n <= len(t)]
-                if not len(at):
-                    continue
-                h1, h2 = np.zeros(len(at), dtype=np.uint64), np.ones(len(at), dtype=np.uint64)
-                for k in range(n):
-                    h1, h2 = _mixed(h1, t[at + k], 0x9E3779B97F4A7C15), _mixed(h2, t[at + k], 0xC2B2AE3D27D4EB4F)
-                columns = [np.full(len(at), rid), h1.view(np.int64), h2.view(np.int64), at]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rid", "h1", "h2", "at"])
+                if len(at):
+                    columns = [np.full(len(at), rid), *_grams(t, at, n), at]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rid", "h1", "h2", "at"])
 
     placed = records.select("rid", "tokens", "starts").mapInArrow(grams, "rid bigint, h1 bigint, h2 bigint, at bigint")
-    # a frequent n-gram is looked up from all tasks: the small side goes to them, or is repeated per salt
+    # a frequent n-gram is looked up from all tasks: its side is repeated per salt
     hits = lookup_join(placed.withColumn("g", F.struct("h1", "h2")), repeated.select(F.struct("h1", "h2").alias("g")), "g", "left_semi")
-    starts = hits.groupBy("rid").agg(F.array_sort(F.collect_list("at")).alias("starts"))
+    starts = hits.groupBy("rid").agg(F.array_sort(F.collect_set("at")).alias("starts"))
     return records.drop("starts").join(starts, "rid")
 
 
