@@ -219,7 +219,7 @@ def _repeated(records: DataFrame, max_n: int | None, least: int, block_tokens: i
         again = cut(_again(records, len(sets) + 1, sets[-1] if sets else None, least, block_tokens))
         if not fits_broadcast(again):
             break
-        sets.append(sc.broadcast(np.sort(again.toPandas()["h1"].to_numpy(dtype=np.int64))))
+        sets.append(sc.broadcast(np.sort(again.toArrow()["h1"].to_numpy().astype(np.int64))))
         if not len(sets[-1].value):
             max_n = len(sets)
     found = cut(_chosen(records, sets, block_tokens).where(F.col("occurrences") >= least)) if sets else None
