@@ -138,7 +138,7 @@ def record_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT count(DISTINCT (doc_id, grp)) AS n_records, count(DISTINCT (doc_id, grp)) AS n_equal FROM (SELECT doc_id, line, sum(CASE WHEN trim(line, ' ' || chr(9) || chr(13)) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY nth) AS grp
-    FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS nth FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_kind = 'report' AND text IS NOT NULL))) WHERE regexp_matches(line, '^\+[A-Z]+( |$)')""")
+    FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS nth FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_kind = 'report' AND text IS NOT NULL))) WHERE regexp_matches(line, '^[+][A-Z]+( |$)')""")
 def record_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Records of reports read, written as streams and read again: the number of records that stay equal."""
     docs = table(spark, d, "documents").where("doc_kind = 'report'")
