@@ -3,8 +3,12 @@
 import math
 import random
 import time
+from pathlib import Path
 
-from weftline.operators import bayes
+import numpy as np
+
+from weftline import common
+from weftline.operators import bayes, graph, slices
 
 
 def shuffled(spark) -> int:
@@ -41,3 +45,47 @@ def test_cosine_pairs_stay_in_their_tasks(spark):
     few = {(r.a, r.b): r.sim for r in bayes.cosine_pairs(df, 0.7, slice_entries=900).collect()}
     assert got == few and got.keys() == {p for p, s in want.items() if round(s, 6) >= 0.7} and len(got) >= 5
     assert all(abs(s - want[p]) < 1e-5 for p, s in got.items())
+
+
+def test_path_votes_stay_in_their_tasks(spark):
+    # 400 methods of 5 nodes, the paths of each node out of 30 common ones: any two methods share some
+    rnd = random.Random(4)
+    rows = sorted({(f"p{rnd.randrange(30)}", rnd.choice([1, 2, 3]), m, m * 10 + rnd.randrange(5)) for m in range(400) for _ in range(10)})
+    rows += [("p1", 2, None, 7)]
+    ix = spark.createDataFrame(rows, "path string, size bigint, mid bigint, nid bigint").coalesce(2)
+    at = {}
+    for p, k, m, n in rows:
+        if k >= 2 and m is not None:
+            at.setdefault(m, {}).setdefault((p, k), set()).add(n)
+    want = set()
+    for q in range(0, 400, 20):
+        for m in at:
+            common = at.get(q, {}).keys() & at[m].keys()
+            asked, found = ({n for p in common for n in at[x].get(p, ())} for x in (q, m))
+            if m != q and len(asked) >= 2 and len(found) >= 2 and (depth := max(k for _, k in common)) >= 3:
+                want.add((q, m, len(asked), len(found), depth))
+    before = shuffled(spark)
+    got = [tuple(r) for r in graph.path_votes(ix.where("mid % 20 = 0"), ix, 2, 3).collect()]
+    assert shuffled(spark) - before < 80_000
+    assert set(got) == want and len(got) == len(want) > 100
+    few = [tuple(r) for r in graph.path_votes(ix.where("mid % 20 = 0"), ix, 2, 3, slice_entries=50).collect()]
+    assert sorted(few) == sorted(got)
+
+
+def test_methods_with_many_meetings(monkeypatch):
+    rnd = np.random.default_rng(5)
+    s = graph._asked(*(rnd.integers(0, k, 300) for k in (20, 8, 60, 4)))
+    rows = np.unique(np.stack([rnd.integers(0, 6, 400), rnd.integers(0, 20, 400), rnd.integers(0, 90, 400)]), axis=1)
+    whole = [r for b in graph._voted(*rows, s, 2) for r in zip(*b.to_pydict().values())]
+    monkeypatch.setattr(slices, "HELD", 300)
+    assert sorted(r for b in graph._voted(*rows, s, 2) for r in zip(*b.to_pydict().values())) == sorted(whole) and whole
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    def files() -> set[str]:
+        return {p.name for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for p in Path(d.getPath()).rglob("shuffle_*.data")}
+
+    before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    df = common.cut(spark.range(1000).selectExpr("id % 10 as k", "id").groupBy("k").sum("id"))
+    assert not files() - before and df.count() == 10
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
