@@ -8,6 +8,7 @@ from pathlib import Path
 import numpy as np
 
 from weftline import common
+from weftline.llm import simjoin
 from weftline.operators import bayes, graph, slices
 
 
@@ -89,3 +90,20 @@ def test_a_cut_leaves_no_shuffle_files(spark):
     df = common.cut(spark.range(1000).selectExpr("id % 10 as k", "id").groupBy("k").sum("id"))
     assert not files() - before and df.count() == 10
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
+
+
+def test_candidates_below_the_threshold_are_not_written(spark):
+    # 600 sets that share half of their members: many pairs meet in a band, few of them are alike
+    rnd = random.Random(8)
+    sets = {k: sorted(rnd.sample(range(14), 7)) + [100 + k * 10 + j for j in range(5)] for k in range(600)}
+    sets |= {k + 600: sets[k][:-1] + [-k] for k in range(5)}
+    df = spark.createDataFrame([(k, m) for k, v in sets.items() for m in v], "id bigint, m bigint")
+    reps = common.cut(simjoin.sets_of(df, "id", "m"))
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = {(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.6}
+    before = shuffled(spark)
+    got = {(r.a, r.b) for r in simjoin.similar_reps(reps, 0.6, bands=256, rows=2, bucket_cap=1000).collect()}
+    assert shuffled(spark) - before < 2_800_000
+    assert got == want and len(got) >= 5
+    exact = {(r.a, r.b) for r in simjoin.prefix_pairs(reps, 0.6).collect()}
+    assert exact >= want

@@ -5,7 +5,9 @@ Records with equal sets form a class with one representative; only representativ
 Members of buckets above ``bucket_cap`` members, whose pairs must not be spelled out, go to an exact prefix-filter join
 instead: two sets of similarity t share a member among the rarest ``len - ceil(t * len) + 1`` of each. A task that sees
 such a bucket among its own records sends one row for it, so that a bucket with a third of all records never meets in one
-task. Candidates are verified on the whole sets.
+task. Every row carries the size of its set and a bitmap of 64 bits: two sets differ by at least as many members as their
+bitmaps by bits, so most candidates that cannot reach the similarity are dropped, without loss, before they are written. The rest are verified on
+the whole sets.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.common import cut, fits_broadcast
@@ -43,6 +45,11 @@ def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return member_of, reps
 
 
+def bitmap(members: str) -> Column:
+    """64 bits, of which each member sets one."""
+    return F.aggregate(members, F.lit(0).cast("long"), lambda bits, m: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(m), F.lit(64)).cast("int"))))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -66,7 +73,7 @@ def band_keys(values: np.ndarray, starts: np.ndarray, bands: int, rows: int) ->
 
 
 def bucket_rows(reps: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, bucket_cap: int = BUCKET_CAP) -> DataFrame:
-    """(bucket, id, crowd): one row per representative and band.
+    """(bucket, id, crowd, n, bits): one row per representative and band, with the size and the bitmap of its set.
 
     ``crowd`` is false there. A bucket with more than ``bucket_cap`` members in one batch comes as one row with ``crowd``
     true instead, and each of its members there as one row with ``crowd`` null.
@@ -76,7 +83,7 @@ def bucket_rows(reps: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, buck
         for batch in batches:
             sizes = batch["members"].value_lengths().to_numpy()
             values = batch["members"].flatten().to_numpy(zero_copy_only=False)
-            ids = batch["id"].to_numpy(zero_copy_only=False)[sizes > 0]
+            ids, bits = (batch[c].to_numpy(zero_copy_only=False)[sizes > 0] for c in ("id", "bits"))
             if not len(ids):
                 continue
             starts = np.concatenate([[0], np.cumsum(sizes[sizes > 0])[:-1]]).astype(np.int64)
@@ -84,38 +91,48 @@ def bucket_rows(reps: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, buck
             kinds, which, counts = np.unique(bucket, return_inverse=True, return_counts=True)
             hot = counts > bucket_cap
             met = np.unique(own[hot[which]])
-            yield _batch(bucket[~hot[which]], own[~hot[which]], crowd=False)
+            cold = ~hot[which]
+            yield _batch(bucket[cold], own[cold], False, np.repeat(sizes[sizes > 0], bands)[cold], np.repeat(bits, bands)[cold])
             if len(met):
                 yield _batch(kinds[hot], np.zeros(hot.sum(), np.int64), crowd=True)
                 yield _batch(_mix(met.astype(np.uint64)).view(np.int64), met, crowd=None)
 
-    return reps.select("id", "members").mapInArrow(keys, "bucket bigint, id bigint, crowd boolean")
+    return reps.select("id", "members", bitmap("members").alias("bits")).mapInArrow(keys, "bucket bigint, id bigint, crowd boolean, n int, bits bigint")
 
 
-def _batch(bucket: np.ndarray, ids: np.ndarray, crowd: bool | None) -> pa.RecordBatch:
+def _batch(bucket: np.ndarray, ids: np.ndarray, crowd: bool | None, n: np.ndarray | None = None, bits: np.ndarray | None = None) -> pa.RecordBatch:
     """Rows of one kind: members of a bucket (False), a crowded bucket (True), members of such ones (null)."""
-    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids), pa.array([crowd] * len(ids), pa.bool_())], names=["bucket", "id", "crowd"])
+    none = np.zeros(len(ids), np.int64)
+    cols = [pa.array(bucket), pa.array(ids), pa.array([crowd] * len(ids), pa.bool_()), pa.array((none if n is None else n).astype(np.int32)), pa.array(none if bits is None else bits)]
+    return pa.RecordBatch.from_arrays(cols, names=["bucket", "id", "crowd", "n", "bits"])
+
 
+def _bucket_pairs(bucket_cap: int, threshold: float = 0.0):
+    """Pairs of ids in equal buckets, and (id, null) for the members of crowded ones; the rows come sorted by bucket.
 
-def _bucket_pairs(bucket_cap: int):
-    """Pairs of ids in equal buckets, and (id, null) for the members of crowded ones; the rows come sorted by bucket."""
+    Pairs that sizes and bitmaps show to be below ``threshold`` are left out.
+    """
+    per_mille = round(threshold * 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int8)]
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int8), np.empty(0, np.int64), np.empty(0, np.int64)]
 
-        def emit(b: np.ndarray, i: np.ndarray, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def emit(b: np.ndarray, i: np.ndarray, kind: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
             alone = [i[kind == 2]]
-            b, i, kind = (c[kind != 2] for c in (b, i, kind))
+            b, i, kind, n, bits = (c[kind != 2] for c in (b, i, kind, n, bits))
             _, which, counts = np.unique(b, return_inverse=True, return_counts=True)
             hot = counts > bucket_cap
             hot[which[kind == 1]] = True
             alone.append(np.unique(i[hot[which] & (kind == 0)]))
-            b, i = b[~hot[which]], i[~hot[which]]
+            b, i, n, bits = (c[~hot[which]] for c in (b, i, n, bits))
             gap, found = 1, []
             while gap < len(b):
                 at = np.flatnonzero(b[gap:] == b[:-gap])
                 if not len(at):
                     break
+                sizes = n[at] + n[at + gap]
+                common = np.minimum((sizes - np.bitwise_count((bits[at] ^ bits[at + gap]).view(np.uint64))) // 2, np.minimum(n[at], n[at + gap]))
+                at = at[common * 1000 >= (sizes - common) * per_mille]
                 found.append((i[at], i[at + gap]))
                 gap += 1
             if found:
@@ -128,7 +145,7 @@ def _bucket_pairs(bucket_cap: int):
 
         for batch in batches:
             kind = batch["crowd"].cast(pa.int8()).fill_null(2).to_numpy()
-            held = [np.concatenate(pair) for pair in zip(held, (batch["bucket"].to_numpy(), batch["id"].to_numpy(), kind))]
+            held = [np.concatenate(pair) for pair in zip(held, (batch["bucket"].to_numpy(), batch["id"].to_numpy(), kind, batch["n"].to_numpy(), batch["bits"].to_numpy()))]
             if not len(held[0]):
                 continue
             last = int(np.searchsorted(held[0], held[0][-1]))
@@ -141,20 +158,24 @@ def _bucket_pairs(bucket_cap: int):
 
 def prefix_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs (a, b), a < b, of all sets that can reach ``threshold``: an exact prefix-filter join."""
-    flat = reps.select("id", F.size("members").alias("n"), F.explode("members").alias("m"))
+    flat = reps.select("id", F.size("members").alias("n"), bitmap("members").alias("bits"), F.explode("members").alias("m"))
     freq = flat.groupBy("m").agg(F.count(F.lit(1)).alias("df"))
-    ranked = flat.join(freq, "m").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "m"))).alias("ms"))
+    ranked = flat.join(freq, "m").groupBy("id", "n", "bits").agg(F.array_sort(F.collect_list(F.struct("df", "m"))).alias("ms"))
     length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)).cast("int") + 1
-    prefix = ranked.select("id", "n", F.explode(F.slice("ms", F.lit(1), length)).alias("m")).select("id", "n", "m.m")
-    x, y = prefix.toDF("a", "na", "m"), prefix.toDF("b", "nb", "m")
+    prefix = ranked.select("id", "n", "bits", F.explode(F.slice("ms", F.lit(1), length)).alias("m")).select("id", "n", "bits", "m.m")
+    x, y = prefix.toDF("a", "na", "ba", "m"), prefix.toDF("b", "nb", "bb", "m")
     small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    return x.join(y, "m").where((F.col("a") < F.col("b")) & (small >= F.lit(threshold) * large - F.lit(1e-9))).select("a", "b").distinct()
+    sizes = F.col("na") + F.col("nb")
+    # twice the most members that both can have
+    twice = sizes - F.bit_count(F.col("ba").bitwiseXOR(F.col("bb")))
+    can = (small >= F.lit(threshold) * large - F.lit(1e-9)) & (twice * (1000 + round(threshold * 1000)) >= sizes * 2 * round(threshold * 1000))
+    return x.join(y, "m").where((F.col("a") < F.col("b")) & can).select("a", "b").distinct()
 
 
 def similar_reps(reps: DataFrame, threshold: float, bands: int = BANDS, rows: int = BAND_ROWS, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """(a, b, common, total) for the pairs of representatives with common / total at or above ``threshold``."""
     keyed = bucket_rows(reps, bands, rows, bucket_cap)
-    met = cut(keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_pairs(bucket_cap), "a bigint, b bigint").distinct())
+    met = cut(keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_pairs(bucket_cap, threshold), "a bigint, b bigint").distinct())
     pairs = met.where("b is not null")
     crowd = met.where("b is null").select(F.col("a").alias("id"))
     if not crowd.isEmpty():
