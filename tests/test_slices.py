@@ -9,7 +9,7 @@ import numpy as np
 
 from weftline import common
 from weftline.llm import simjoin
-from weftline.operators import bayes, graph, slices
+from weftline.operators import bayes, graph, matching, slices
 
 
 def shuffled(spark) -> int:
@@ -107,3 +107,16 @@ def test_candidates_below_the_threshold_are_not_written(spark):
     assert got == want and len(got) >= 5
     exact = {(r.a, r.b) for r in simjoin.prefix_pairs(reps, 0.6).collect()}
     assert exact >= want
+
+
+def test_roots_of_large_methods_are_no_more_than_their_partners(spark):
+    # method 0 has 3,000 nodes of two keys, 60 others have four nodes each: two that feed a third, and one of another key
+    rows = [(k, 0, "xy"[k % 2]) for k in range(3000)] + [(10_000 + m * 10 + k, m, "xxyz"[k]) for m in range(1, 61) for k in range(4)]
+    links = [(k, k + 1, "") for k in range(0, 2998, 4)] + [(10_000 + m * 10 + 2, 10_000 + m * 10 + k, "") for m in range(1, 61) for k in (0, 1)]
+    n = spark.createDataFrame(rows, "nid bigint, mid bigint, key string").coalesce(2)
+    e = spark.createDataFrame(links, "nid0 bigint, nid1 bigint, label string").coalesce(2)
+    pairs = spark.createDataFrame([(0, m) for m in range(1, 61)] + [(m, 0) for m in range(1, 61)] + [(1, 2)], "qmid bigint, mid bigint").coalesce(2)
+    before = shuffled(spark)
+    got = {(r.qmid, r.mid): tuple(r)[2:] for r in matching.common_trees(n, e, pairs, 1, 1).collect()}
+    assert shuffled(spark) - before < 2_500_000
+    assert got == {(1, 2): (3, 2, 4)} | {p: (1, 1, 1) for m in range(1, 61) for p in ((0, m), (m, 0))}
