@@ -10,6 +10,7 @@ import numpy as np
 from weftline import common
 from weftline.llm import simjoin
 from weftline.operators import bayes, graph, matching, slices
+from weftline.plans import graphs, words
 
 
 def shuffled(spark) -> int:
@@ -120,3 +121,60 @@ def test_roots_of_large_methods_are_no_more_than_their_partners(spark):
     got = {(r.qmid, r.mid): tuple(r)[2:] for r in matching.common_trees(n, e, pairs, 1, 1).collect()}
     assert shuffled(spark) - before < 2_500_000
     assert got == {(1, 2): (3, 2, 4)} | {p: (1, 1, 1) for m in range(1, 61) for p in ((0, m), (m, 0))}
+
+
+def items_in_clusters(spark, folder: Path) -> tuple[str, dict[tuple[int, int], float]]:
+    """A folder with 903 items, of which 900 are in three clusters of some 45,000 similar pairs each, and the pairs of plain Python."""
+    rnd, items = random.Random(6), {}
+    for t in range(900):
+        items[t] = {t % 3 * 100 + k: 12 for k in range(8)} | {1000 + k: rnd.randrange(1, 4) for k in rnd.sample(range(40), 2)}
+    # one links two clusters, one has a feature alone, one is apart
+    items[900] = {k: 12 for k in range(8)} | {100 + k: 12 for k in range(8)}
+    items[901], items[902] = {5000: 2}, {1000: 1, 1039: 1}
+    rows = [(t, f, w) for t, v in items.items() for f, w in v.items()]
+    made = spark.createDataFrame([(k, k, *r) for k, r in enumerate(rows)], "sid0 bigint, sid1 bigint, tid bigint, fid bigint, feat_count bigint")
+    made.coalesce(2).write.parquet(f"{folder}/itemfeats.parquet")
+    freq = {}
+    for _, f, _ in rows:
+        freq[f] = freq.get(f, 0) + 1
+    unit, place = np.zeros((len(items), len(freq))), {f: k for k, f in enumerate(freq)}
+    for t, f, w in rows:
+        unit[t, place[f]] = w * math.log(len(items) / freq[f]) if freq[f] > 1 else 0
+    unit /= np.maximum(np.sqrt((unit**2).sum(axis=1)), 1e-300)[:, None]
+    sims = unit @ unit.T
+    return str(folder), {(a, b): sims[a, b] for a in items for b in items if a < b and round(sims[a, b], 6) >= 0.7}
+
+
+def stored(spark) -> int:
+    """Bytes of the tables that the application keeps."""
+    return sum(p.stat().st_size for p in (Path(common.shared_folder(spark)) / "stores").rglob("*.parquet"))
+
+
+def groups_of(pairs) -> dict[int, int]:
+    up = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        up[max(x, y)] = min(x, y)
+    return {x: top(x) for x in up}
+
+
+def test_item_groups_keep_no_pairs(spark, tmp_path):
+    d, pairs = items_in_clusters(spark, tmp_path)
+    before = stored(spark)
+    want = groups_of(pairs)
+    assert {r.node: r.cid for r in graphs.item_groups(spark, d).collect()} == want and len(set(want.values())) == 2 and len(pairs) > 50_000
+    assert stored(spark) - before < 300_000
+    few = bayes.cosine_groups(words.weighed_items(spark, d), 0.7, slice_entries=1500)
+    assert {r.node: r.cid for r in few.collect()} == want
+    # over many small components, joined over slices and tasks
+    rnd = random.Random(9)
+    rows = [(t, f"{t % 60}-{k}", rnd.randrange(1, 5)) for t in range(600) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc bigint, feat string, w bigint").repartition(3)
+    want = groups_of((r.a, r.b) for r in bayes.cosine_pairs(docs, 0.9).collect())
+    assert {r.node: r.cid for r in bayes.cosine_groups(docs, 0.9, slice_entries=900).collect()} == want and len(set(want.values())) > 60

@@ -88,11 +88,15 @@ _VSM = """, n AS (SELECT count(DISTINCT tid) AS n FROM cnt), df AS (SELECT fid,
     SELECT a, b, round(dot / (na.norm * nb.norm), 6) AS sim FROM s JOIN norm na ON na.tid = a JOIN norm nb ON nb.tid = b WHERE round(dot / (na.norm * nb.norm), 6) >= 0.7"""
 
 
+def weighed_items(spark: SparkSession, d: str) -> DataFrame:
+    """(doc, feat, w): the items as documents of features."""
+    return m.counts(spark, d).select(F.col("tid").alias("doc"), F.col("fid").alias("feat"), F.col("c").alias("w"))
+
+
 @query(_VSM)
 def similar_items(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of items by tf-idf cosine."""
-    docs = m.counts(spark, d).select(F.col("tid").alias("doc"), F.col("fid").alias("feat"), F.col("c").alias("w"))
-    return kept(spark, "similar_items", f"{d}/itemfeats.parquet", lambda: bayes.cosine_pairs(docs, 0.7))
+    return kept(spark, "similar_items", f"{d}/itemfeats.parquet", lambda: bayes.cosine_pairs(weighed_items(spark, d), 0.7))
 
 
 _NB = f""", wt AS (SELECT tid, coalesce(max(c) FILTER (fid = 0), max(c)) AS w FROM cnt GROUP BY tid), fcn AS (SELECT tid, fid, c FROM cnt WHERE fid <> 0),
