@@ -6,6 +6,7 @@ import time
 from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from weftline import common
 from weftline.llm import simjoin
@@ -178,3 +179,16 @@ def test_item_groups_keep_no_pairs(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc bigint, feat string, w bigint").repartition(3)
     want = groups_of((r.a, r.b) for r in bayes.cosine_pairs(docs, 0.9).collect())
     assert {r.node: r.cid for r in bayes.cosine_groups(docs, 0.9, slice_entries=900).collect()} == want and len(set(want.values())) > 60
+
+
+def test_similar_to_item_keeps_no_pairs(spark, tmp_path):
+    d, pairs = items_in_clusters(spark, tmp_path)
+    before = stored(spark)
+    got = {(r.tid, r.other): r.sim for r in words.similar_to_item(spark, d).collect()}
+    assert stored(spark) - before < 300_000
+    want = {p: s for (a, b), s in pairs.items() for p in ((a, b), (b, a)) if p[0] % 20 == 0}
+    assert got.keys() == want.keys() and len(got) > 5_000 and all(abs(s - want[p]) < 1e-5 for p, s in got.items())
+    few = bayes.cosine_matches(words.weighed_items(spark, d), F.col("doc") % 20 == 0, 0.7, slice_entries=100)
+    assert {(r.doc, r.other): r.sim for r in few.collect()} == got
+    none = bayes.cosine_matches(words.weighed_items(spark, d), F.col("doc") < 0, 0.7)
+    assert none.count() == 0

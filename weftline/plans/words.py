@@ -226,9 +226,7 @@ def renamed_items(spark: SparkSession, d: str) -> DataFrame:
 @query(_VSM.replace("SELECT a, b, round(dot", ", pairs AS (SELECT a, b, round(dot", 1) + ") SELECT tid, other, sim FROM (SELECT a AS tid, b AS other, sim FROM pairs UNION ALL SELECT b, a, sim FROM pairs) WHERE tid % 20 = 0")
 def similar_to_item(spark: SparkSession, d: str) -> DataFrame:
     """For every twentieth item all others that are similar to it."""
-    p = similar_items(spark, d)
-    both = p.select(F.col("a").alias("tid"), F.col("b").alias("other"), "sim").unionByName(p.select(F.col("b").alias("tid"), F.col("a").alias("other"), "sim"))
-    return both.where("tid % 20 = 0")
+    return bayes.cosine_matches(weighed_items(spark, d), F.col("doc") % 20 == 0, 0.7).withColumnRenamed("doc", "tid")
 
 
 @query(_NB + ", s AS (SELECT key, count(DISTINCT feat) AS n FROM fc GROUP BY key), big AS (SELECT key FROM s WHERE n >= 0.8 * (SELECT max(n) FROM s)) SELECT feat FROM fc WHERE key IN (SELECT key FROM big) GROUP BY feat HAVING count(DISTINCT key) = (SELECT count(*) FROM big)")
